@@ -1,4 +1,572 @@
-"""All queries by name, and their DuckDB SQL."""
+"""All queries by name, and their DuckDB SQL. Every query reads its whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions import text as T
+from ..operators import corpus as C
+from ..operators import evaluate as E
+from ..operators import retrieval as R
+from ..operators import runs as U
+from ..operators import tokenizer as K
+from ..operators.order import id_cell, numbered
+from ..sources import readers as S
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    return _t(spark, sf, "documents")
+
+
+def _text():
+    return T.nothing_null("text")
+
+
+#: Pieces of SQL.
+_WS, _LB, _WORD, _PIECE = (f"'{p}'" for p in (T.WS, T.LINE_END, T.WORD, T.PIECE))
+_TXT = "coalesce(text, '')"
+_LINES = f"(SELECT doc_id, l[k] AS line, (k - 1)::INT AS line_no FROM (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS l FROM (SELECT doc_id, string_split_regex({_TXT}, {_LB}) AS a FROM documents)), unnest(range(1, len(l) + 1)) u(k))"
+_WORDS = f"list_filter(string_split_regex({_TXT}, {_WS}), lambda w: w <> '')"
+_UNIQUE = f"(SELECT doc_id, line_no, line FROM {_LINES} QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) = 1)"
+_SPLIT = f"""(SELECT *, CASE WHEN row_no < e THEN 'train' WHEN row_no < least(n, e + floor(n * 0.05::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, least(n, greatest(1, floor(n * 0.9::DOUBLE))) AS e FROM (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS row_no, count(*) OVER () AS n FROM {_UNIQUE})))"""
+_CHUNKS = f"""(SELECT doc_id, k AS chunk_no, array_to_string(w[k * 224 + 1 : k * 224 + 256], ' ') AS text
+  FROM (SELECT doc_id, {_WORDS} AS w FROM documents), unnest(range(0, ceil(len(w) / 224.0)::BIGINT)) u(k))"""
+_TOKENS = f"(SELECT doc_id, chunk_no, regexp_extract_all(lower(text), {_WORD}) AS tokens FROM {_CHUNKS})"
+_POST = f"(SELECT term, doc_id, chunk_no, len(tokens) AS dl, count(*) AS f FROM (SELECT *, unnest(tokens) AS term FROM {_TOKENS}) GROUP BY ALL)"
+_E = "list_transform(embedding, lambda x: x::DOUBLE)"
+_V = f"(SELECT vec_id, label, {_E} AS x FROM embeddings)"
+_LSE = "(list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))))"
+_EV = "(SELECT value, (row_number() OVER (ORDER BY ts, event_id) - 1) AS step, event_id, count(*) OVER () AS n FROM events)"
+
+
+def _round(x, places: int = 6):
+    return F.transform(x, lambda v: F.round(v, places))
+
+
+def _vecs(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _events(spark, sf):
+    """Events as training steps: step counts them by (ts, event_id), n is their number."""
+    e = _t(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return numbered(e, id_cell(e, "us"), ["us", "event_id"], "step", "n").select("event_id", "ts", "value", "step", "n")
+
+
+def _questions(spark, sf):
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _answers(spark, sf):
+    return _t(spark, sf, "conversations").filter("role = 'assistant'")
+
+
+# Sources and files
+
+
+@query(f"SELECT doc_id, lang, source, strlen({_TXT})::BIGINT AS n_bytes, length({_TXT})::BIGINT AS n_chars FROM documents")
+def scan_documents(spark, sf):
+    return _docs(spark, sf).select("doc_id", "lang", "source", F.octet_length(_text()).cast("long").alias("n_bytes"), F.char_length(_text()).cast("long").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, strlen({_TXT}) >= 10 AS ok FROM documents")
+def verify_min_bytes(spark, sf):
+    return _docs(spark, sf).select("doc_id", S.long_enough(F.col("text")).alias("ok"))
+
+
+@query(f"SELECT doc_id, sha256({_TXT}) AS digest FROM documents")
+def content_sha256(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2(_text().cast("binary"), 256).alias("digest"))
+
+
+@query(f"SELECT 'step' AS event, step::DOUBLE AS step, value AS loss FROM {_EV}")
+def metrics_steps(spark, sf):
+    return _events(spark, sf).select(F.lit("step").alias("event"), F.col("step").cast("double").alias("step"), F.col("value").alias("loss"))
+
+
+@query("""SELECT user_id, '{"run_id":"run-' || user_id || '","steps":' || count(*) || ',"status":"done"}' AS record FROM events GROUP BY user_id""")
+def run_record_json(spark, sf):
+    runs = _t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("steps"))
+    record = F.struct(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), "steps", F.lit("done").alias("status"))
+    return runs.select("user_id", F.to_json(record).alias("record"))
+
+
+@query("SELECT 'ckpt/step_' || max(event_id) AS path, max(event_id) AS step FROM events")
+def latest_by_step(spark, sf):
+    return U.latest(_t(spark, sf, "events").select(F.concat(F.lit("ckpt/step_"), F.col("event_id").cast("string")).alias("path")))
+
+
+@query("SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages WHERE url <> '' AND html <> ''")
+def index_ingest_filter(spark, sf):
+    return S.ingestible(_t(spark, sf, "pages"), "url", "html").select("page_id", "url", F.char_length("html").cast("long").alias("n_chars"))
+
+
+@query("SELECT unnest(['doc_id', 'n_chars', 'title', 'url']) AS required, required NOT IN ('doc_id', 'text', 'lang', 'source', 'n_chars') AS missing")
+def missing_fields(spark, sf):
+    required = ["doc_id", "n_chars", "title", "url"]
+    gone = S.missing_fields(_docs(spark, sf).columns, required)
+    return spark.createDataFrame([(r, r in gone) for r in required], "required string, missing boolean")
+
+
+# Text
+
+
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace({_TXT}, chr(13) || chr(10), chr(10)), chr(9), ' '), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^{T.WS}|{T.WS}$', '', 'g') AS text FROM documents""")
+def normalize_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.normalised(_text()).alias("text"))
+
+
+@query(f"SELECT doc_id, line_no, line FROM {_LINES}")
+def split_lines(spark, sf):
+    return C.line_rows(_docs(spark, sf))
+
+
+@query(f"SELECT doc_id, regexp_extract_all(lower({_TXT}), {_WORD}) AS tokens FROM documents")
+def word_tokenize(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.tokens(_text()).alias("tokens"))
+
+
+@query(f"SELECT doc_id, {_WORDS} AS words FROM documents")
+def whitespace_words(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.words(_text()).alias("words"))
+
+
+@query(f"SELECT doc_id, regexp_extract_all({_TXT}, {_PIECE}) AS pieces FROM documents")
+def pretokenize(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.pieces(_text()).alias("pieces"))
+
+
+@query(f"SELECT doc_id, hex(encode({_TXT})) AS bytes, true AS same FROM documents")
+def utf8_bytes(spark, sf):
+    b = F.encode(_text(), "UTF-8")
+    return _docs(spark, sf).select("doc_id", F.hex(b).alias("bytes"), (F.decode(b, "UTF-8") == _text()).alias("same"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS run_id FROM events")
+def run_id_format(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.date_format("ts", "yyyyMMdd-HHmmss").alias("run_id"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN length({_TXT}) > 800 THEN array_to_string(list_transform(range(8), lambda i: substr({_TXT}, (i * (length({_TXT}) // 8) + 1)::BIGINT, 100)), chr(10) || chr(10)) ELSE {_TXT} END AS sample FROM documents""")
+def strided_sample(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.strided_sample(_text(), 100, 8, 800).alias("sample"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN len(w) < 4 THEN 0.0::DOUBLE ELSE round(1 - len(list_distinct(g))::DOUBLE / len(g), 4) END AS rep4 FROM (
+  SELECT *, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) AS g FROM (SELECT conv_id, turn, {_WORDS} AS w FROM conversations WHERE role = 'assistant'))""")
+def rep4(spark, sf):
+    return _answers(spark, sf).select("conv_id", "turn", T.repetition(_text()).alias("rep4"))
+
+
+@query(f"""SELECT round(avg(r), 4) AS mean_rep4, round(avg(len(w)), 1) AS mean_tokens, round(avg(ends::INT), 3) AS eos_rate, count(*) AS n FROM (
+  SELECT w, regexp_matches({_TXT}, '[.!?]$') AS ends, CASE WHEN len(w) < 4 THEN 0.0::DOUBLE ELSE round(1 - len(list_distinct(g))::DOUBLE / len(g), 4) END AS r FROM (
+  SELECT *, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) AS g FROM (SELECT text, {_WORDS} AS w FROM conversations WHERE role = 'assistant')))""")
+def generation_summary(spark, sf):
+    """A turn that ends a sentence stands for one that stopped by itself."""
+    a = _answers(spark, sf)
+    return a.agg(F.round(F.avg(T.repetition(_text())), 4).alias("mean_rep4"), F.round(F.avg(F.size(T.words(_text()))), 1).alias("mean_tokens"), F.round(F.avg(F.regexp(_text(), F.lit("[.!?]$")).cast("int")), 3).alias("eos_rate"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT conv_id, turn, stop FROM conversations, (SELECT unnest(['.', '!', 'the', '?!']) AS stop) s WHERE role = 'assistant' AND contains({_TXT}, stop)")
+def stop_string_semi_join(spark, sf):
+    stops = F.array(*[F.lit(s) for s in (".", "!", "the", "?!")])
+    return _answers(spark, sf).select("conv_id", "turn", F.explode(F.filter(stops, lambda s: F.contains(_text(), s))).alias("stop"))
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower({_TXT}), {_WS}), lambda w: length(w) > 2)) AS words FROM benchmark
+), hit AS (SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, unnest(words) AS w FROM q) JOIN documents ON contains(lower({_TXT}), w))
+SELECT query_id, doc_id FROM hit UNION ALL SELECT query_id, (SELECT min(doc_id) FROM documents) FROM q WHERE query_id NOT IN (SELECT query_id FROM hit)""")
+def substring_search(spark, sf):
+    return R.substring_search(_docs(spark, sf), _questions(spark, sf))
+
+
+# Corpus
+
+
+@query(f"SELECT * FROM {_UNIQUE}")
+def dedup_lines(spark, sf):
+    return C.unique_lines(_docs(spark, sf))
+
+
+@query(f"SELECT doc_id, line_no, line, row_no::BIGINT AS row_no, split FROM {_SPLIT}")
+def split_train_val_test(spark, sf):
+    return C.split_lines(_docs(spark, sf))
+
+
+@query(f"SELECT count(*) AS n_leaked FROM (SELECT line FROM {_SPLIT} GROUP BY line HAVING count(DISTINCT split) > 1)")
+def split_leakage(spark, sf):
+    return C.split_leakage(C.split_lines(_docs(spark, sf)))
+
+
+@query(f"""WITH s AS (SELECT split, sum(len(list_filter(string_split_regex(line, {_WS}), lambda w: w <> ''))) AS n FROM {_SPLIT} GROUP BY split)
+SELECT 'documents' AS name, '1' AS version, count(*) AS num_documents, sum(strlen({_TXT}))::BIGINT AS num_bytes, (SELECT count(*) FROM {_LINES}) AS num_lines,
+  sum(('0x' || substr(sha256({_TXT}), 1, 12))::BIGINT)::BIGINT AS content_sum, sum(len({_WORDS}))::BIGINT AS total_tokens,
+  coalesce((SELECT n FROM s WHERE split = 'train'), 0)::BIGINT AS train_tokens, coalesce((SELECT n FROM s WHERE split = 'val'), 0)::BIGINT AS val_tokens, coalesce((SELECT n FROM s WHERE split = 'test'), 0)::BIGINT AS test_tokens
+FROM documents""")
+def dataset_manifest(spark, sf):
+    return C.manifest(_docs(spark, sf), "documents", "1")
+
+
+_IDS = f"(SELECT doc_id, list_transform({_WORDS}, lambda w: length(w)::INT) AS ids FROM documents)"
+_TCH = f"(SELECT doc_id, k::INT AS chunk_no, ids[k * 112 + 1 : k * 112 + 128] AS tokens FROM {_IDS}, unnest(range(0, ceil(len(ids) / 112.0)::BIGINT)) u(k))"
+
+
+def _ids(spark, sf):
+    """Word lengths stand for token ids: any engine can make them."""
+    return _docs(spark, sf).select("doc_id", F.transform(T.words(_text()), lambda w: F.char_length(w)).alias("ids"))
+
+
+@query(f"SELECT * FROM {_TCH}")
+def token_chunks(spark, sf):
+    return C.token_chunks(_ids(spark, sf), 128, 16)
+
+
+_NEXT = f"""(SELECT doc_id, chunk_no, input, list_transform(range(1, 129), lambda i: CASE WHEN input[i] = 0 THEN -100 ELSE coalesce(input[i + 1], 0) END) AS target
+  FROM (SELECT doc_id, chunk_no, list_concat(tokens, list_transform(range(128 - len(tokens)), lambda i: 0::INT)) AS input FROM {_TCH}))"""
+
+
+@query(f"SELECT doc_id, chunk_no, input, target FROM {_NEXT}")
+def next_token_targets(spark, sf):
+    return C.next_targets(token_chunks(spark, sf), 128).select("doc_id", "chunk_no", "input", "target")
+
+
+@query(f"""SELECT doc_id, chunk_no, list_concat(tokens, list_transform(range(m - len(tokens)), lambda i: 0::INT)) AS inputs, list_concat(tokens, list_transform(range(m - len(tokens)), lambda i: -100::INT)) AS targets
+  FROM (SELECT *, max(len(tokens)) OVER (PARTITION BY doc_id) AS m FROM {_TCH})""")
+def collate_pad(spark, sf):
+    """Each document's chunks are a batch."""
+    rows = token_chunks(spark, sf).select("doc_id", "chunk_no", F.col("tokens").alias("inputs"), F.col("tokens").alias("targets"))
+    return C.collated(rows, "doc_id", "inputs", "targets")
+
+
+@query(f"SELECT event_id, (step % 4)::INT AS rank FROM {_EV} WHERE step < (n // 4) * 4")
+def rank_shards(spark, sf):
+    return C.rank_shards(_events(spark, sf), 4, "step", "n").select("event_id", "rank")
+
+
+@query("""WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+SELECT doc_id, (pos // 32)::BIGINT AS batch_no, (pos % 32)::INT AS slot FROM h WHERE pos // 32 < n // 32 OR n < 32""")
+def shuffled_batches(spark, sf):
+    return C.shuffled_batches(_docs(spark, sf), "doc_id", 32, "7")
+
+
+@query(f"""SELECT doc_id, k::INT AS window_no, (k * 64)::INT AS start, least(k * 64 + 128, n)::INT AS stop, greatest(0, CASE WHEN k > 0 THEN least(k * 64 + 64, n) ELSE 0 END - k * 64)::INT AS overlap,
+  greatest(0, least(k * 64 + 128, n) - k * 64 - 1 - greatest(0, CASE WHEN k > 0 THEN least(k * 64 + 64, n) ELSE 0 END - k * 64))::INT AS scored
+FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents), unnest(range(0, ceil(n / 64.0)::BIGINT)) u(k)""")
+def strided_windows(spark, sf):
+    n = _docs(spark, sf).select("doc_id", F.size(T.words(_text())).alias("n"))
+    return C.strided_windows(n, "doc_id", "n", 64, 128)
+
+
+@query(f"SELECT doc_id, CASE WHEN len(ids) > 64 THEN ids[-64:] ELSE ids END AS ids FROM {_IDS}")
+def keep_last_n(spark, sf):
+    return _ids(spark, sf).select("doc_id", A.kept_last(F.col("ids"), 64).alias("ids"))
+
+
+@query(f"SELECT doc_id, list_filter(ids, lambda i: i NOT IN (1, 2)) AS ids FROM {_IDS}")
+def strip_special_ids(spark, sf):
+    return _ids(spark, sf).select("doc_id", K.stripped_specials(F.col("ids"), [1, 2]).alias("ids"))
+
+
+# Tokenizer
+
+_WT = f"(SELECT word, count(*) AS freq, min(struct_pack(d := doc_id, p := (k - 1)::INT)) AS f FROM (SELECT doc_id, ps[k] AS word, k FROM (SELECT doc_id, regexp_extract_all({_TXT}, {_PIECE}) AS ps FROM documents), unnest(range(1, len(ps) + 1)) u(k)) GROUP BY word)"
+
+
+@query(f"SELECT word, freq, f.d AS first_doc, f.p AS first_pos FROM {_WT}")
+def bpe_word_table(spark, sf):
+    return K.word_table(_docs(spark, sf))
+
+
+@query(f"""SELECT ('0x' || substr(h, 2 * k - 1, 2))::INT AS "left", ('0x' || substr(h, 2 * k + 1, 2))::INT AS "right", sum(freq)::BIGINT AS n FROM (SELECT freq, hex(encode(word)) AS h FROM {_WT}), unnest(range(1, (length(h) // 2)::BIGINT)) u(k) GROUP BY ALL""")
+def bpe_pair_counts(spark, sf):
+    return K.pair_counts(K.word_table(_docs(spark, sf)))
+
+
+@query()
+def bpe_train(spark, sf):
+    t = K.BytePairs.train(_docs(spark, sf))
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(t.merges)], "rank int, a string, b string")
+
+
+@query()
+def bpe_encode(spark, sf):
+    return K.encoded(_docs(spark, sf), K.BytePairs.train(_docs(spark, sf)))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def bpe_roundtrip(spark, sf):
+    d = _docs(spark, sf)
+    t = K.BytePairs.train(d)
+    piece = F.pandas_udf(lambda x: x.map(lambda v: t.decode(t.encode(v), strict=True)), "string")
+    return d.select("doc_id", (piece(_text()) == _text()).alias("same"))
+
+
+# Retrieval
+
+
+@query(f"SELECT doc_id, chunk_no::INT AS chunk_no, doc_id || '_chunk_' || chunk_no AS chunk_id, doc_id::VARCHAR AS title, text FROM {_CHUNKS}")
+def chunk_documents(spark, sf):
+    return R.chunks(_docs(spark, sf))
+
+
+@query(f"SELECT doc_id, count(*) AS n_chunks FROM {_CHUNKS} GROUP BY doc_id")
+def chunk_counts(spark, sf):
+    return R.chunks(_docs(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(f"SELECT term, doc_id, chunk_no::INT AS chunk_no, f FROM {_POST}")
+def term_frequency(spark, sf):
+    return R.Index.of(_docs(spark, sf)).postings.drop("dl")
+
+
+@query(f"SELECT term, count(*) AS df FROM {_POST} GROUP BY term")
+def document_frequency(spark, sf):
+    return R.Index.of(_docs(spark, sf)).terms
+
+
+@query(f"SELECT count(*) AS n_chunks, round(avg(len(tokens)), 6) AS avg_dl FROM {_TOKENS}")
+def corpus_stats(spark, sf):
+    return R.Index.of(_docs(spark, sf)).corpus.select("n_chunks", F.round("avg_dl", 6).alias("avg_dl"))
+
+
+_SCORES = f"""q AS (SELECT query_id, term, count(*) AS qn FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower({_TXT}), {_WORD})) AS term FROM benchmark) GROUP BY ALL
+), post AS MATERIALIZED (SELECT * FROM {_POST}), tok AS (SELECT count(*) AS n, avg(len(tokens)) AS a FROM {_TOKENS}
+), t AS (SELECT term, count(*) AS df FROM post GROUP BY term
+), s AS (SELECT query_id, doc_id, chunk_no::INT AS chunk_no, sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * (f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / a)))) AS score
+  FROM q JOIN post USING (term) JOIN t USING (term), tok GROUP BY ALL HAVING score > 0
+), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, chunk_no) AS rank FROM s)"""
+
+
+@query(f"WITH {_SCORES} SELECT query_id, doc_id, chunk_no, round(score, 6) AS score FROM s")
+def bm25_scores(spark, sf):
+    return R.Index.of(_docs(spark, sf)).scores(_questions(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_SCORES} SELECT query_id, doc_id, chunk_no, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
+def bm25_topk(spark, sf):
+    return R.Index.of(_docs(spark, sf)).search(_questions(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_SCORES} SELECT query_id, rank::INT AS rank, doc_id || '_chunk_' || chunk_no AS chunk_id, doc_id, doc_id::VARCHAR AS title, text, round(score, 4) AS score FROM k JOIN {_CHUNKS} USING (doc_id, chunk_no) WHERE rank <= 5""")
+def bm25_retrieve(spark, sf):
+    return R.retrieved(R.Index.of(_docs(spark, sf)), _docs(spark, sf), _questions(spark, sf))
+
+
+_HEAD = R.PROMPT_HEAD.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(f"""WITH {_SCORES}, c AS (SELECT query_id, string_agg('[' || rank || '] [Source: ' || doc_id || ']: ' || text || chr(10), '' ORDER BY rank) AS ctx FROM k JOIN {_CHUNKS} USING (doc_id, chunk_no) WHERE rank <= 3 GROUP BY query_id)
+SELECT item_id AS query_id, CASE WHEN ctx IS NULL THEN 'Question: ' || text || chr(10) || 'Answer:' ELSE '{_HEAD}' || ctx || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' END AS prompt FROM benchmark LEFT JOIN c ON item_id = query_id""")
+def context_prompt(spark, sf):
+    q = _questions(spark, sf)
+    return R.context_prompts(R.retrieved(R.Index.of(_docs(spark, sf)), _docs(spark, sf), q, 3), q)
+
+
+# Evaluation, sampling, quantisation, layers: an embedding stands for logits, its label for the target
+
+
+@query(f"SELECT round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity, count(*) AS n_tokens FROM (SELECT {_LSE} - x[label + 1] AS nll FROM {_V})")
+def perplexity(spark, sf):
+    return E.perplexity(_vecs(spark, sf), "x", "label").select(F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"), "n_tokens")
+
+
+_PASSED = "(len(list_filter(x, lambda v: v > x[label + 1])) + len(list_filter(x[:label], lambda v: v = x[label + 1])))"
+
+
+@query(f"SELECT round(avg(({_PASSED} < 1)::INT), 6) AS accuracy FROM {_V}")
+def top1_accuracy(spark, sf):
+    return E.top_k_accuracy(_vecs(spark, sf), "x", "label", 1).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"SELECT round(avg(({_PASSED} < 5)::INT), 6) AS accuracy FROM {_V}")
+def topk_accuracy(spark, sf):
+    return E.top_k_accuracy(_vecs(spark, sf), "x", "label", 5).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"""SELECT round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity, count(*) AS n_tokens, round(avg((p < 1)::INT), 6) AS top1, round(avg((p < 5)::INT), 6) AS top5 FROM (SELECT {_LSE} - x[label + 1] AS nll, {_PASSED} AS p FROM {_V})""")
+def evaluation_suite(spark, sf):
+    s = E.suite(_vecs(spark, sf), "x", "label")
+    return s.select(*[F.round(c, 6).alias(c) for c in ("loss", "perplexity", "top1", "top5")], "n_tokens")
+
+
+@query(f"SELECT sum(len(list_filter(x, lambda v: NOT isfinite(v))))::BIGINT AS n_nonfinite FROM {_V}")
+def nonfinite_count(spark, sf):
+    return E.nonfinite(_vecs(spark, sf), "x")
+
+
+@query(f"SELECT vec_id, (list_position(x, list_max(x)) - 1)::INT AS token FROM {_V}")
+def greedy_token(spark, sf):
+    return _vecs(spark, sf).select("vec_id", A.argmax(F.col("x")).alias("token"))
+
+
+def _sm(t: float, keep: str = "true") -> str:
+    return f"(SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (SELECT vec_id, list_transform(x, lambda v: CASE WHEN {keep} THEN exp((v - list_max(x)) / {t}::DOUBLE) ELSE 0 END) AS e FROM {_V}))"
+
+
+@query(f"SELECT vec_id, list_transform(p, lambda v: round(v, 6)) AS probs FROM {_sm(0.7)}")
+def temperature_softmax(spark, sf):
+    return _vecs(spark, sf).select("vec_id", _round(A.softmax(F.col("x"), 0.7)).alias("probs"))
+
+
+@query(f"SELECT vec_id, list_transform(p, lambda v: round(v, 6)) AS probs FROM {_sm(1.0, 'v >= list_reverse_sort(x)[10]')}")
+def topk_distribution(spark, sf):
+    return _vecs(spark, sf).select("vec_id", _round(A.top_k_distribution(F.col("x"), 10)).alias("probs"))
+
+
+@query(f"""SELECT vec_id, token, round(p, 6) AS prob FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT vec_id, (i - 1)::INT AS token, p[i] AS p FROM {_sm(1.0)}, unnest(range(1, len(p) + 1)) u(i))) WHERE before <= 0.9::DOUBLE""")
+def nucleus_filter(spark, sf):
+    return E.nucleus(_vecs(spark, sf), "vec_id", "x", 0.9).withColumn("prob", F.round("prob", 6))
+
+
+@query(f"SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: round(CASE WHEN (i - 1) IN (label, label + 7) THEN CASE WHEN x[i] > 0 THEN x[i] / 1.5::DOUBLE ELSE x[i] * 1.5::DOUBLE END ELSE x[i] END, 6)) AS logits FROM {_V}")
+def repetition_penalty(spark, sf):
+    seen = F.array_distinct(F.array("label", F.col("label") + 7, "label"))
+    return _vecs(spark, sf).select("vec_id", _round(A.penalised(F.col("x"), seen, 1.5)).alias("logits"))
+
+
+@query("SELECT gamma::BIGINT AS gamma, r / 10.0::DOUBLE AS rate, CASE WHEN gamma <= 0 THEN 1.0::DOUBLE ELSE round(greatest(1.0::DOUBLE, (r / 10.0::DOUBLE * gamma + 1) / ((gamma * 1.0::DOUBLE + 10.0::DOUBLE) / 10.0::DOUBLE)), 6) END AS speedup FROM range(17) g(gamma), range(11) r(r)")
+def speedup_grid(spark, sf):
+    return U.speedup_grid(spark, 16, 10, 10.0, 1.0).withColumn("speedup", F.round("speedup", 6))
+
+
+def _q8(lo: str, hi: str) -> str:
+    return f"CASE WHEN {hi} = {lo} THEN 1.0::DOUBLE ELSE ({hi} - {lo}) / 255.0::DOUBLE END"
+
+
+_Z = "greatest(-128, least(127, -128 - round_even(lo / s, 0)))"
+_Q8 = "list_transform(x, lambda v: greatest(-128, least(127, round_even(v / s + z, 0)))::INT)"
+_ROWQ = f"(SELECT vec_id, x, s, z, {_Q8} AS q FROM (SELECT *, {_Z} AS z FROM (SELECT *, {_q8('lo', 'hi')} AS s FROM (SELECT vec_id, x, list_min(x) AS lo, list_max(x) AS hi FROM {_V}))))"
+
+
+@query(f"SELECT vec_id, {_Q8} AS q, round(s, 9) AS scale, z::INT AS zero FROM (SELECT *, {_Z} AS z FROM (SELECT *, {_q8('lo', 'hi')} AS s FROM (SELECT vec_id, x, min(list_min(x)) OVER () AS lo, max(list_max(x)) OVER () AS hi FROM {_V})))")
+def int8_per_tensor(spark, sf):
+    v = _vecs(spark, sf)
+    lo, hi = v.agg(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()  # one row
+    scale, zero = A.affine(F.lit(lo), F.lit(hi))
+    return v.select("vec_id", A.int8(F.col("x"), scale, zero).alias("q"), F.round(scale, 9).alias("scale"), zero.alias("zero"))
+
+
+def _row8(spark, sf):
+    v = _vecs(spark, sf).withColumn("lo", F.array_min("x")).withColumn("hi", F.array_max("x"))
+    scale, zero = A.affine(F.col("lo"), F.col("hi"))
+    return v.withColumn("scale", scale).withColumn("zero", zero).withColumn("q", A.int8(F.col("x"), F.col("scale"), F.col("zero")))
+
+
+@query(f"SELECT vec_id, q, round(s, 9) AS scale, z::INT AS zero FROM {_ROWQ}")
+def int8_per_row(spark, sf):
+    return _row8(spark, sf).select("vec_id", "q", F.round("scale", 9).alias("scale"), "zero")
+
+
+@query(f"SELECT vec_id, round(list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - (q[i] - z) * s))), 6) AS error FROM {_ROWQ}")
+def int8_roundtrip_error(spark, sf):
+    back = F.zip_with("x", "q", lambda x, q: F.abs(x - (q - F.col("zero")) * F.col("scale")))
+    return _row8(spark, sf).select("vec_id", F.round(F.array_max(back), 6).alias("error"))
+
+
+_G4 = f"""(SELECT vec_id, g, s, x, list_transform(x, lambda v: greatest(-8, least(7, round_even(v / s, 0)))::INT) AS q FROM (SELECT *, CASE WHEN m = 0 THEN 1.0::DOUBLE ELSE m / 7.0::DOUBLE END AS s
+  FROM (SELECT vec_id, g, x[g * 16 + 1 : g * 16 + 16] AS x, list_max(list_transform(x[g * 16 + 1 : g * 16 + 16], lambda v: abs(v))) AS m FROM {_V}, range(4) r(g))))"""
+
+
+def _row4(spark, sf):
+    return _vecs(spark, sf).select("vec_id", "x", F.posexplode(A.int4_groups(F.col("x"), 16)).alias("g", "s"))
+
+
+@query(f"SELECT vec_id, g::INT AS g, round(s, 9) AS scale, list_transform(range(0, 8), lambda i: ((q[2 * i + 1] & 15) | ((q[2 * i + 2] & 15) << 4))::INT) AS packed FROM {_G4}")
+def int4_groupwise(spark, sf):
+    return _row4(spark, sf).select("vec_id", "g", F.round("s.scale", 9).alias("scale"), A.packed_nibbles(F.col("s.q")).alias("packed"))
+
+
+@query(f"SELECT vec_id, round(max(list_max(list_transform(range(1, 17), lambda i: abs(x[i] - q[i] * s)))), 6) AS error FROM {_G4} GROUP BY vec_id")
+def int4_roundtrip_error(spark, sf):
+    rows = _row4(spark, sf).withColumn("back", F.transform(A.unpacked_nibbles(A.packed_nibbles(F.col("s.q"))), lambda q: q * F.col("s.scale")))
+    diff = F.zip_with(F.slice("x", F.col("g") * 16 + 1, F.lit(16)), "back", lambda a, b: F.abs(a - b))
+    return rows.groupBy("vec_id").agg(F.round(F.max(F.array_max(diff)), 6).alias("error"))
+
+
+@query(f"SELECT round(sum(len(x) * 32)::DOUBLE / sum(len(x) * 8 + 64)::DOUBLE, 6) AS int8_ratio, round(sum(len(x) * 32)::DOUBLE / sum(len(x) * 4 + ceil(len(x) / 16.0) * 32)::DOUBLE, 6) AS int4_ratio FROM {_V}")
+def compression_ratio(spark, sf):
+    n = F.size("x")
+    return _vecs(spark, sf).agg(F.round(F.sum(n * 32) / F.sum(n * 8 + 64), 6).alias("int8_ratio"), F.round(F.sum(n * 32) / F.sum(n * 4 + F.ceil(n / 16) * 32), 6).alias("int4_ratio"))
+
+
+@query(f"SELECT vec_id, list_transform(x, lambda v: round(v / r, 6)) AS y FROM (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x) + 1e-6::DOUBLE) AS r FROM {_V})")
+def rmsnorm(spark, sf):
+    return _vecs(spark, sf).select("vec_id", _round(A.rms_norm(F.col("x"))).alias("y"))
+
+
+@query(f"""SELECT vec_id, list_transform(range(0, 64), lambda i: round(CASE WHEN i < 32 THEN x[i + 1] * cos(label * pow(10000.0::DOUBLE, -(i / 32.0::DOUBLE))) - x[i + 33] * sin(label * pow(10000.0::DOUBLE, -(i / 32.0::DOUBLE)))
+  ELSE x[i + 1] * cos(label * pow(10000.0::DOUBLE, -((i - 32) / 32.0::DOUBLE))) + x[i - 31] * sin(label * pow(10000.0::DOUBLE, -((i - 32) / 32.0::DOUBLE))) END, 6)) AS y FROM {_V}""")
+def rope_rotate(spark, sf):
+    return _vecs(spark, sf).select("vec_id", _round(A.rotated(F.col("x"), F.col("label"))).alias("y"))
+
+
+@query(f"SELECT vec_id, list_transform(x, lambda v: round(v / (1 + exp(-v)), 6)) AS y FROM {_V}")
+def silu(spark, sf):
+    return _vecs(spark, sf).select("vec_id", _round(A.silu(F.col("x"))).alias("y"))
+
+
+@query(f"""WITH v AS (SELECT vec_id // 16 AS g, (vec_id % 16)::INT AS pos, x FROM {_V}
+), s AS (SELECT a.g, a.pos AS i, b.pos AS j, b.x, exp(list_dot_product(a.x, b.x) / sqrt(len(a.x))) AS w FROM v a JOIN v b ON a.g = b.g AND b.pos <= a.pos
+), o AS (SELECT g, i, d, sum(w * x[d]) / sum(w) AS y FROM s, range(1, 65) r(d) GROUP BY ALL)
+SELECT g AS ctx, i AS pos, list(round(y, 6) ORDER BY d) AS "out" FROM o GROUP BY ALL""")
+def causal_attention(spark, sf):
+    """Runs of 16 vec_ids are the context windows."""
+    rows = _vecs(spark, sf).select(F.expr("vec_id div 16").alias("ctx"), (F.col("vec_id") % 16).cast("int").alias("pos"), "x")
+    return E.attention(rows, "ctx", "pos", "x").withColumn("out", _round(F.col("out")))
+
+
+# Runs
+
+
+@query("SELECT s AS step, round(CASE WHEN s < 100 THEN 0.1::DOUBLE * s / 100 ELSE 0.1::DOUBLE * 0.5 * (1 + cos(pi() * (s - 100) / 900.0::DOUBLE)) END, 9) AS lr FROM range(1001) r(s)")
+def lr_schedule(spark, sf):
+    return U.lr_schedule(spark, 0.1, 100, 1000).withColumn("lr", F.round("lr", 9))
+
+
+@query(f"SELECT step // 8 AS cycle, round(avg(value), 6) AS loss, count(*) AS n FROM {_EV} GROUP BY 1")
+def accumulated_loss(spark, sf):
+    return U.accumulated_loss(_events(spark, sf), "step", "value", 8).withColumn("loss", F.round("loss", 6))
+
+
+@query(f"SELECT event_id, step, min(value) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS best FROM {_EV}")
+def running_best_loss(spark, sf):
+    return U.running_best(_events(spark, sf), "step", "value").select("event_id", "step", "best")
+
+
+@query(f"SELECT event_id, step FROM {_EV} WHERE step % 100 = 0")
+def every_n_steps(spark, sf):
+    """The hundredth steps are what the operator is for: a log's lines among all steps."""
+    return _events(spark, sf).filter(F.pmod("step", F.lit(100)) == 0).select("event_id", "step")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n FROM events GROUP BY event_type")
+def timing_stats(spark, sf):
+    return _t(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, count(*) AS steps, count(*) * 8 * 256 AS tokens, round(count(*) * 8 * 256 / greatest(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 1e-9::DOUBLE), 1) AS tokens_per_sec FROM events GROUP BY user_id")
+def run_throughput(spark, sf):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    runs = _t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("steps"), (F.max(us) / 1e6 - F.min(us) / 1e6).alias("s"))
+    return runs.select("user_id", "steps", (F.col("steps") * 8 * 256).alias("tokens"), U.throughput(F.col("steps"), 8, 256, F.col("s")).alias("tokens_per_sec"))
