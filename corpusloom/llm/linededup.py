@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GAP_CHARS, WORD_GAP, partitions, read, text_of, written
@@ -122,7 +122,7 @@ def _signatures(tau: int, least: int):
         for batch in batches:
             keys, lines, roles = [], [], []
             for line, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if line in seen:
+                if len(x) <= max(least - 1, tau) or line in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
@@ -233,8 +233,14 @@ def _verify(tau: int):
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), norm, line of every line with a word: norm has single spaces and bare ends, line is its 64-bit hash."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
-    norm = F.regexp_replace(F.btrim("raw", F.lit(GAP_CHARS)), WORD_GAP, " ")
-    return d.select("doc_id", "line_no", norm.alias("norm")).filter("norm <> ''").withColumn("line", F.xxhash64("norm"))
+    bare = F.btrim("raw", F.lit(GAP_CHARS))
+    d = d.filter(bare != "").select("doc_id", "line_no", _spaced(bare).alias("norm"))
+    return d.withColumn("line", F.xxhash64("norm"))
+
+
+def _spaced(bare: Column) -> Column:
+    """Single spaces between words; most lines have them, and a search costs less than a new text."""
+    return F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, WORD_GAP, " ")).otherwise(bare)
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
@@ -256,7 +262,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFra
     lines = line_table(docs)
     occ = written(lines.select("doc_id", "line_no", "line"), "lines")
     first = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
-    long = lines.filter(F.char_length("norm") >= max(least, tau + 1)).select("line", "norm")
+    long = lines.select("line", "norm")  # short lines are left out there: a filter here would make norm twice
     keys = long.mapInArrow(_signatures(tau, least), KEYS).repartition(n, "key").sortWithinPartitions("key", "line")
     cand = written(keys.mapInArrow(_candidates, "cell long, key long, line long, role int, portion int"), "line-cand")
     first = written(first, "line-first")
@@ -265,7 +271,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFra
     place = place.groupBy("d").agg(F.collect_list(F.struct("line_no", "want")).alias("wanted"))  # no more than a text has lines
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), text_of().alias("t")).join(place, "d")
     texts = texts.withColumn("all", F.split("t", "\n")).select(F.explode(F.transform("wanted", lambda w: F.struct(w["want"].alias("line"), F.get("all", w["line_no"]).alias("raw")))).alias("x")).select("x.*")
-    texts = texts.withColumn("norm", F.regexp_replace(F.btrim("raw", F.lit(GAP_CHARS)), WORD_GAP, " ")).filter(F.xxhash64("norm") == F.col("line")).select("line", "norm").dropDuplicates(["line"])
+    texts = texts.withColumn("norm", _spaced(F.btrim("raw", F.lit(GAP_CHARS)))).filter(F.xxhash64("norm") == F.col("line")).select("line", "norm").dropDuplicates(["line"])
     cells = cand.join(texts, "line").select("cell", "key", "line", "role", "portion", "norm").repartition(n, "cell").sortWithinPartitions("cell", "line")
     found = written(cells.mapInArrow(_verify(tau), "a long, b long, n long"), "line-links")
     roots = components(found.select("a", "b"), "line-cc")
