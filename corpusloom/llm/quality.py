@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .common import GAP_CHARS, WORD_GAP, read, text_of
 
 #: Fixed patterns of the line rules.
-#: punctuation: the line must end a sentence (closing quotes and brackets may follow)
+#: punctuation: the line must end a sentence (closing quotes and brackets may follow; only the last TAIL code points are looked at)
+TAIL = 4
 ENDS = r"[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}][\x22')\]\x{bb}\x{201d}\x{2019}]*$"
 #: symbols and marks that prose holds few of
-MARKS = r"[^#*$%&|<>!~^=_{}\x{2022}\x{bb}\x{203a}]+"
+MARKS = r"[^#*$%&|<>!~^=_{}]+"
 #: navigation: menus and breadcrumbs
 NAV = r"(?i)^(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|next|previous|prev|back|top|share|print|read more|load more|show more|skip to (main )?content|contact( us)?|about( us)?|site ?map|faq|help)([ |/>\x{2022}\x{bb}\x{203a}:.!-]+(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|next|previous|prev|back|top|share|print|contact|about|us|site ?map|faq|help|more))*[ .!:\x{bb}\x{203a}>]*$"
 #: boilerplate: notices that sites repeat
-BOILERPLATE = r"(?i)(lorem ipsum|enable javascript|javascript (is|must be) (disabled|enabled|required)|cookie (policy|settings|consent)|we use cookies|uses cookies|privacy policy|terms of (use|service)|all rights reserved|click here to|subscribe to our newsletter|sign up for our newsletter|follow us on (facebook|twitter|instagram|x\b)|share (this|on) (facebook|twitter|page))"
+BOILERPLATE = r"(?i)(^|[^A-Za-z])(lorem ipsum|enable javascript|javascript (is|must be) (disabled|enabled|required)|cookie (policy|settings|consent)|we use cookies|uses cookies|privacy policy|terms of (use|service)|all rights reserved|click here to|subscribe to our newsletter|sign up for our newsletter|follow us on (facebook|twitter|instagram|x\b)|share (this|on) (facebook|twitter|page))"
 MARKS_PER_WORD, LOST = 0.25, 0.3
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 CAPS_LEAST = 12
@@ -36,8 +37,8 @@ def line_fails(line: Column) -> Column:
     marks = _length(F.regexp_replace(line, MARKS, ""))
     upper, lower = _length(F.regexp_replace(line, r"\P{Lu}+", "")), _length(F.regexp_replace(line, r"\P{Ll}+", ""))
     return (
-        ~line.rlike(ENDS)
-        | (marks > F.lit(MARKS_PER_WORD) * words)
+        ~F.substring(line, -TAIL, TAIL).rlike(ENDS)
+        | ((marks > 0) & (marks > F.lit(MARKS_PER_WORD) * words))
         | ((upper >= CAPS_LEAST) & (upper > lower))
         | line.rlike(NAV)
         | line.rlike(BOILERPLATE)
@@ -91,7 +92,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     d = d.withColumn("q_bad", F.transform("q_list", lambda x: F.when(x == "", F.lit(False)).otherwise(line_fails(x))))
     with_word = F.filter("q_all", lambda x: F.btrim(x, F.lit(GAP_CHARS)) != "")
     d = d.withColumn("q_words", F.size("q_word_list").cast("long"))
-    d = d.withColumn("q_word_chars", _length(F.regexp_replace(text, WORD_GAP, "")).cast("long"))
+    d = d.withColumn("q_word_chars", _length(F.array_join("q_word_list", "")).cast("long"))
     d = d.withColumn("q_symbols", _length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
     d = d.withColumn("q_dup_lines", _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     d = d.withColumn("q_repeat_words", repeated_words(F.col("q_word_list")).cast("long"))
@@ -107,7 +108,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The kept documents without their failed lines, in the columns of docs; n_chars, if there, counts the new text."""
-    d = cleaned(docs).filter("q_kept")
+    # A filter on what is computed would be moved below it and make it all twice; one on a column that isn't deterministic stays.
+    d = cleaned(docs).withColumn("q_kept", F.col("q_kept") & (F.monotonically_increasing_id() >= 0)).filter("q_kept")
     new = {"text": F.col("q_text"), "n_chars": F.char_length("q_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
@@ -134,7 +136,7 @@ WITH d AS (
 ), lines AS (SELECT id, k, l[k] AS raw, {_TRIM.format('l[k]')} AS line FROM (SELECT id, string_split(t, chr(10)) AS l FROM d), unnest(range(1, len(l) + 1)) u(k)
 ), judged AS (
   SELECT id, k, raw, length(line) AS n,
-    NOT regexp_matches(line, {_q(ENDS)})
+    NOT regexp_matches(right(line, {TAIL}), {_q(ENDS)})
     OR length(regexp_replace(line, {_q(MARKS)}, '', 'g')) > {MARKS_PER_WORD}::DOUBLE * len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))
     OR (length(regexp_replace(line, '\\P{{Lu}}+', '', 'g')) >= {CAPS_LEAST} AND length(regexp_replace(line, '\\P{{Lu}}+', '', 'g')) > length(regexp_replace(line, '\\P{{Ll}}+', '', 'g')))
     OR regexp_matches(line, {_q(NAV)})
