@@ -14,7 +14,7 @@ from .common import read, text_of
 #: Fixed patterns, matched in full against normalised sentences (normalise() below: lower case, words and version numbers,
 #: single spaces). Order matters: the first that matches names the sentence.
 SENTENCES: list[tuple[str, str]] = [
-    ("spdx", r"spdx licen[cs]e identifier (?P<v>[a-z0-9.+-]+)"),
+    ("spdx", r"spdx-licen[cs]e-identifier (?P<v>[a-z0-9.+-]+)"),
     ("mit-released", r"(?:this \w+ is |it is )?(?:released|licen[cs]ed|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?(?:mit|expat) licen[cs]e"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)?(?: to deal in the software without restriction.*)?"),
     ("mit-notice", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
@@ -81,9 +81,10 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 #: A sentence is only looked at if it holds one of these; all patterns above need one.
 HINT = re.compile(r"licen[cs]e|copyright|permission|warrant|liable|redistribut|reserved|public domain|endorse|advertising|spdx|\(c\)|©|free software|obtain|gnu|compliance|received|disclaim", re.I)
 #: Sentences end at a line's end, or after . ! ? ; : and a gap; licences wrapped over lines are joined first (WRAPPED).
-CUT = re.compile(r"(?<=[.!?;:])[\x20\x09-\x0D]+")
+CUT = re.compile(r"(?<=[.!?;:])(?<!dentifier:)[\x20\x09-\x0D]+")
 WRAPPED = re.compile(r"\n(?=[a-z(\"'])")
 NOISE = re.compile(r"[^a-z0-9.+()\x20-]+")
+_CASED = {name.lower(): name for _, name in RULES if "{" not in name}
 _ALL = [(name, re.compile(p)) for name, p in SENTENCES]
 
 
@@ -119,6 +120,8 @@ def _name(rule: str, parts: dict[str, str]) -> str:
         kind = parts["kind"].replace(" ", "-")
         return "CC0-1.0" if kind in ("zero", "0") else f"CC-{kind.upper()}" + (f"-{parts['v']}" if "v" in parts else "")
     v = parts.get("v", "")
+    if rule == "{v}":
+        return _CASED.get(v, v)
     if "{+}" in rule and "." not in v:
         v += ".0"
     return rule.replace("{v}", v or "unknown").replace("{+}", "-or-later" if "later" in parts else "-only")
