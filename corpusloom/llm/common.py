@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words, and the regular expressions made of them (Java, RE2 and Python read them alike).
 WORD_GAP = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
 
@@ -43,14 +41,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(uri: str) -> str:
-    return uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri.removeprefix("file://")
-
-
-def is_local(uri: str) -> bool:
-    return uri.startswith("file:") or os.path.isabs(uri)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,6 @@ from .components import Forest, components
 SHINGLE, RADIUS, XX_SEED = 3, 3, 42
 #: Children of an index node; (query, node) pairs held at once; rows of a bucket from which it is split further.
 FAN, FRONTIER, LARGE = 16, 1 << 18, 1 << 14
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -177,9 +176,8 @@ def links(fps: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame
     n = partitions(spark)
     found = None
     # rows: fp, lo and width of the bits left; bucket: what has been agreed on so far
-    levels = [fps.select("fp", F.lit(0).cast("long").alias("path"), F.lit("").alias("used"))]
+    rows = fps.select("fp", F.lit(0).cast("long").alias("path"), F.lit("").alias("used"))
     free = {"": [(0, 64)]}
-    rows = levels[0]
     for depth in range(3):
         ways = {}
         for used, ranges in free.items():
