@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 pytest.importorskip("corpusloom.llm")
-from corpusloom.llm import licenses, linededup, mixing, packing, quality, registry, secret_scan, sharding, simhash, topk, warc  # noqa: E402
+from corpusloom.llm import licenses, linededup, mixing, packing, quality, registry, secret_scan, sharding, simhash, simhash_join, topk, warc  # noqa: E402
 from corpusloom.llm.components import components  # noqa: E402
 
 #: Nulls, empty and long texts, ties, repeated rows and a column whose name clashes with inner ones.
@@ -32,7 +32,7 @@ def test_query_matches_sql(name, agrees):
     agrees(registry.QUERIES[name], registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("op", [quality.cleaned, quality.good_documents, sharding.interleaved_shards, licenses.scan_licences, packing.pack_documents, linededup.line_classes, linededup.without_repeated_lines, mixing.pareto_mix, mixing.mixed, simhash.near_duplicates, simhash.one_of_each])
+@pytest.mark.parametrize("op", [quality.cleaned, quality.good_documents, sharding.interleaved_shards, licenses.scan_licences, packing.pack_documents, linededup.line_classes, linededup.without_repeated_lines, mixing.pareto_mix, mixing.mixed, simhash.near_duplicates, simhash_join.one_of_each])
 def test_empty_table(op, none):
     assert op(none).count() == 0
 
@@ -42,7 +42,7 @@ def test_a_row_for_each_odd_row(op, odd):
     assert op(odd).count() == len(ODD)
 
 
-@pytest.mark.parametrize("op", [quality.good_documents, linededup.without_repeated_lines, mixing.mixed, simhash.one_of_each])
+@pytest.mark.parametrize("op", [quality.good_documents, linededup.without_repeated_lines, mixing.mixed, simhash_join.one_of_each])
 def test_stages_keep_columns(op, odd):
     out = op(odd)
     assert out.columns == odd.columns
@@ -209,6 +209,68 @@ def test_simhash_brute_force(spark, odd):
         assert sorted((repr(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in got) == sorted((repr(d), f"{f:016x}", least.get(of[f])) for d, f in fps)
 
 
+def plain_shingles(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split(" ")
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", " ".join(w)) if x]
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def plain_alike(a, b):
+    return a == b or 10 * len(a & b) >= 8 * len(a | b)
+
+
+def near_copies(rng, words, n, edits):
+    out = [words]
+    for _ in range(n):
+        w = list(words)
+        for k in rng.sample(range(len(w)), edits):
+            w[k] = f"edit{rng.randrange(10**6)}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("cell", [simhash_join.CELL, 4])
+def test_similar_documents_brute_force(spark, odd, cell):
+    """Components as by all pairs, on the driver's documents, on planted copies of one text, and on odd rows."""
+    rng = random.Random(5)
+    planted = [t for _ in range(12) for t in near_copies(rng, [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 60, 400]))], 6, 1)]
+    docs = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
+    tables = (spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), docs, odd.select("doc_id", "text"))
+    for table in tables:
+        rows = [(r["doc_id"], plain_shingles(r["text"])) for r in table.collect() if r["doc_id"] is not None]
+        of = classes_of(sorted({s for _, s in rows}, key=sorted), plain_alike)
+        least = {}
+        for d, s in rows:
+            least[of[s]] = min(least.get(of[s], d), d)
+        got = simhash_join.similar_documents(table, cell=cell).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((d, least[of[s]]) for d, s in rows)
+
+
+def classes_of(nodes, linked):
+    at = classes(range(len(nodes)), lambda a, b: linked(nodes[a], nodes[b]))
+    return {x: at[i] for i, x in enumerate(nodes)}
+
+
+def test_similar_documents_recall(spark):
+    """Pairs just over the threshold, the hardest ones: the bands find at least 0.9 of them."""
+    rng = random.Random(6)
+    texts, want = [], 0
+    for _ in range(300):
+        a, b = near_copies(rng, [f"w{rng.randrange(50000)}" for _ in range(200)], 1, 4)
+        if plain_alike(plain_shingles(a), plain_shingles(b)):
+            texts += [a, b]
+            want += 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = simhash_join.one_of_each(docs)
+    assert want > 100 and len(texts) - out.count() >= 0.95 * want
+
+
+def test_one_of_each_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c  d e f", "y"), (None, "a b c d e f", "x"), (4, None, "z"), (5, " ", "z")], "doc_id long, text string, __keep string")
+    out = simhash_join.one_of_each(docs)
+    assert sorted((repr(r[0]), r[1]) for r in out.collect()) == [("1", "a b c d e f"), ("4", None), ("None", "a b c d e f")]
+
+
 @pytest.mark.parametrize("large", [1 << 14, 4])
 def test_gray_links_brute_force(spark, large):
     rng = random.Random(9)
