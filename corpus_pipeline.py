@@ -11,7 +11,7 @@ from corpusloom.llm.linededup import without_repeated_lines
 from corpusloom.llm.mixing import mixed
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import good_documents
-from corpusloom.llm.simhash import one_of_each
+from corpusloom.llm.simhash_join import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of smallest doc_id stays."""
+    """Of each group of near-duplicates (0.8 of their five-word shingles), the document of smallest doc_id stays."""
     return one_of_each(docs)
 
 
@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: SQL expresses neither the edit join nor XXH64 fingerprints; tests hold run() against plain Python.
+#: SQL expresses neither the edit join nor SimHash bands; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
