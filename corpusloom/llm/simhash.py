@@ -248,15 +248,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without those that have a near-duplicate of smaller doc_id: one document of each component
-    stays, the one of smallest doc_id, in all columns of docs. Rows that repeat a doc_id keep one row; null doc_ids
-    stay all (they can't be told apart)."""
-    keep = near_duplicates(docs, **how).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    return kept.union(docs.filter(F.col("doc_id").isNull()))
-
-
 def op10_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
