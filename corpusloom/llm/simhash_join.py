@@ -123,6 +123,29 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cell[hit]), pa.array(fp[hit]), pa.array(node[hit])], names=["cell", "fp", "node"])
 
 
+def _close(cell, fp, sig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a cell that are within NEAR in their first bits and FAR in all, and how many bits differ, in portions."""
+    for i, j in GrayIndex(cell, fp.view(np.uint64)).pairs(NEAR):
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            d = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int32)
+            yield a[d <= FAR], b[d <= FAR], d[d <= FAR]
+
+
+def _signatures_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(3).to_pylist()), "<u8").reshape(-1, WORDS)
+
+
+def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, fp, node, sig), those that have another within FAR bits in their cell."""
+    for table in _whole_cells(batches, 1 << 14):
+        cell, fp, node = (table.column(i).to_numpy() for i in range(3))
+        hit = np.zeros(len(cell), bool)
+        for i, j, _ in _close(cell, fp, _signatures_of(table)):
+            hit[i] = hit[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(cell[hit]), pa.array(fp[hit]), pa.array(node[hit])], names=["cell", "fp", "node"])
+
+
 def _verified(alike: float):
     """Of each cell, a spanning forest of the links: candidates come nearest first, what is connected already is left out, and
     each one left is held against the shingles."""
@@ -131,12 +154,9 @@ def _verified(alike: float):
     def forest_of(cell, fp, node, sig, sets) -> pa.RecordBatch:
         size = np.array([len(s) for s in sets], dtype=np.int64)
         found = [np.zeros((3, 0), np.int32)]
-        for i, j in GrayIndex(cell, fp).pairs(NEAR):
-            for at in range(0, len(i), 1 << 16):
-                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                d = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int32)
-                ok = (d <= FAR) & (np.minimum(size[a], size[b]) * 1000 >= np.maximum(size[a], size[b]) * part)
-                found.append(np.stack([a[ok], b[ok], d[ok]]).astype(np.int32))
+        for i, j, d in _close(cell, fp, sig):
+            ok = np.minimum(size[i], size[j]) * 1000 >= np.maximum(size[i], size[j]) * part
+            found.append(np.stack([i[ok], j[ok], d[ok]]).astype(np.int32))
         i, j, d = np.concatenate(found, axis=1)
         order = np.argsort(d, kind="stable")
         i, j = i[order], j[order]
@@ -159,9 +179,8 @@ def _verified(alike: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_cells(batches, CELL):
             cell, fp, node = (table.column(k).to_numpy() for k in range(3))
-            sig = np.frombuffer(b"".join(table.column(3).to_pylist()), "<u8").reshape(-1, WORDS)
             sets = [np.frombuffer(x, np.uint32) for x in table.column(4).to_pylist()]
-            yield forest_of(cell, fp.view(np.uint64), node, sig, sets)
+            yield forest_of(cell, fp, node, _signatures_of(table), sets)
 
     return run
 
@@ -171,8 +190,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, alike: float = AL
     two, they share a part of `alike` or more.
 
     Texts of equal shingle sets are one node. A node's signature is a SimHash of 16 bits for each band; nodes that agree
-    in a band form a bucket, the Gray-order index finds those that are near within it, and only these have their
-    shingles looked up for the exact similarity. A bucket of more than `cell` nodes is dealt into portions, and a task has two of
+    in a band form a bucket, the Gray-order index finds those that are near within it, first by 64 bits, then by the
+    whole signature, and only these have their shingles looked up for the exact similarity. A bucket of more than `cell` nodes is dealt into portions, and a task has two of
     them at a time: no pair is lost by that. What the bands miss (see BANDS) is the only loss; every link is exact but
     for equal 32-bit (nodes: 64-bit) hashes.
 
@@ -194,7 +213,9 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, alike: float = AL
     else:
         rows = rows.withColumnRenamed("key", "cell")
     rows = _by_cell(rows, n).select("cell", "fp", "node")
-    cand = written(rows.mapInArrow(_paired, "cell long, fp long, node long"), "sim-cand")
+    near = written(rows.mapInArrow(_paired, "cell long, fp long, node long"), "sim-near")
+    near = _by_cell(near.join(nodes.select("node", "sig"), "node"), n).select("cell", "fp", "node", "sig")
+    cand = written(near.mapInArrow(_closer, "cell long, fp long, node long"), "sim-cand")
     want = cand.select("node").distinct().join(nodes.select("node", "first"), "node")
     texts = want.join(d, F.col("first") == F.col("doc_id")).select("node", "t")
     sets = written(texts.mapInArrow(_sets(shingle), "node long, sig binary, shingles binary").dropDuplicates(["node"]), "sim-sets")
