@@ -192,8 +192,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, alike: float = AL
     Texts of equal shingle sets are one node. A node's signature is a SimHash of 16 bits for each band; nodes that agree
     in a band form a bucket, the Gray-order index finds those that are near within it, first by 64 bits, then by the
     whole signature, and only these have their shingles looked up for the exact similarity. A bucket of more than `cell` nodes is dealt into portions, and a task has two of
-    them at a time: no pair is lost by that. What the bands miss (see BANDS) is the only loss; every link is exact but
-    for equal 32-bit (nodes: 64-bit) hashes.
+    them at a time: no pair is lost by that. What the bands (see BANDS) and the bounds NEAR and FAR miss, the latter about once in a thousand
+    times at most, is the only loss; every link is exact but for equal 32-bit (nodes: 64-bit) hashes.
 
     Letters A-Z count as a-z. Null texts count as empty; texts without words are one node, those of fewer words than a shingle
     one shingle. Null doc_ids have no row here. Repeated rows give repeated rows; of rows that share a doc_id but not the text
