@@ -73,7 +73,7 @@ class BlobLedger:
     def _read(self, name: str, schema: str) -> DataFrame:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).select("x.*")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def seen(self, rules: str) -> DataFrame:
