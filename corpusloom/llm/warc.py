@@ -20,6 +20,7 @@ from .common import fresh_path, partitions, read
 SHARD_IDS, ROLL_BYTES, REVISIT_FROM, LEVEL = 1024, 32 << 20, 0, 6
 DATE = "2024-01-01T00:00:00Z"  # records carry no time in the table; a fixed one keeps archives the same
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST = "file string, records long, bytes long, sha256 string"
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -87,14 +88,33 @@ def _write(root: str, roll: int):
     return run
 
 
+def _publish(root: str):
+    """Gives files their names, and passes on their lines of the manifest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _fs(root)
+        for batch in batches:
+            for name, temp, size in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3)], strict=True):
+                try:
+                    fs.move(f"{base}/{temp}", f"{base}/{name}")
+                except OSError:  # an attempt that was lost after it may have named the file
+                    found = fs.get_file_info(f"{base}/{name}")
+                    if found.type != pafs.FileType.File or found.size != size:
+                        raise
+            yield batch.select(["file", "records", "bytes", "sha256"])
+
+    return run
+
+
 def write_warc(pages: DataFrame, root: str, shard_ids: int = SHARD_IDS, roll: int = ROLL_BYTES, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) under root and returns the manifest: file, records, bytes,
-    sha256, in the order of names.
+    sha256, in no order.
 
     Records are sorted by page_id; a shard holds shard_ids successive ids and a shard's file is closed once it has `roll`
     compressed bytes, so names and bytes depend on the rows alone and not on how Spark deals them. Each task writes to
-    temporary names with its own attempt in them; the manifest, which only a complete job has, says which attempt counts.
-    Then files get their names and the manifest is written, last. What a lost task left is deleted with the temporary folder.
+    temporary names with its own attempt in them; a first manifest, which only a complete job has, says which attempt counts.
+    A second job gives these files their names and writes the manifest, which is there only once all have them; a task
+    of it that runs again finds its files named. What a lost task left is deleted with the temporary folder.
 
     Equal payloads (by SHA-1) of revisit_from bytes or more: the one of largest page_id is the response, the others
     revisit it; of rows that repeat that page_id all are responses. Null html: empty payload. Null page_id: shard 0's first
@@ -116,14 +136,9 @@ def write_warc(pages: DataFrame, root: str, shard_ids: int = SHARD_IDS, roll: in
     fs.mkdirs(base(f"{root}/_temporary"))
     files = dealt.mapInArrow(_write(root, roll), "file string, temp string, records long, bytes long, sha256 string")
     files.write.parquet(f"{root}/_temporary/manifest")  # Spark's own commit decides which attempts count
-    done = spark.read.schema(files.schema).parquet(f"{root}/_temporary/manifest").orderBy("file")
-    lines = []
-    for r in done.toLocalIterator():
-        if not fs.rename(base(f"{root}/{r['temp']}"), base(f"{root}/{r['file']}")) and not fs.exists(base(f"{root}/{r['file']}")):
-            raise OSError(f"{root}/{r['temp']} can't be renamed")
-        lines.append((r["file"], r["records"], r["bytes"], r["sha256"]))
-    manifest = spark.createDataFrame(lines, "file string, records long, bytes long, sha256 string")
-    manifest.coalesce(1).write.parquet(f"{root}/manifest")
+    done = spark.read.schema(files.schema).parquet(f"{root}/_temporary/manifest")
+    manifest = done.repartition(n, "file").mapInArrow(_publish(root), MANIFEST)
+    manifest.write.parquet(f"{root}/manifest")
     fs.delete(base(f"{root}/_temporary"), True)
     return spark.read.schema(manifest.schema).parquet(f"{root}/manifest")
 
