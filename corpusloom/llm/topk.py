@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -106,23 +106,23 @@ def _search(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """From id, v (array<long>) of both sides: query_id, rank, vec_id, score of the k best rows of each query.
 
-    Vectors are dealt into shards of about shard_rows, queries into blocks of about block_rows, both by row number hash
-    (equal ids or vectors don't meet). Each shard meets each block once; a shard returns k rows a query, and the shards'
-    lists are merged by score, ties to the smaller id. A query's own id is no candidate. Repeated ids are rows of their own among candidates;
-    repeated query ids give each the same list, merged into one of k rows.
+    Vectors are dealt into shards of about shard_rows by a hash of the row number (equal ids or vectors don't meet), queries into
+    blocks of at most about block_rows by a hash of what they hold. Each shard meets each block once; a shard returns k rows a
+    query, and the shards' lists are merged by score, ties to the smaller id. A query's own id is no candidate. Repeated ids are rows of
+    their own among candidates; queries equal in id and vector are one query, those equal in id alone have their lists merged into one of k rows.
     """
-    def packed(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
-        n = -(-max(1, df.count()) // rows)
-        dealt = df.select(F.struct("id", "v").alias("r"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias(name))
-        return dealt.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows")), n
+    def packed(df: DataFrame, n: int, name: str, *by: Column | str) -> DataFrame:
+        dealt = df.select(F.struct("id", "v").alias("r"), F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias(name))
+        return dealt.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows"))
 
-    shards, n = packed(vectors, shard_rows, "shard")
-    blocks, _ = packed(queries, block_rows, "block")
+    n, n_blocks = (-(-max(1, df.count()) // rows) for df, rows in ((vectors, shard_rows), (queries, block_rows)))
+    shards = packed(vectors, n, "shard", F.monotonically_increasing_id())
+    blocks = packed(queries.select("id", "v").distinct(), n_blocks, "block", "id", "v")
     blocks = blocks.select("block_rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
     pairs = shards.join(blocks, "shard").select("shard", "shard_rows", "block_rows")
     hits = written(pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long"), "hits")
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.distinct().withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(table: DataFrame, scale: int = SCALE) -> DataFrame:

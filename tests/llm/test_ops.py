@@ -307,6 +307,15 @@ def test_top_k(spark):
         assert [got[q][k] for k in range(1, 6)] == [(i, -s) for s, i in best]
 
 
+def test_top_k_repeated_rows(spark):
+    rows = [(1, [9]), *[(2, [8])] * 7, (3, [7]), (100, [1]), (100, [1]), (150, [1]), (150, [-1])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = topk.top_k(df, df.filter("id >= 100"), 9, shard_rows=4).orderBy("query_id", "rank").collect()
+    assert [tuple(r)[2:] for r in got if r["query_id"] == 100] == [(1, 9), *[(2, 8)] * 7, (3, 7)]
+    assert [tuple(r)[2:] for r in got if r["query_id"] == 150] == [(1, 9), *[(2, 8)] * 7, (3, 7)]
+    assert [r["rank"] for r in got] == [*range(1, 10)] * 2
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [-0.001, 0.2]), (None, [1.0, 1.0])]
     got = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("id").collect()
@@ -326,6 +335,9 @@ def test_warc_round_trip(spark):
             ("1", "revisit", 4, 9), ("2", "revisit", 3, 0), ("3", "response", None, 0), ("4", "response", None, 9), ("5000", "response", None, 200_000), ("None", "revisit", 6, 1), ("6", "response", None, 1), ("6", "response", None, 1)])
         assert {r["payload"] for r in got if r["page_id"] == 4} == {"<p>é</p>"}
     assert runs[0] == runs[1]
+    lines = [(f, "_temporary/gone", n, size, sha) for f, n, size, sha in runs[1]]  # named by an attempt that was lost
+    again = spark.createDataFrame(lines, "file string, temp string, records long, bytes long, sha256 string").mapInArrow(warc._publish(root), warc.MANIFEST)
+    assert sorted(tuple(r) for r in again.collect()) == runs[1]
     empty = warc.write_warc(df.limit(0), root := warc.fresh_path(spark, "t"))
     assert warc.read_warc(spark, root, empty).count() == 0
 
