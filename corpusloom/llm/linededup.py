@@ -230,11 +230,13 @@ def _verify(tau: int):
     return run
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), norm, line of every line with a word: norm has single spaces and bare ends, line is its 64-bit hash."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
+def line_table(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, line_no (from 0), the column row if named, norm, line of every line with a word: norm has single spaces and bare
+    ends, line is its 64-bit hash."""
+    own = [row] if row else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
     bare = F.btrim("raw", F.lit(GAP_CHARS))
-    d = d.filter(bare != "").select("doc_id", "line_no", _spaced(bare).alias("norm"))
+    d = d.filter(bare != "").select("doc_id", "line_no", *own, _spaced(bare).alias("norm"))
     return d.withColumn("line", F.xxhash64("norm"))
 
 
@@ -243,7 +245,7 @@ def _spaced(bare: Column) -> Column:
     return F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, WORD_GAP, " ")).otherwise(bare)
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, row: str | None = None) -> DataFrame:
     """doc_id, line_no, class_doc_id, class_line_no, n_copies, n_links, kept of every line that holds a word.
 
     Lines with equal words are one line. Two different lines link if both have `least` code points or more and differ by at most
@@ -255,21 +257,24 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFra
     portions of a key is verified by one task, which returns link counts and a spanning forest instead of pairs.
 
     Null and empty texts have no lines. Rows that repeat a doc_id are one document: the same line at the same place is
-    kept in all or none of them. Ties can't arise. An empty table gives no rows. Lines are told apart by 64-bit hashes, links by texts.
+    kept in all or none of them. Where row names a column that is different in all rows, each row is a document of its own: the
+    column is in the result, breaks ties of doc_id and line_no, and one line of a class is kept. An empty table gives no rows. Lines are told apart by 64-bit hashes, links by texts.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    lines = line_table(docs)
-    occ = written(lines.select("doc_id", "line_no", "line"), "lines")
-    first = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
+    lines = line_table(docs, row)
+    at = ["doc_id", "line_no", *([row] if row else [])]
+    occ = written(lines.select(*at, "line"), "lines")
+    first = occ.groupBy("line").agg(F.min(F.struct(*at)).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     long = lines.select("line", "norm")  # short lines are left out there: a filter here would make norm twice
     keys = long.mapInArrow(_signatures(tau, least), KEYS).repartition(n, "key").sortWithinPartitions("key", "line")
     cand = written(keys.mapInArrow(_candidates, "cell long, key long, line long, role int, portion int"), "line-cand")
     first = written(first, "line-first")
-    # One place of each candidate; all rows of that doc_id are looked at, and those with another line there left out.
-    place = cand.select("line").distinct().join(first, "line").select(F.coalesce("first.doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), "first.line_no", F.col("line").alias("want"))
+    # One place of each candidate; all rows of that doc_id (or the one row) are looked at, and those with another line there left out.
+    name = row or "doc_id"
+    place = cand.select("line").distinct().join(first, "line").select(F.coalesce(f"first.{name}", F.lit(-(1 << 63)).cast("long")).alias("d"), "first.line_no", F.col("line").alias("want"))
     place = place.groupBy("d").agg(F.collect_list(F.struct("line_no", "want")).alias("wanted"))  # no more than a text has lines
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), text_of().alias("t")).join(place, "d")
+    texts = docs.select(F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), text_of().alias("t")).join(place, "d")
     texts = texts.withColumn("all", F.split("t", "\n")).select(F.explode(F.transform("wanted", lambda w: F.struct(w["want"].alias("line"), F.get("all", w["line_no"]).alias("raw")))).alias("x")).select("x.*")
     texts = texts.withColumn("norm", _spaced(F.btrim("raw", F.lit(GAP_CHARS)))).filter(F.xxhash64("norm") == F.col("line")).select("line", "norm").dropDuplicates(["line"])
     cells = cand.join(texts, "line").select("cell", "key", "line", "role", "portion", "norm").repartition(n, "cell").sortWithinPartitions("cell", "line")
@@ -283,14 +288,20 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFra
     each = first.join(linked, "line", "left").select("line", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("head", "first").alias("head"))
     out = occ.join(each, "line")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
-    return out.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "n_copies", "n_links", kept.alias("kept"))
+    if row:
+        kept = kept & (F.col(row) == F.col(f"head.{row}"))
+    return out.select(*at, F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "n_copies", "n_links", kept.alias("kept"))
 
 
 def without_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """The documents without the lines that are not kept, in the columns of docs; n_chars, if there, counts the new text.
-    Lines without words stay. A document that loses all its lines with words goes; one that had none stays."""
-    drops = line_classes(docs, **how).filter("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop")).withColumnRenamed("doc_id", "__d")
-    d = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left")
+    Lines without words stay. A document that loses all its lines with words goes; one that had none stays.
+
+    Each row is judged by itself, whatever its doc_id: rows with a null or repeated doc_id lose their own repeated lines only.
+    Where such rows hold a line at the same place, one of them (any) keeps it."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "line-rows")  # the ids must not change between uses
+    drops = line_classes(rows, row="__row", **how).filter("not kept").groupBy("__row").agg(F.collect_set("line_no").alias("__drop"))
+    d = rows.join(drops, "__row", "left")
     left = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains("__drop", i))
     d = d.withColumn("__text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     d = d.filter(F.col("__drop").isNull() | (F.btrim("__text", F.lit(GAP_CHARS)) != ""))

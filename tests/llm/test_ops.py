@@ -172,6 +172,20 @@ def test_line_join_brute_force(spark, cell, monkeypatch):
     assert sum(links.values()) > 20
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    line = "A line of well over forty code points that near copies repeat{}."
+    rows = [
+        (None, "first of one\nshared here\nlast of one"), (None, "first of two\nclean two\nshared here\nlast of two"), (None, "first of three\nshared here\nlast of three"),
+        (7, "first of four\nshared here\nlast of four"), (7, "first of five\nclean five\nlast of five"), (8, line.format("")), (None, "x\n" + line.format("s") + "\n" + line.format("!!")),
+        (9, None), (9, " \n "), (10, "whole row"), (10, "whole row"),
+    ]
+    got = [r["text"] for r in linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    lines = [x for t in got for x in (t or "").split("\n") if x.strip()]
+    unique = {x for _, t in rows for x in (t or "").split("\n") if x.strip()} - {line.format(""), line.format("!!")}
+    assert sorted(lines) == sorted(unique)
+    assert got.count(None) == 1 and got.count(" \n ") == 1 and "first of five\nclean five\nlast of five" in got
+
+
 def plain_fingerprint(text, n=3):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
