@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("as-is-mit", r"the software is provided as is without warranty of any kind.*"),
     ("no-liability-mit", r"in no event shall the authors or copyright holders be liable for any claim.*"),
     ("isc-grant", r"permission to use copy modify and ?(?:or)? distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("as-is-isc", r"the software is provided as is and (?:the author|isc) disclaims all warranties.*"),
+    ("as-is-isc", r"the software is provided as is and (?:the authors?|isc|.* consortium) disclaims? all warranties.*"),
     ("apache-2.0", r"(?:this \w+ is )?licen[cs]ed under the apache licen[cs]e version 2\.?0?(?: the licen[cs]e)?"),
     ("apache-2.0-only-if", r"you may not use this file except in compliance with the licen[cs]e"),
     ("apache-2.0-obtain", r"you may obtain a copy of the licen[cs]e at.*"),
@@ -37,8 +38,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("lgpl", r"(?:this \w+ is )?(?:released|licen[cs]ed|distributed) under (?:the )?(?:terms of )?(?:the )?gnu (?:lesser|library) general public licen[cs]e(?: version)? (?P<v>[23](?:\.[01])?)(?P<later> or \(?at your option\)? any later version| or later)?"),
     ("agpl", r"(?:this \w+ is )?(?:released|licen[cs]ed|distributed) under (?:the )?(?:terms of )?(?:the )?gnu affero general public licen[cs]e(?: version)? (?P<v>3(?:\.0)?)(?P<later> or later)?"),
     ("gpl", r"(?:this \w+ is )?(?:released|licen[cs]ed|distributed) under (?:the )?(?:terms of )?(?:the )?gnu (?:general )?public licen[cs]e(?: version)? (?P<v>[123](?:\.0)?)(?P<later> or at your option any later version| or later)?"),
-    ("gpl-free", r"this (?:program|file|library) is free software you can redistribute it and ?(?:or)? modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version (?P<v>[23]) of the licen[cs]e or at your option any later version"),
-    ("lgpl-free", r"this (?:program|file|library) is free software you can redistribute it and ?(?:or)? modify it under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation either version (?P<v>[23](?:\.1)?) of the licen[cs]e or at your option any later version"),
+    ("gpl-free", r"this (?:program|file|library) is free software you can redistribute it and ?(?:or)? modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version (?P<v>[123])(?:\.0)? of the licen[cs]e (?P<later>or at your option any later version)"),
+    ("lgpl-free", r"this (?:program|file|library) is free software you can redistribute it and ?(?:or)? modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e as published by the free software foundation either version (?P<v>[23](?:\.[01])?) of the licen[cs]e (?P<later>or at your option any later version)"),
     ("gpl-hope", r"this (?:program|file|library) is distributed in the hope that it will be useful but without any warranty.*"),
     ("gpl-details", r"see the gnu (?:lesser |library |affero )?general public licen[cs]e for more details"),
     ("gpl-received", r"you should have received a copy of the gnu .*"),
@@ -61,10 +62,10 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("mit-grant", "mit-notice"), "MIT"),
     (("isc-grant", "as-is-isc"), "ISC"),
     (("apache-2.0", "apache-2.0-only-if", "apache-2.0-obtain", "apache-2.0-as-is"), "Apache-2.0"),
-    (("gpl-free", "gpl-hope", "gpl-details"), "GPL-{v}.0-or-later"),
-    (("lgpl-free", "gpl-hope", "gpl-details"), "LGPL-{v}-or-later"),
-    (("gpl-free",), "GPL-{v}.0-or-later"),
-    (("lgpl-free",), "LGPL-{v}-or-later"),
+    (("gpl-free", "gpl-hope", "gpl-details"), "GPL-{v}{+}"),
+    (("lgpl-free", "gpl-hope", "gpl-details"), "LGPL-{v}{+}"),
+    (("gpl-free",), "GPL-{v}{+}"),
+    (("lgpl-free",), "LGPL-{v}{+}"),
     (("mpl-2.0", "mpl-obtain"), "MPL-2.0"),
     (("mpl-2.0",), "MPL-2.0"),
     (("apache-2.0",), "Apache-2.0"),
@@ -78,11 +79,20 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("see-license",), "LicenseRef-see-file"),
     (("reserved",), "LicenseRef-all-rights-reserved"),
 ]
-#: A sentence is only looked at if it holds one of these; all patterns above need one.
-HINT = re.compile(r"licen[cs]e|copyright|permission|warrant|liable|redistribut|reserved|public domain|endorse|advertising|spdx|\(c\)|©|free software|obtain|gnu|compliance|received|disclaim", re.I)
-#: Sentences end at a line's end, or after . ! ? ; : and a gap; licences wrapped over lines are joined first (WRAPPED).
+#: A sentence is only looked at if it holds one of these; all patterns above need one. Words may stand on two lines.
+HINT = re.compile(r"licen[cs]e|copyright|permission|warrant|liable|redistribut|reserved|public[^a-z0-9]+domain|endorse|advertising|spdx|\(c\)|©|free[^a-z0-9]+software|obtain|gnu|compliance|received|disclaim", re.I)
+#: Words that patterns start with, past a number; a sentence that starts otherwise is not looked at.
+FIRST = re.compile(r"[^a-z0-9©]{0,400}(?:[0-9][^a-z0-9©]{1,400})?(?:©|(?:c|copyright|spdx-licen[cs]e-identifier|this|it|released|licen[cs]ed|distributed|available|provided|published|permission|the|in|into|to|free|isc|you|unless|redistributions?|neither|all|see|if|except|please)(?![a-z0-9]))", re.I)
+#: Sentences end after . ! ? ; : and a gap (CUT), or, as some notices hold ; and :, only after . ! ? and a gap (STOP); the lines of a
+#: paragraph are joined for that. They also end at a line's end, past lines that go on in lower case (WRAPPED).
 CUT = re.compile(r"(?<=[.!?;:])(?<!dentifier:)[\x20\x09-\x0D]+")
+STOP = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
 WRAPPED = re.compile(r"\n(?=[a-z(\"'])")
+#: Comment marks and indentation before a line.
+MARKS = re.compile(r"^[ \t]*(?:(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|!+|>+|\|+|<!--+|(?:dnl|rem|REM)(?![^ \t\n]))[ \t]*)+|^[ \t]+", re.M)
+BREAK, GAP, LETTER = re.compile("\n"), re.compile(r"[\x20\x09-\x0D]*"), re.compile(r"[^\W\d_]")
+#: Code points that a sentence over several lines may have (the longest of the patterns' texts have about 700).
+LONGEST = 4000
 NOISE = re.compile(r"[^a-z0-9.+()\x20-]+")
 _CASED = {name.lower(): name for _, name in RULES if "{" not in name}
 _ALL = [(name, re.compile(p)) for name, p in SENTENCES]
@@ -97,24 +107,60 @@ def normalise(sentence: str) -> str:
 def sentence_ids(text: str) -> list[tuple[str, int, int, dict[str, str]]]:
     """(identifier, start, end, parts) of each known sentence of a text, in its order."""
     found = []
-    joined = WRAPPED.sub(" ", text)  # keeps the length, so places stay true
-    for line in re.finditer(r"[^\n]+", joined):
-        raw = line[0]
-        if not HINT.search(raw):
+    flat = MARKS.sub(lambda m: " " * len(m[0]), text)  # keeps the length, so places stay true
+    for lo, hi in _paragraphs(flat):
+        if not HINT.search(flat, lo, hi):
             continue
-        at = 0
-        for part in [*(m.span() for m in CUT.finditer(raw)), (len(raw), len(raw))]:
-            s = raw[at : part[0]]
-            if s and HINT.search(s):
-                norm = normalise(s)
-                for name, p in _ALL:
-                    if m := p.fullmatch(norm):
-                        found.append((name, line.start() + at, line.start() + part[0], {k: v for k, v in m.groupdict().items() if v}))
-                        break
-            at = part[1]
+        cuts = [m.span() for m in CUT.finditer(flat, lo, hi)]
+        stops = [*(m.start() for m in STOP.finditer(flat, lo, hi)), hi]
+        lines = [*(m.start() for m in BREAK.finditer(flat, lo, hi)), hi]
+        runs = [k for k in lines if k == hi or not WRAPPED.match(text, k)]  # a marked or indented line may be one of a list
+        starts: dict[int, int] = {}  # by the first place that is no gap: a line's start and the end of a cut may be the same
+        for at in sorted({lo, *(b for _, b in cuts if b < hi), *(k + 1 for k in runs if k < hi)}):
+            starts.setdefault(GAP.match(flat, at).end(), at)
+        ends = [*(a for a, _ in cuts), hi]
+        for at in starts.values():
+            if not FIRST.match(flat, at, hi):
+                continue
+            line, *others = (x[bisect_left(x, at + 1)] for x in (lines, ends, stops, runs))
+            tried = set()
+            for end in (*others, line, min(line, others[0])):
+                if end in tried or (end - at > LONGEST and end > line):
+                    continue
+                tried.add(end)
+                if (hit := _known(flat[at:end])) is not None:
+                    name, parts = hit
+                    if found and found[-1][0] == name and at < found[-1][2] and not LETTER.search(flat, found[-1][1], at):
+                        found.pop()  # the same sentence, from the number or mark before it
+                    # a copyright line holds any words, so it ends with its line
+                    found.append((name, at, min(end, line) if name == "copyright" else end, parts))
+                    break
     return found
 
 
+def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of lines that are not blank."""
+    at, lo, hi = 0, -1, 0
+    for line in text.split("\n"):
+        if line.strip():
+            lo, hi = at if lo < 0 else lo, at + len(line)
+        elif lo >= 0:
+            yield lo, hi
+            lo = -1
+        at += len(line) + 1
+    if lo >= 0:
+        yield lo, hi
+
+
+def _known(sentence: str) -> tuple[str, dict[str, str]] | None:
+    if HINT.search(sentence):
+        norm = normalise(sentence)
+        for name, p in _ALL:
+            if m := p.fullmatch(norm):
+                return name, {k: v for k, v in m.groupdict().items() if v}
+    return None
+
+
 def _name(rule: str, parts: dict[str, str]) -> str:
     if rule == "{cc}":
         kind = parts["kind"].replace(" ", "-")

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -374,6 +375,51 @@ def test_licences(text, names):
     assert licenses.licences(licenses.sentence_ids(text)) == names
 
 
+GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+ADVERT = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+OWNER = "Copyright (c) 2020, A. Person"
+
+
+def gnu(what, of, mark, version):
+    return [
+        f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {of}General Public License as published by the Free Software Foundation{mark.replace(':', ',')} either version {version} of the License, or (at your option) any later version.",
+        f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {of}General Public License for more details.",
+        f"You should have received a copy of the GNU {of}General Public License along with this {what}. If not, see <https://www.gnu.org/licenses/>.",
+    ]
+
+
+#: The published texts by paragraph.
+TEXTS = {
+    "MIT": ["MIT License", OWNER, """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""],
+    "ISC": [OWNER, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS."""],
+    "BSD-2-Clause": [OWNER, GRANT, f"1. {SOURCE}", f"2. {BINARY}", DISCLAIMER],
+    "BSD-3-Clause": [OWNER, GRANT, f"1. {SOURCE}", f"2. {BINARY}", f"3. {NAME}", DISCLAIMER],
+    "BSD-4-Clause": [OWNER, GRANT, f"1. {SOURCE}", f"2. {BINARY}", f"3. {ADVERT}", f"4. {NAME}", DISCLAIMER],
+    "Apache-2.0": [OWNER, """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at""", "    http://www.apache.org/licenses/LICENSE-2.0",
+        """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""],
+    "GPL-2.0-or-later": gnu("program", "", ";", "2"), "GPL-3.0-or-later": gnu("program", "", ":", "3"),
+    "LGPL-2.1-or-later": gnu("library", "Lesser ", ";", "2.1"), "LGPL-3.0-or-later": gnu("program", "Lesser ", ":", "3"),
+}
+
+
+@pytest.mark.parametrize("before", ["", "# ", " * ", "// ", "    ", "-- ", ";; "])
+@pytest.mark.parametrize("name", TEXTS)
+def test_published_licences_wrapped(name, before):
+    for gap in ("\n\n", "\n"):  # paragraphs apart, and one below the other
+        text = gap.join(textwrap.fill(p, 80 - len(before)) for p in TEXTS[name])
+        text = "/*\n" * (before == " * ") + "\n".join(before + x for x in text.split("\n")) + "\n */" * (before == " * ")
+        ids = licenses.sentence_ids(text)
+        assert licenses.licences(ids) == [name], (gap, ids)
+        assert len({x[0] for x in ids}) == len(ids) and all(0 <= a < b <= len(text) for _, a, b, _ in ids)
+
+
 def test_licence_lines_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     known = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "All rights reserved.": "LicenseRef-all-rights-reserved"}
