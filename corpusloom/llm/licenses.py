@@ -80,7 +80,7 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("reserved",), "LicenseRef-all-rights-reserved"),
 ]
 #: A sentence is only looked at if it holds one of these; all patterns above need one. Words may stand on two lines.
-HINT = re.compile(r"licen[cs]e|copyright|permission|warrant|liable|redistribut|reserved|public[^a-z0-9]+domain|endorse|advertising|spdx|\(c\)|©|free[^a-z0-9]+software|obtain|gnu|compliance|received|disclaim", re.I)
+HINT = re.compile(r"licen[cs]e|copyright|permission|warrant|liable|redistribut|reserved|public[^a-z0-9]+domain|endorse|advertising|spdx|\(c\)|©|free[^a-z0-9]+software|obtain|gnu|compliance|received|disclaim|creative[^a-z0-9]+commons|(?<![a-z0-9])cc(?![a-z0-9])|(?<![a-z0-9])c[^a-z0-9]+(?:19|20)\d\d", re.I)
 #: Words that patterns start with, past a number; a sentence that starts otherwise is not looked at.
 FIRST = re.compile(r"[^a-z0-9©]{0,400}(?:[0-9][^a-z0-9©]{1,400})?(?:©|(?:c|copyright|spdx-licen[cs]e-identifier|this|it|released|licen[cs]ed|distributed|available|provided|published|permission|the|in|into|to|free|isc|you|unless|redistributions?|neither|all|see|if|except|please)(?![a-z0-9]))", re.I)
 #: Sentences end after . ! ? ; : and a gap (CUT), or, as some notices hold ; and :, only after . ! ? and a gap (STOP); the lines of a

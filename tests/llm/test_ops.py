@@ -420,6 +420,46 @@ def test_published_licences_wrapped(name, before):
         assert len({x[0] for x in ids}) == len(ids) and all(0 <= a < b <= len(text) for _, a, b, _ in ids)
 
 
+def samples(tree):
+    """Texts of a parsed pattern: the shortest one first, then one for each alternative and option of it."""
+    parts = []
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts.append([chr(arg)])
+        elif kind == "SUBPATTERN":
+            parts.append(samples(arg[-1]))
+        elif kind == "BRANCH":
+            parts.append([x for branch in arg[1] for x in samples(branch)])
+        elif kind == "MAX_REPEAT":
+            parts.append(["".join(samples(arg[2])[0] for _ in range(arg[0])), *samples(arg[2])])
+        elif kind == "IN":
+            parts.append([chr(v) if str(k) == "LITERAL" else chr(v[0]) if str(k) == "RANGE" else {"CATEGORY_DIGIT": "1", "CATEGORY_WORD": "w"}[str(v)] for k, v in arg])
+        else:
+            assert kind == "ANY", kind
+            parts.append(["z"])
+    return ["".join(p[0] for p in parts), *("".join(x if k == i else p[0] for k, p in enumerate(parts)) for i, q in enumerate(parts) for x in q[1:])]
+
+
+@pytest.mark.parametrize(("name", "pattern"), licenses.SENTENCES)
+def test_every_alternative_passes_the_filters(name, pattern):
+    from re import _parser
+
+    texts = samples(_parser.parse(pattern))
+    assert len(texts) > 1 or not re.search(r"[|?*\[]", pattern)
+    for x in texts:
+        assert re.fullmatch(pattern, x) and licenses.HINT.search(x) and licenses.FIRST.match(x), x
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("Released under CC BY 4.0.", ["CC-BY-4.0"]), ("Some words.\nPublished under Creative Commons BY-SA 4.0\nmore", ["CC-BY-SA-4.0"]), ("Available under the CC0 or so.", []),
+    ("Available under Creative\nCommons BY 3.0.", ["CC-BY-3.0"]), ("The accc is a gcc.", []),
+])
+def test_cc_without_another_hint(text, names):
+    assert licenses.licences(licenses.sentence_ids(text)) == names
+    assert bool(licenses.HINT.search(text)) >= bool(names)
+
+
 def test_licence_lines_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     known = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "All rights reserved.": "LicenseRef-all-rights-reserved"}
