@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("w"))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: str = SEED) -> DataFrame:
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: str = SEED, fill: bool = False) -> DataFrame:
     """How many copies of each document the mix takes.
 
     With r = target / source_size, every document first gets floor(r) certain copies; p = r - floor(r) is left to
@@ -52,6 +52,9 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     the sample's size is fixed in words. Documents are taken while they fit; one more, the unsampled document whose
     size comes closest to the rest (ties: rank, doc_id), closes the gap if that brings the sum nearer.
 
+    A long document in the order ends that early. With fill, what it leaves open is filled from the documents after it, in rank
+    order, before the closing one is chosen (see _filled); without, the sample is the one of OP9_SQL.
+
     p is one for a source, so within it the rank rises with u, and u, 60 bits of a seeded hash, is cut into cells: sums by
     cell find the cell where the target is crossed, and only that cell's rows are sorted. No source meets in one task.
 
@@ -64,10 +67,10 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         word_count(text_of()).alias("size"), seeded(seed, F.col("doc_id")).alias("h"),
         F.monotonically_increasing_id().alias("row"),
     ), "mix")
-    return _copies(base, weights, share, ceiling)
+    return _copies(base, weights, share, ceiling, fill)
 
 
-def _copies(base: DataFrame, weights: tuple[int, ...], share: float, ceiling: float) -> DataFrame:
+def _copies(base: DataFrame, weights: tuple[int, ...], share: float, ceiling: float, fill: bool) -> DataFrame:
     cells = bucket_count(base.count())
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (
@@ -82,15 +85,13 @@ def _copies(base: DataFrame, weights: tuple[int, ...], share: float, ceiling: fl
     p = F.least(F.col("p"), F.lit(1 - 1e-12))
     rows = _with(base, plan, ["source"]).withColumn("q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
     rows = rows.withColumn("cell", F.floor(F.col("h") / F.lit(HASH_SPACE // cells)).cast("long"))
-    run = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("in_cell"))
-    cell = cell.withColumn("before", F.coalesce(F.sum("in_cell").over(run), F.lit(0))).drop("in_cell")
-    rows = _with(rows, cell, ["source", "cell"])
-    own = W.partitionBy("source", "cell").orderBy("q", "h", F.col("doc_id").asc_nulls_last(), "size", "row")
     # Only cells that the target may cross need an order; the rows of a cell are few, so all are sorted alike.
-    rows = rows.withColumn("sum", F.col("before") + F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    rows = _summed(rows)
     rows = rows.withColumn("fits", (F.col("p") > 0) & (F.col("sum") <= F.col("rest")))
     gap = rows.groupBy("source").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))), F.lit(0))).alias("gap"))
+    if fill:
+        rows = written(rows, "mix-ranks")
+        rows, gap = _filled(rows, gap)
     near = F.abs(F.col("gap") - F.col("size"))
     rows = _with(rows, gap, ["source"])
     last = rows.filter((F.col("p") > 0) & ~F.col("fits") & (F.col("size") > 0) & (near < F.abs("gap"))).groupBy("source").agg(
@@ -100,6 +101,63 @@ def _copies(base: DataFrame, weights: tuple[int, ...], share: float, ceiling: fl
     return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "row")
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    """Adds sum, the running sum of size in each source by rank, from sums by cell and an order within each cell."""
+    run = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("in_cell"))
+    cell = cell.withColumn("before", F.coalesce(F.sum("in_cell").over(run), F.lit(0))).drop("in_cell")
+    own = W.partitionBy("source", "cell").orderBy("q", "h", F.col("doc_id").asc_nulls_last(), "size", "row")
+    rows = _with(rows, cell, ["source", "cell"])
+    return rows.withColumn("sum", F.col("before") + F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0))).drop("before")
+
+
+def _filled(rows: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with more of them that fit, and the gaps that are left. Where the closing document would still miss the target by more
+    than a document of mean size, as only long ones are left, the shortest of these is taken and documents of the highest
+    ranks make room for it, if that comes nearer."""
+    open_, slim = (F.col("p") > 0) & (F.col("size") > 0), ["source", "cell", "q", "h", "doc_id", "size", "row"]
+    more, gap = _fill(rows.filter(open_ & ~F.col("fits")).select(slim), gap)
+    rows = _marked(rows, more, True)
+    left = _with(rows.filter(open_ & ~F.col("fits")).select(slim), gap, ["source"])
+    miss = left.groupBy("source").agg(F.least(F.min("gap"), F.min(F.abs(F.col("size") - F.col("gap")))).alias("miss"),
+        F.min(F.when(F.col("size") > F.col("gap"), F.struct("size", "q", "h", "row"))).alias("long"), F.min("gap").alias("gap"))
+    mean = rows.groupBy("source").agg(F.avg("size").alias("mean"))
+    far = written(_with(miss, mean, ["source"]).filter((F.col("miss") > F.col("mean")) & F.col("long").isNotNull()), "mix-far")
+    if not far.take(1):
+        return rows, gap
+    last_first = _with(rows.filter(open_ & F.col("fits")).select(slim), far.select("source", "miss"), ["source"]).filter("miss is not null")
+    last_first = last_first.select("source", *[(-F.col(c)).alias(c) for c in ("cell", "q", "h")], "doc_id", "size", "row")
+    room, over = _fill(last_first, far.select("source", (F.col("long.size") - F.col("gap")).alias("gap")))
+    swap = written(_with(far, over.withColumnRenamed("gap", "over"), ["source"]).filter(F.col("over") < F.col("miss")).select("source", F.col("long.row").alias("row"), "over"), "mix-swap")
+    out = _with(room.select("row", "source"), swap.select("source", "over"), ["source"]).filter("over is not null")
+    rows = _marked(_marked(rows, swap, True), out, False)
+    return rows, _with(gap, swap.select("source", "over"), ["source"]).select("source", F.coalesce(-F.col("over"), F.col("gap")).alias("gap"))
+
+
+def _fill(left: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the rows left, those (source, row) that fill the gaps of their sources, and the gaps that stay. A round takes, of the
+    documents of at most half the gap, those that fit before the first that doesn't, by rank: either that one shows the gap
+    to be halved, or all were taken and at most one more fits. So rounds grow with the logarithm of the gap."""
+    gap = written(gap, "mix-gap")
+    taken = written(left.select("source", "row").filter(F.lit(False)), "mix-none")
+    while True:
+        left = _with(left, gap, ["source"]).filter(F.col("size") * 2 <= F.col("gap"))
+        left = written(_summed(left).withColumn("now", F.col("sum") <= F.col("gap")).drop("sum", "gap"), "mix-left")
+        if not left.take(1):
+            return taken, gap
+        now = left.filter("now")
+        taken = taken.union(now.select("source", "row"))
+        more = now.groupBy("source").agg(F.sum("size").alias("more"))
+        gap = written(_with(gap, more, ["source"]).select("source", (F.col("gap") - F.coalesce("more", F.lit(0))).alias("gap")), "mix-gap")
+        left = left.filter(~F.col("now")).drop("now")
+
+
+def _marked(rows: DataFrame, some: DataFrame, fits: bool) -> DataFrame:
+    """rows, with fits set for those of some."""
+    some = some.select(F.col("row").alias("__row"))
+    return rows.join(some, F.col("row") == F.col("__row"), "left").withColumn("fits", F.when(F.col("__row").isNotNull(), fits).otherwise(F.col("fits"))).drop("__row")
+
+
 def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys of which the first may be null. The table is a small summary of the rows; Spark sends it to
     all executors only under its own size threshold, and else splits the large source's partitions at run time."""

@@ -89,6 +89,24 @@ def test_mix_targets(spark):
     assert mixing.mixed(docs).count() == sum(r["copies"] for r in rows)
 
 
+def test_mix_fills_past_long_documents(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        sizes = [rng.randint(20, 60) for _ in range(150)]
+        sizes.append(sum(sizes) // 4)  # a fifth of the source's words
+        rows += [(k * 1000 + i, "w " * n, f"s{k:02}" if k else None) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r["source"]: r["target"] for r in mixing.pareto_mix(docs).select("source", "target").distinct().collect()}
+    got = dict.fromkeys(target, 0)
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r["source"]] += len(r["text"]) // 2
+    assert len(target) == 30 and max(abs(got[s] - t) / t for s, t in target.items()) < 0.01
+    copies = mixing.pareto_mix(docs, fill=True)
+    assert copies.count() == len(rows) and copies.filter("copies < floor(target / source_size) or copies > floor(target / source_size) + 1").count() == 0
+
+
 def test_optimal_bounds_brute_force():
     rng = np.random.default_rng(1)
 
