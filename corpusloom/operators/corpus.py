@@ -22,10 +22,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def unique_lines(docs: DataFrame) -> DataFrame:
-    """Each different line (an empty one is a line too) at its first place by (doc_id, line_no). Counted with partial minima: a line that is everywhere
+    """Each different line (an empty one is a line too) at its first place by (doc_id, line_no), null doc_ids last. Counted with partial minima: a line that is everywhere
     meets in no single task."""
     rows = line_rows(docs)
-    return rows.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("first.doc_id", "first.line_no", "line")
+    return rows.groupBy("line").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")).alias("first")).select("first.doc_id", "first.line_no", "line")
 
 
 def split_lines(docs: DataFrame, train: float = TRAIN, val: float = VAL) -> DataFrame:

@@ -24,10 +24,10 @@ def numbered(df: DataFrame, cell: Column, order: list, name: str = "n", total: s
 
 
 def id_cell(df: DataFrame, col: str, cells: int = CELLS) -> Column:
-    """Cells of equal width over the column's range (one small job finds it)."""
+    """Cells of equal width over the column's range (one small job finds it); null keys have the last one for themselves."""
     lo, hi = df.agg(F.min(col), F.max(col)).first()
     lo, hi = lo or 0, hi or 0
-    return F.floor((F.col(col) - lo) / max(1, -(-(hi - lo + 1) // cells))).cast("long")
+    return F.coalesce(F.floor((F.col(col) - lo) / max(1, -(-(hi - lo + 1) // cells))).cast("long"), F.lit(cells).cast("long"))
 
 
 def seeded(seed: str, key: Column) -> Column:

@@ -150,3 +150,24 @@ def test_stream_ingest(spark, tmp_path):
         streams.ingest(stream, str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination(60)
     q = spark.createDataFrame([(1, "machine")], "query_id int, query string")
     assert [r["doc_id"] for r in streams.grown_index(spark, str(tmp_path / "ix")).search(q).collect()] == [0]
+
+
+def test_null_keys_are_numbered_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import registry
+
+    docs = [(1, "b\nc\nsame"), (None, "a\nb\nonly here\nsame"), (2, "c\nd")] + [(k, f"line {k}\nmore {k}") for k in range(10, 30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("dedup_lines", "split_train_val_test", "split_leakage", "dataset_manifest"):
+        ours = registry.QUERIES[name](spark, str(tmp_path))
+        names = ", ".join(f'"{c}"' for c in ours.columns)
+        theirs = con.sql(f"SELECT {names} FROM ({registry.ORACLES[name].strip()})").fetchall()
+        assert sorted(repr(tuple(r)) for r in ours.collect()) == sorted(map(repr, theirs)) and theirs
+    from corpusloom.operators.order import id_cell, numbered
+
+    events = spark.createDataFrame([(5, 1), (None, 2), (3, 3), (None, 4)], "us long, event_id long")
+    got = numbered(events, id_cell(events, "us"), ["us", "event_id"], "step", "n").collect()
+    assert {(r["event_id"], r["step"], r["n"]) for r in got} == {(3, 0, 4), (1, 1, 4), (2, 2, 4), (4, 3, 4)}
