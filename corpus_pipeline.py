@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 of their five-word shingles), the document of smallest doc_id stays."""
-    return one_of_each(docs)
+    """Of each group of near-duplicates (0.8 of their five-word shingles), the document of smallest doc_id stays; rows without one come last."""
+    return one_of_each(docs, null_ids=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,10 +233,16 @@ def _by_cell(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("g", gray_rank(F.col("fp"))).repartition(n, "cell").sortWithinPartitions("cell", "g")
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
+def one_of_each(docs: DataFrame, null_ids: bool = False, **how) -> DataFrame:
     """The rows of docs without those that have a near-duplicate of smaller doc_id (see similar_documents): one document
     of each component stays, the one of smallest doc_id, in all columns of docs. Rows that repeat each other in all
-    columns keep one; rows that share a kept doc_id only stay. Null doc_ids stay all (they can't be told apart)."""
+    columns keep one; rows that share a kept doc_id only stay. Null doc_ids stay all (they can't be told apart), unless
+    null_ids is set: then each such row is a document of its own after all others, and goes if it has a near-duplicate before it."""
+    if null_ids and docs.filter(F.col("doc_id").isNull()).take(1):
+        top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+        own = F.monotonically_increasing_id() + F.lit(max(0 if top is None else top + 1, 0)).cast("long")
+        rows = written(docs.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own)), "sim-rows")
+        return one_of_each(rows, **how).withColumn("doc_id", F.col("__id")).select(*[F.col(f"`{c}`") for c in docs.columns])
     found = similar_documents(docs, **how).filter(F.col("doc_id") == F.col("component_id"))
     keep = written(found.groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows")), "sim-keep")
     once, repeated = keep.filter("__rows = 1"), keep.filter("__rows > 1")

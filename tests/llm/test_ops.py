@@ -304,6 +304,17 @@ def test_one_of_each_repeated_rows(spark):
     assert sorted((repr(r[0]), r[1]) for r in out.collect()) == [("1", "a b c d e f"), ("4", None), ("None", "a b c d e f")]
 
 
+def test_near_dedup_stage_links_null_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join([*words[:59], "other"])
+    rows = [(None, b, 0), (1, a, 1), (1, a, 1), (2, "x y z", 2), (None, "p q r s t", 3), (None, "P q r  s t", 4), (None, "alone here", 5), (None, a, 6), (None, None, 7)]
+    out = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id int, text string, k int").repartition(3), "")
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == ["doc_id", "text", "k"] and dict(out.dtypes)["doc_id"] == "int"
+    assert sorted(x[2] for x in got if x[2] not in (3, 4)) == [1, 2, 5, 7] and sum(x[2] in (3, 4) for x in got) == 1 and (1, a, 1) in got
+
+
 @pytest.mark.parametrize("large", [1 << 14, 4])
 def test_gray_links_brute_force(spark, large):
     rng = random.Random(9)
