@@ -15,7 +15,7 @@ from corpusloom.llm.simhash_join import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and documents that fail the base or lose too much text go whole."""
+    """Failing lines and unfinished ends of lines go, and documents that fail the base or lose too much text go whole."""
     return good_documents(docs)
 
 

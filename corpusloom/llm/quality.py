@@ -11,6 +11,8 @@ from .common import GAP_CHARS, WORD_GAP, read, text_of
 #: punctuation: the line must end a sentence (closing quotes and brackets may follow; only the last TAIL code points are looked at)
 TAIL = 4
 ENDS = r"[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}][\x22')\]\x{bb}\x{201d}\x{2019}]*$"
+#: the start of a line to its last sentence end, if one is inside it (for tails, see cleaned)
+HEAD = r"^([^\n]*[.!?\x{2026}\x{3002}\x{ff01}\x{ff1f}][\x22')\]\x{bb}\x{201d}\x{2019}]*)[\x20\x09-\x0D][^\n]*$"
 #: symbols and marks that prose holds few of
 MARKS = r"[^#*$%&|<>!~^=_{}]+"
 #: navigation: menus and breadcrumbs
@@ -31,13 +33,19 @@ def _length(x: Column) -> Column:
     return F.char_length(x)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line (with a word in it) fails one of the rules, as long as its ends are bare of gaps."""
+def unfinished(line: Column) -> Column:
+    """Whether a line does not end a sentence."""
+    return ~F.substring(line, -TAIL, TAIL).rlike(ENDS)
+
+
+def line_fails(line: Column, tails: bool = False) -> Column:
+    """Whether a line (with a word in it) fails one of the rules, as long as its ends are bare of gaps. With tails, a line that
+    holds a sentence end does not fail for its unfinished last sentence."""
     words = F.size(F.split(line, WORD_GAP))
     marks = _length(F.regexp_replace(line, MARKS, ""))
     upper, lower = _length(F.regexp_replace(line, r"\P{Lu}+", "")), _length(F.regexp_replace(line, r"\P{Ll}+", ""))
     return (
-        ~F.substring(line, -TAIL, TAIL).rlike(ENDS)
+        (unfinished(line) & ~line.rlike(HEAD) if tails else unfinished(line))
         | ((marks > 0) & (marks > F.lit(MARKS_PER_WORD) * words))
         | ((upper >= CAPS_LEAST) & (upper > lower))
         | line.rlike(NAV)
@@ -70,7 +78,7 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, F.lit(0)).otherwise(_let(words, of))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
     """All columns of docs, prefixed columns of the cleaning after them.
 
     A text is cut into lines at \\n. A line that holds a word goes if it doesn't end a sentence, holds more than
@@ -83,13 +91,21 @@ def cleaned(docs: DataFrame) -> DataFrame:
     q_failed_lines (long), q_text (the text without failed lines). Null and empty texts have no words, fail
     the base and keep their q_text (null or empty). Rows are judged one by one, so ties and repeated rows don't matter.
     Nothing is shuffled.
+
+    With tails, a line that only lacks the end of its last sentence is cut after the sentence before, and what is cut counts as
+    lost; a line without a sentence end goes whole, as it does by the rules of OP2_SQL.
     """
     text = text_of()
     d = docs.withColumn("q_all", F.split(text, "\n"))
     d = d.withColumn("q_list", F.transform("q_all", lambda x: F.btrim(x, F.lit(GAP_CHARS))))
     bare = F.btrim(text, F.lit(GAP_CHARS))
     d = d.withColumn("q_word_list", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP)))
-    d = d.withColumn("q_bad", F.transform("q_list", lambda x: F.when(x == "", F.lit(False)).otherwise(line_fails(x))))
+    d = d.withColumn("q_bad", F.transform("q_list", lambda x: F.when(x == "", F.lit(False)).otherwise(line_fails(x, tails))))
+    whole = F.lit(True)
+    if tails:
+        cut = lambda x, bad: F.when(~bad & (x != "") & unfinished(x), F.regexp_replace(x, HEAD, "$1"))
+        d = d.withColumn("q_cut", F.zip_with("q_list", "q_bad", cut))
+        whole = F.forall("q_cut", lambda x: x.isNull())
     with_word = F.filter("q_all", lambda x: F.btrim(x, F.lit(GAP_CHARS)) != "")
     d = d.withColumn("q_words", F.size("q_word_list").cast("long"))
     d = d.withColumn("q_word_chars", _length(F.array_join("q_word_list", "")).cast("long"))
@@ -100,16 +116,19 @@ def cleaned(docs: DataFrame) -> DataFrame:
     d = d.withColumn("q_failed_lines", F.size(F.filter("q_bad", lambda x: x)).cast("long"))
     count = lambda keep: F.aggregate(F.zip_with("q_list", "q_bad", lambda x, bad: F.when(keep(bad), _length(x)).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("q_chars", count(lambda bad: F.lit(True))).withColumn("q_lost", count(lambda bad: bad))
+    if tails:
+        d = d.withColumn("q_lost", F.col("q_lost") + F.aggregate(F.zip_with("q_list", "q_cut", lambda x, c: F.coalesce(_length(x) - _length(c), F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x))
+        d = d.withColumn("q_all", F.zip_with("q_all", "q_cut", lambda x, c: F.coalesce(c, x)))
     d = d.withColumn("q_base_failed", (F.col("q_words") < MIN_WORDS) | (F.col("q_repeat_words") * 100 > F.col("q_words") * REPEATED_PERCENT))
     d = d.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_lost") <= F.col("q_chars") * F.lit(LOST)))
-    d = d.withColumn("q_text", F.when(F.col("q_failed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter("q_all", lambda x, i: ~F.get("q_bad", i)), "\n")))
-    return d.drop("q_all", "q_list", "q_bad", "q_word_list")
+    d = d.withColumn("q_text", F.when((F.col("q_failed_lines") == 0) & whole, F.col("text")).otherwise(F.array_join(F.filter("q_all", lambda x, i: ~F.get("q_bad", i)), "\n")))
+    return d.drop("q_all", "q_list", "q_bad", "q_word_list", "q_cut")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents without their failed lines, in the columns of docs; n_chars, if there, counts the new text."""
+    """The kept documents without their failed lines and unfinished ends of lines (see tails in cleaned), in the columns of docs; n_chars, if there, counts the new text."""
     # A filter on what is computed would be moved below it and make it all twice; one on a column that isn't deterministic stays.
-    d = cleaned(docs).withColumn("q_kept", F.col("q_kept") & (F.monotonically_increasing_id() >= 0)).filter("q_kept")
+    d = cleaned(docs, tails=True).withColumn("q_kept", F.col("q_kept") & (F.monotonically_increasing_id() >= 0)).filter("q_kept")
     new = {"text": F.col("q_text"), "n_chars": F.char_length("q_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 

@@ -69,6 +69,16 @@ def test_quality_verdicts(spark):
     assert got[2]["q_text"] == prose and got[1]["q_text"] == prose
 
 
+def test_unfinished_end_of_a_paragraph(spark):
+    prose = " ".join(" ".join(f"say{chr(97 + i)}{chr(97 + k)}" for k in range(9)) + "." for i in range(9))
+    bare = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70))
+    rows = [(1, prose + " And then it"), (2, prose), (3, bare), (4, prose + "\n  " + prose.replace("say", "tell") + " (see 3.5 of it \n\nthe end"), (5, prose + " We use cookies. And"), (6, "Short one. " + bare)]
+    got = {r["doc_id"]: r["text"] for r in quality.good_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: prose, 2: prose, 4: prose + "\n" + prose.replace("say", "tell") + "\n"}
+    # op2 stays with the rules of its SQL
+    assert [r["q_kept"] for r in quality.cleaned(spark.createDataFrame(rows[:2], "doc_id long, text string")).orderBy("doc_id").collect()] == [False, True]
+
+
 def test_shards(odd):
     rows = sharding.interleaved_shards(odd, 4).collect()
     by = {}
