@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all runs on one machine (tests), one
+    of our own; a cluster without it raises ValueError, as its executors would not see a folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -56,10 +63,43 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WORD_GAP))).cast("long")
 
 
-def seeded(seed: str, *cols: Column) -> Column:
-    """60 uniform bits as a long from md5(seed:key...): the same on every engine, whatever the layout."""
-    key = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+def seeded(seed: str, key: Column, instead: Column) -> Column:
+    """60 uniform bits as a long from md5(seed:key), or md5(seed:null:instead) where the key is null: the same on every engine, whatever
+    the layout. `instead` keeps rows without a key apart, so that they don't share one place of an order."""
+    key = F.coalesce(key.cast("string"), F.concat(F.lit("null:"), instead.cast("string")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def own_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns that no column of docs has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in portions of about so many rows that split no value of it. Only a portion's end is
+    searched, so a value that very many rows share is copied once."""
+    kept: list[pa.RecordBatch] = []
+    held, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if held + len(key) >= rows:
+            change = np.flatnonzero(key != key[-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut or (kept and last != key[0]):
+                kept.append(batch.slice(0, cut))
+                yield pa.Table.from_batches(kept).combine_chunks()
+                kept, held, batch = [], 0, batch.slice(cut)
+        kept.append(batch)
+        held, last = held + batch.num_rows, key[-1]
+    if held:
+        yield pa.Table.from_batches(kept).combine_chunks()
 
 
 HASH_SPACE = 1 << 60

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import HASH_SPACE, bucket_count, read, seeded, text_of, word_count, written
+from .common import HASH_SPACE, bucket_count, own_names, read, seeded, text_of, word_count, written
 
 SEED = "mix-11"
 WEIGHTS = (5, 2, 1)
 #: The targets need at most one round of resharing for each weight class, as all sources of a weight reach the
 #: ceiling in the order of size over weight; the level of the ceiling is found in closed form instead (see targets).
 SHARE, CEILING = 1.5, 2.0
+#: Grades of documents: BASE for one word, one more for each doubling of the words, GRADES times at most.
+BASE, GRADES = 12, 12
+#: A document of over a PART-th of what a source leaves to sampling is a long one.
+PART = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -43,121 +47,109 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("w"))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: str = SEED, fill: bool = False) -> DataFrame:
+def copies_by_length(groups: DataFrame) -> DataFrame:
+    """From source, target, grade, words (the words of a source's documents of each grade): expected, the copies that a document of the
+    grade is expected to get, so that a source's copies hold `target` words.
+
+    Copies are in proportion to the grade and no more than CEILING. The level is found as in targets: grades reach the ceiling from the
+    highest on, so running sums over grades give it. A source has GRADES + 1 grades at most.
+    """
+    down = W.partitionBy("source").orderBy(F.desc("grade")).rowsBetween(W.unboundedPreceding, -1)
+    up = W.partitionBy("source").orderBy("grade").rowsBetween(W.unboundedPreceding, 0)
+    t = groups.withColumn("full", F.coalesce(F.sum("words").over(down), F.lit(0))).withColumn("weighed", F.sum(F.col("words") * F.col("grade")).over(up))
+    t = t.withColumn("level", (F.col("target") - F.col("full") * F.lit(CEILING)) / F.col("weighed"))
+    open_ = F.col("level") * F.col("grade") <= F.lit(CEILING)
+    t = t.withColumn("level", F.max(F.when(open_, F.struct("grade", "level"))).over(W.partitionBy("source"))["level"])
+    expected = F.when(F.col("level").isNull(), F.lit(CEILING)).otherwise(F.least(F.lit(CEILING), F.col("level") * F.col("grade")))
+    return t.withColumn("expected", expected).drop("full", "weighed", "level")
+
+
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: str = SEED, row: str | None = None) -> DataFrame:
     """How many copies of each document the mix takes.
 
-    With r = target / source_size, every document first gets floor(r) certain copies; p = r - floor(r) is left to
-    sampling. A document's random odds u / (1 - u) over its inclusion odds p / (1 - p) is its Pareto rank, and the
-    source's sample is the documents of smallest rank whose words fill what the certain copies left of the target:
-    the sample's size is fixed in words. Documents are taken while they fit; one more, the unsampled document whose
-    size comes closest to the rest (ties: rank, doc_id), closes the gap if that brings the sum nearer.
+    A document's expected copies r are in proportion to its grade, which rises with its length: BASE, and one more for each doubling of
+    its words, GRADES times at most (a document of 4,096 words is expected twice as often as one of a single word); no document is expected
+    over CEILING times, and the copies expected in a source hold the target's words. The document gets floor(r) certain copies, and p = r - floor(r)
+    is left to sampling: its random odds u / (1 - u) over its inclusion odds p / (1 - p) are its Pareto rank q, and the documents of
+    smallest rank are taken. The sample's size is fixed in words, the `rest` of the target that certain copies leave open:
 
-    A long document in the order ends that early. With fill, what it leaves open is filled from the documents after it, in rank
-    order, before the closing one is chosen (see _filled); without, the sample is the one of OP9_SQL.
+    - A long document, of over rest / PART words, is taken as long as the long ones before it and half of itself lie within the words
+      that long ones are expected to hold. So what they hold differs from that by half of one at most.
+    - The others are taken while they fit into what then is left.
+    - One document more is taken, or left out again, if that brings the sum nearer to the rest: the one by which it comes nearest.
 
-    p is one for a source, so within it the rank rises with u, and u, 60 bits of a seeded hash, is cut into cells: sums by
-    cell find the cell where the target is crossed, and only that cell's rows are sorted. No source meets in one task.
+    A document of more words than the rest is not sampled. Ties of q stand by the hash, doc_id (null last), size.
+    Ranks run over (source, long or not). Running sums come from cells of equal expected size: F, the mean of the grades'
+    distribution functions of q, is uniform over a source whatever its odds are, so cells of F are even, and only a cell is sorted by one task.
 
-    Returns doc_id, size, source_size, target, taken, source, copies. Null text: size 0. Null source: a source of
-    its own, last. Null doc_ids share a rank and are told apart by size alone; rows equal in doc_id, source and size
-    are taken alike in any order. Sources without words take nothing. An empty table gives no rows.
+    Returns doc_id, size, source_size, target, taken, source, copies, and the column `row` if named. Null text: size 0. Null source: a source
+    of its own, last. Null doc_ids are told apart by the text; rows equal in all of these are taken alike in any order.
+    Documents without words take nothing, and have no copies. An empty table gives no rows. Columns besides doc_id, source, text and row are not read.
     """
+    size = word_count(text_of())
+    rid = F.col(f"`{row}`").cast("long") if row else F.monotonically_increasing_id()
     base = written(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(text_of()).alias("size"), seeded(seed, F.col("doc_id")).alias("h"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"),
+        seeded(seed, F.col("doc_id"), F.md5(text_of().cast("binary"))).alias("h"), rid.alias("row"),
     ), "mix")
-    return _copies(base, weights, share, ceiling, fill)
+    out = _copies(base, weights, share)
+    names = ["doc_id", "size", "source_size", "target", "taken", "source", "copies"]
+    return out.select(*names, F.col("row").alias(row)) if row else out.select(*names)
+
+
+def _grade(size: Column) -> Column:
+    return F.lit(BASE) + F.least(F.length(F.bin(size)) - 1, F.lit(GRADES))
 
 
-def _copies(base: DataFrame, weights: tuple[int, ...], share: float, ceiling: float, fill: bool) -> DataFrame:
+def _copies(base: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
     cells = bucket_count(base.count())
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = (
-        targets(sums, weights, share, ceiling)
-        .withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("whole", F.floor("r").cast("long"))
-        .withColumn("p", F.col("r") - F.col("whole"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    )
-    plan = written(plan, "mix-plan")  # a row for each source
+    base = base.withColumn("grade", _grade(F.col("size")))
+    groups = written(base.groupBy("source", "grade").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix-grades")  # a few rows for each source
+    plan = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share).withColumn("target", F.round("target", 6))
+    live = _with(groups.filter("words > 0"), plan, ["source"])
+    live = copies_by_length(live).withColumn("whole", F.floor("expected").cast("long")).withColumn("p", F.least(F.col("expected") - F.col("whole"), F.lit(1 - 1e-12)))
+    live = live.withColumn("odds", F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p"))))
+    # what a source leaves to sampling, and its grades' distribution functions
+    rest = live.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("rest"), F.sum(F.when(F.col("p") > 0, F.col("n"))).alias("n_open"),
+        F.array_sort(F.collect_list(F.when(F.col("p") > 0, F.struct("grade", "odds", "n")))).alias("grades"))
+    plan = written(_with(plan, rest, ["source"]), "mix-plan")
+    live = written(live.select("source", "grade", "whole", "p", "odds"), "mix-expected")
+    rows = _with(_with(base, plan, ["source"]), live, ["source", "grade"])
     u = (F.col("h") + F.lit(0.5)) / F.lit(float(HASH_SPACE))
-    p = F.least(F.col("p"), F.lit(1 - 1e-12))
-    rows = _with(base, plan, ["source"]).withColumn("q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
-    rows = rows.withColumn("cell", F.floor(F.col("h") / F.lit(HASH_SPACE // cells)).cast("long"))
-    # Only cells that the target may cross need an order; the rows of a cell are few, so all are sorted alike.
-    rows = _summed(rows)
-    rows = rows.withColumn("fits", (F.col("p") > 0) & (F.col("sum") <= F.col("rest")))
-    gap = rows.groupBy("source").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))), F.lit(0))).alias("gap"))
-    if fill:
-        rows = written(rows, "mix-ranks")
-        rows, gap = _filled(rows, gap)
-    near = F.abs(F.col("gap") - F.col("size"))
-    rows = _with(rows, gap, ["source"])
-    last = rows.filter((F.col("p") > 0) & ~F.col("fits") & (F.col("size") > 0) & (near < F.abs("gap"))).groupBy("source").agg(
-        F.min(F.struct(near.alias("near"), "q", "h", F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("last"))
-    rows = _with(rows, last.select("source", F.col("last.row").alias("last_row")), ["source"])
-    copies = F.col("whole") + (F.col("fits") | (F.col("row").eqNullSafe(F.col("last_row")) & F.col("last_row").isNotNull())).cast("long")
-    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "row")
+    drawn = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+    rows = rows.withColumn("q", F.when(drawn, (u / (1 - u)) / F.col("odds")))
+    at = lambda q: F.aggregate("grades", F.lit(0.0), lambda a, g: a + g["n"] * (q * g["odds"] / (1 + q * g["odds"]))) / F.col("n_open")
+    rows = rows.withColumn("cell", F.least(F.floor(at(F.col("q")) * cells), F.lit(cells - 1)).cast("long")).drop("grades", "n_open")
+    rows = rows.withColumn("long", F.col("size") * PART > F.col("rest"))
+    rows = written(rows, "mix-ranks")
+    open_ = rows.filter("q is not null").select("source", "long", "cell", "q", "h", "doc_id", "size", "row", "rest", "p")
+    sums = _summed(open_)
+    hope = open_.groupBy("source").agg(F.round(F.sum(F.when(F.col("long"), F.col("p") * F.col("size"))), 3).alias("hope"))
+    sums = _with(sums, hope, ["source"])
+    sums = written(sums.withColumn("in_long", F.col("long") & (F.col("sum") * 2 - F.col("size") <= F.col("hope") * 2)), "mix-sums")
+    held = sums.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("in_long"), F.col("size"))), F.lit(0)).alias("held"))
+    sums = _with(sums, held, ["source"]).withColumn("fits", F.col("in_long") | (~F.col("long") & (F.col("sum") <= F.col("rest") - F.col("held"))))
+    gap = sums.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
+    near = F.abs(F.col("gap") - F.when(F.col("fits"), -F.col("size")).otherwise(F.col("size")))
+    sums = _with(sums, written(gap, "mix-gap"), ["source"])
+    last = sums.filter(near < F.abs("gap")).groupBy("source").agg(F.min(F.struct(near.alias("near"), "q", "h", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size", "row")).alias("last"))
+    swap = last.select("source", F.col("last.row").alias("last_row"))
+    taken = _with(sums, swap, ["source"]).filter(F.col("fits") != F.coalesce(F.col("row") == F.col("last_row"), F.lit(False))).select(F.col("row").alias("__row"))
+    rows = rows.join(taken, F.col("row") == F.col("__row"), "left")
+    copies = F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0)) + F.col("__row").isNotNull().cast("long")).otherwise(0).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "row")
 
 
 def _summed(rows: DataFrame) -> DataFrame:
-    """Adds sum, the running sum of size in each source by rank, from sums by cell and an order within each cell."""
-    run = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("in_cell"))
+    """Adds sum, the running sum of size in each (source, long) by rank, from sums by cell and an order within each cell."""
+    run = W.partitionBy("source", "long").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cell = rows.groupBy("source", "long", "cell").agg(F.sum("size").alias("in_cell"))
     cell = cell.withColumn("before", F.coalesce(F.sum("in_cell").over(run), F.lit(0))).drop("in_cell")
-    own = W.partitionBy("source", "cell").orderBy("q", "h", F.col("doc_id").asc_nulls_last(), "size", "row")
-    rows = _with(rows, cell, ["source", "cell"])
+    own = W.partitionBy("source", "long", "cell").orderBy("q", "h", F.col("doc_id").asc_nulls_last(), "size", "row")
+    rows = _with(rows, cell, ["source", "long", "cell"])
     return rows.withColumn("sum", F.col("before") + F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0))).drop("before")
 
 
-def _filled(rows: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows with more of them that fit, and the gaps that are left. Where the closing document would still miss the target by more
-    than a document of mean size, as only long ones are left, the shortest of these is taken and documents of the highest
-    ranks make room for it, if that comes nearer."""
-    open_, slim = (F.col("p") > 0) & (F.col("size") > 0), ["source", "cell", "q", "h", "doc_id", "size", "row"]
-    more, gap = _fill(rows.filter(open_ & ~F.col("fits")).select(slim), gap)
-    rows = _marked(rows, more, True)
-    left = _with(rows.filter(open_ & ~F.col("fits")).select(slim), gap, ["source"])
-    miss = left.groupBy("source").agg(F.least(F.min("gap"), F.min(F.abs(F.col("size") - F.col("gap")))).alias("miss"),
-        F.min(F.when(F.col("size") > F.col("gap"), F.struct("size", "q", "h", "row"))).alias("long"), F.min("gap").alias("gap"))
-    mean = rows.groupBy("source").agg(F.avg("size").alias("mean"))
-    far = written(_with(miss, mean, ["source"]).filter((F.col("miss") > F.col("mean")) & F.col("long").isNotNull()), "mix-far")
-    if not far.take(1):
-        return rows, gap
-    last_first = _with(rows.filter(open_ & F.col("fits")).select(slim), far.select("source", "miss"), ["source"]).filter("miss is not null")
-    last_first = last_first.select("source", *[(-F.col(c)).alias(c) for c in ("cell", "q", "h")], "doc_id", "size", "row")
-    room, over = _fill(last_first, far.select("source", (F.col("long.size") - F.col("gap")).alias("gap")))
-    swap = written(_with(far, over.withColumnRenamed("gap", "over"), ["source"]).filter(F.col("over") < F.col("miss")).select("source", F.col("long.row").alias("row"), "over"), "mix-swap")
-    out = _with(room.select("row", "source"), swap.select("source", "over"), ["source"]).filter("over is not null")
-    rows = _marked(_marked(rows, swap, True), out, False)
-    return rows, _with(gap, swap.select("source", "over"), ["source"]).select("source", F.coalesce(-F.col("over"), F.col("gap")).alias("gap"))
-
-
-def _fill(left: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the rows left, those (source, row) that fill the gaps of their sources, and the gaps that stay. A round takes, of the
-    documents of at most half the gap, those that fit before the first that doesn't, by rank: either that one shows the gap
-    to be halved, or all were taken and at most one more fits. So rounds grow with the logarithm of the gap."""
-    gap = written(gap, "mix-gap")
-    taken = written(left.select("source", "row").filter(F.lit(False)), "mix-none")
-    while True:
-        left = _with(left, gap, ["source"]).filter(F.col("size") * 2 <= F.col("gap"))
-        left = written(_summed(left).withColumn("now", F.col("sum") <= F.col("gap")).drop("sum", "gap"), "mix-left")
-        if not left.take(1):
-            return taken, gap
-        now = left.filter("now")
-        taken = taken.union(now.select("source", "row"))
-        more = now.groupBy("source").agg(F.sum("size").alias("more"))
-        gap = written(_with(gap, more, ["source"]).select("source", (F.col("gap") - F.coalesce("more", F.lit(0))).alias("gap")), "mix-gap")
-        left = left.filter(~F.col("now")).drop("now")
-
-
-def _marked(rows: DataFrame, some: DataFrame, fits: bool) -> DataFrame:
-    """rows, with fits set for those of some."""
-    some = some.select(F.col("row").alias("__row"))
-    return rows.join(some, F.col("row") == F.col("__row"), "left").withColumn("fits", F.when(F.col("__row").isNotNull(), fits).otherwise(F.col("fits"))).drop("__row")
-
-
 def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys of which the first may be null. The table is a small summary of the rows; Spark sends it to
     all executors only under its own size threshold, and else splits the large source's partitions at run time."""
@@ -169,21 +161,18 @@ def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, with all their columns: each row as often as the mix takes it (0 to 2 times).
-
-    Rows equal in doc_id, source and word count are one document held more than once: each takes the rounded mean of
-    their copies.
-    """
-    taken = pareto_mix(docs, **how)
-    keys = taken.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z")).agg(F.round(F.sum("copies") / F.count(F.lit(1))).cast("long").alias("__copies"))
-    keys = keys.filter(F.col("__copies") > 0)
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    joined = docs.withColumn("__size", word_count(text_of())).join(keys, on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents of the mix, with all their columns: each row as often as pareto_mix takes it (0 to 2 times), so the words of the
+    result are those that it says. Rows are told apart by a number, written with them: repeated rows and null or repeated doc_ids need no
+    key. Documents without words are not in the mix. Inner columns take names that docs doesn't have. An empty table gives no rows."""
+    row, copies = own_names(docs, "mix_row", "mix_copies")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # the numbers must not change between uses
+    taken = pareto_mix(rows, row=row, **how).filter("copies > 0").select(row, F.col("copies").alias(copies))
+    out = rows.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pareto_mix(read(spark, sf_dir, "documents")).drop("row")
+    return pareto_mix(read(spark, sf_dir, "documents"))
 
 
 _FIX = "".join(f"""
@@ -193,27 +182,33 @@ _FIX = "".join(f"""
 OP9_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents
+), b AS (SELECT *, {BASE} + least(length(bin(size)) - 1, {GRADES}) AS grade, row_number() OVER () AS id FROM d
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), h0 AS (
   SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
     2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget, false AS hit FROM s
 ){_FIX}
-, t AS (SELECT source, source_size, CASE WHEN hit THEN cap ELSE share39 END AS target FROM f39
-), r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-    CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM t
+, t AS (SELECT source, source_size, round(CASE WHEN hit THEN cap ELSE share39 END, 6) AS target FROM f39
+), g AS (SELECT b.source, grade, target, sum(size) AS words FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source GROUP BY ALL HAVING sum(size) > 0
+), l AS (SELECT *, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY grade DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(words * grade) OVER (PARTITION BY source ORDER BY grade ROWS UNBOUNDED PRECEDING) AS lv FROM g
+), e AS (SELECT *, coalesce(least(2.0::DOUBLE, arg_max(lv, grade) FILTER (lv * grade <= 2.0::DOUBLE) OVER (PARTITION BY source) * grade), 2.0::DOUBLE) AS r FROM l
+), p AS (SELECT *, floor(r) AS whole, r - floor(r) AS p FROM e
+), r AS (SELECT source, any_value(target) - sum(whole * words) AS rest FROM p GROUP BY source
 ), q AS (
-  SELECT d.*, source_size, target, whole, p, target - whole * source_size AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
-), g AS (SELECT *, p > 0 AND upto <= rest AS fits FROM q
-), gap AS (SELECT *, rest - coalesce(max(upto) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM g
-), l AS (
-  SELECT *, row_number() OVER (PARTITION BY source, p > 0 AND NOT fits AND size > 0 AND abs(gap - size) < abs(gap) ORDER BY abs(gap - size), h, doc_id) = 1
-    AND p > 0 AND NOT fits AND size > 0 AND abs(gap - size) < abs(gap) AS last FROM gap
-)
-SELECT doc_id, size, source_size, round(target, 6) AS target, ((whole + fits::INT + last::INT) * size)::BIGINT AS taken, source, (whole + fits::INT + last::INT)::BIGINT AS copies FROM l
+  SELECT b.*, source_size, t.target, coalesce(p.whole, 0) AS whole, rest, p, (p > 0 AND size > 0 AND size <= rest) IS TRUE AS drawn, size * {PART} > rest AS long,
+    (((h + 0.5::DOUBLE) / 1152921504606846976::DOUBLE) / (1 - (h + 0.5::DOUBLE) / 1152921504606846976::DOUBLE)) / (p / (1 - p)) AS odds_ratio
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN p ON b.source IS NOT DISTINCT FROM p.source AND b.grade = p.grade LEFT JOIN r ON b.source IS NOT DISTINCT FROM r.source
+), u AS (SELECT *, sum(size) OVER (PARTITION BY source, long, drawn ORDER BY odds_ratio, h, doc_id, size, id ROWS UNBOUNDED PRECEDING) AS upto, round(sum(p * size) FILTER (drawn AND long) OVER (PARTITION BY source), 3) AS hope FROM q
+), v AS (SELECT *, drawn AND long AND upto * 2 - size <= hope * 2 AS in_long FROM u
+), w AS (SELECT *, in_long OR (drawn AND NOT long AND upto <= rest - coalesce(sum(size) FILTER (in_long) OVER (PARTITION BY source), 0)) AS fits FROM v
+), x AS (SELECT *, rest - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM w
+), y AS (SELECT *, abs(gap - CASE WHEN fits THEN -size ELSE size END) AS near FROM x
+), z AS (SELECT *, drawn AND near < abs(gap) AND row_number() OVER (PARTITION BY source, drawn AND near < abs(gap) ORDER BY near, odds_ratio, h, doc_id NULLS LAST, size, id) = 1 AS turned FROM y
+), c AS (SELECT *, CASE WHEN size > 0 THEN whole + (fits <> turned)::INT ELSE 0 END::BIGINT AS copies FROM z)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM c
 """
 
 QUERIES = {"op9_pareto": op9_pareto}

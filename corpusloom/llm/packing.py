@@ -10,7 +10,7 @@ from .common import HASH_SPACE, bucket_count, read, seeded, text_of, word_count,
 from .ranks import ranked
 
 SEED = "pack-3"
-N_BUCKETS, TOKEN_BUDGET, ALIGN, MAX_LEN = 16, 32_768, 8, 65_536
+N_BUCKETS, TOKEN_BUDGET = 16, 32_768
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
@@ -54,32 +54,33 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]
     return bounds[::-1]
 
 
-def length_buckets(sizes: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, align: int = ALIGN, max_len: int = MAX_LEN, seed: str = SEED) -> DataFrame:
+def length_buckets(sizes: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, seed: str = SEED) -> DataFrame:
     """From doc_id, n_tokens (long): the bucket, batch and slot of every row.
 
-    The global histogram counts lengths rounded up to a multiple of `align`: max_len / align rows at most reach the
-    driver, however large the table, and dynamic programming over it gives the bounds. In a bucket of bound b, rows in
-    the order of a seeded hash form batches of floor(budget / b) rows (one at least), so a padded batch holds the budget
-    or fewer tokens. Rows longer than max_len go whole into bucket n_buckets, each a batch of its own without padding;
-    rows without tokens into bucket -1, in batches of `budget` rows that hold no tokens.
+    The global histogram counts the exact lengths from 1 to `budget`, so `budget` rows at most reach the driver, however large the table,
+    and dynamic programming over it gives the bounds of at most n_buckets buckets that minimise the padding of all these rows. In a bucket of
+    bound b, rows in the order of a seeded hash form batches of floor(budget / b) rows, so that a padded batch holds the budget or fewer
+    tokens. A row that is longer than the budget fits into no batch with another: it goes whole into bucket n_buckets, as a batch of its own
+    without padding, which is the one kind of batch that holds more than the budget. Rows without tokens go into bucket -1, in batches of
+    `budget` rows that hold no tokens.
 
-    Returns doc_id, n_tokens, bucket, bucket_len, batch, slot, batch_rows, padding. Null doc_ids are ordered by length.
-    Repeated rows each take a slot. An empty table gives no rows.
+    Returns doc_id, n_tokens, bucket, bucket_len, batch, slot, batch_rows, padding. Null doc_ids are hashed by length. Null lengths count as
+    0. Repeated rows each take a slot. An empty table gives no rows.
     """
-    assert budget >= max_len // 2 and align > 0 and n_buckets > 0, "a batch must hold half the longest row"
-    spark = sizes.sparkSession
-    up = (F.ceil(F.col("n_tokens") / F.lit(align)) * align).cast("long")
-    hist = sizes.filter((F.col("n_tokens") > 0) & (F.col("n_tokens") <= max_len)).groupBy(up.alias("len")).agg(F.count(F.lit(1)).alias("n")).orderBy("len").collect()
+    if budget < 1 or n_buckets < 1:
+        raise ValueError("a batch must hold a token and there must be a bucket")
+    sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    hist = sizes.filter((F.col("n_tokens") > 0) & (F.col("n_tokens") <= budget)).groupBy(F.col("n_tokens").alias("len")).agg(F.count(F.lit(1)).alias("n")).orderBy("len").collect()
     bounds = optimal_bounds(np.array([r["len"] for r in hist], dtype=np.int64), np.array([r["n"] for r in hist], dtype=np.int64), n_buckets) if hist else []
     n = sizes.count()
     at, width = F.lit(n_buckets), F.col("n_tokens")
     for i in range(len(bounds) - 1, -1, -1):
         at, width = F.when(F.col("n_tokens") <= bounds[i], i).otherwise(at), F.when(F.col("n_tokens") <= bounds[i], bounds[i]).otherwise(width)
     none = F.col("n_tokens") == 0
-    rows = sizes.select("doc_id", "n_tokens", F.when(none, -1).otherwise(at).cast("int").alias("bucket"), F.when(none, 0).otherwise(width).cast("long").alias("bucket_len"), seeded(seed, F.col("doc_id")).alias("h"))
+    rows = sizes.select("doc_id", "n_tokens", F.when(none, -1).otherwise(at).cast("int").alias("bucket"), F.when(none, 0).otherwise(width).cast("long").alias("bucket_len"), seeded(seed, F.col("doc_id"), F.col("n_tokens")).alias("h"))
     cells = bucket_count(n)
     rows = ranked(rows, ["bucket"], F.floor(F.col("h") / F.lit(HASH_SPACE // cells)).cast("long"), [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("n_tokens")], "r", "n")
-    fit = F.when(none, budget).when(F.col("bucket") == n_buckets, 1).otherwise(F.greatest(F.lit(1), F.expr(f"{budget} div greatest(bucket_len, 1)"))).cast("long")
+    fit = F.when(none, budget).when(F.col("bucket") == n_buckets, 1).otherwise(F.expr(f"{budget} div greatest(bucket_len, 1)")).cast("long")
     rows = rows.withColumn("fit", fit).withColumn("batch", F.expr("r div fit"))
     return rows.select(
         "doc_id", "n_tokens", "bucket", "bucket_len", "batch", F.expr("r % fit").alias("slot"),
@@ -88,7 +89,7 @@ def length_buckets(sizes: DataFrame, n_buckets: int = N_BUCKETS, budget: int = T
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
-    """length_buckets over whole documents; tokens are words. Null text: no tokens."""
+    """length_buckets over whole documents; tokens are words. Null text: no tokens. Columns besides doc_id and text are not read."""
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(text_of()).alias("n_tokens"))
     return length_buckets(written(sizes, "pack"), **how)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HASH_SPACE, bucket_count, read, seeded, text_of
+from .common import HASH_SPACE, bucket_count, read, seeded, text_of, written
 from .ranks import ranked
 
 SEED = "shard-7"
@@ -20,20 +20,21 @@ def interleaved_shards(docs: DataFrame, n_shards: int = 8, seed: str = SEED) ->
     sorts run in small cells (ranks.ranked), so no source and no shard meets in one task, and no text is shuffled.
 
     Returns doc_id, size (UTF-8 bytes + 1; null text: 1), text_crc32 (null text: 0), law, shard, slot,
-    grown_shard (null: the law isn't `key`), source. Null doc_ids hash alike and are ranked by size and CRC; a null
+    grown_shard (null: the law isn't `key`), source. Null doc_ids are hashed by the text's CRC instead; a null
     source is a source of its own; repeated rows each take a slot; an empty table gives no rows. Columns besides
-    doc_id, source and text are not read.
+    doc_id, source and text are not read, and texts are read once.
     """
-    n = docs.count()
-    cells = bucket_count(n)
     text = text_of().cast("binary")
-    base = docs.select(
+    crc = F.crc32(text).cast("long")
+    base = written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
-        seeded(seed, F.col("doc_id")).alias("h"),
-    )
+        crc.alias("text_crc32"),
+        seeded(seed, F.col("doc_id"), crc).alias("h"),
+    ), "shard")
+    n = base.count()
+    cells = bucket_count(n)
     order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("text_crc32")]
     cell = F.floor(F.col("h") / F.lit(HASH_SPACE // cells)).cast("long")
     placed = ranked(base, ["source"], cell, order, "r", "n_source")
@@ -60,16 +61,15 @@ WITH RECURSIVE steps AS (
   SELECT b, CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
 ), crc AS (SELECT list(c ORDER BY b) AS tab FROM steps WHERE k = 8
 ), d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
-  FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size FROM documents
 ), c AS (
   SELECT d.*, CASE WHEN size = 1 THEN 0 ELSE xor(4294967295::BIGINT, list_reduce(
     list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode(t)), '(..)', '\\1 ', 'g'), ' ')[:size - 1], lambda x: ('0x' || x)::BIGINT)),
     lambda a, x: xor(tab[(xor(a, x) & 255) + 1], a >> 8))) END AS text_crc32
   FROM d, crc
+), k AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || text_crc32)), 1, 15))::BIGINT AS h FROM c
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS LAST, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY source) AS n_source FROM c
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS LAST, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY source) AS n_source FROM k
 ), p AS (
   SELECT *, row_number() OVER (ORDER BY (r + 0.5::DOUBLE) / n_source, source NULLS LAST, h, doc_id NULLS LAST, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM r
 )

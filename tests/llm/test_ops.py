@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -50,6 +52,20 @@ def test_stages_keep_columns(op, odd):
     out.collect()
 
 
+INNER = ["q_all", "q_text", "q_kept", "q_words", "__drop", "__d", "__text", "__row", "__keep", "__id", "__copies", "__size", "mix_row", "mix_copies", "line_row", "line_drop", "line_text", "sim_keep", "sim_rows", "sim_id", "c0", "c1", "c2"]
+
+
+@pytest.mark.parametrize("op", [quality.good_documents, linededup.without_repeated_lines, mixing.mixed, simhash_join.one_of_each, lambda d: simhash_join.one_of_each(d, null_ids=True)])
+def test_stages_leave_clashing_columns_alone(op, odd):
+    """Every inner name as a column of the table: the result is that without these columns, and theirs stay as they were."""
+    clash = odd.select("*", *[odd["size"].cast("string").alias(n) for n in INNER])
+    out = op(clash)
+    assert out.columns == clash.columns
+    rows = out.collect()
+    assert all(r[n] == str(r["size"]) for r in rows for n in INNER)
+    assert sorted(repr(tuple(r)[:4]) for r in rows) == sorted(repr(tuple(r)) for r in op(odd).collect())
+
+
 def test_quality_brute_force(odd):
     for r in quality.cleaned(odd).collect():
         t = r["text"] or ""
@@ -69,6 +85,17 @@ def test_quality_verdicts(spark):
     assert got[2]["q_text"] == prose and got[1]["q_text"] == prose
 
 
+def test_line_ends_of_all_scripts(spark):
+    words = lambda k: " ".join(f"word{chr(97 + k)}{chr(97 + i)}" for i in range(14))
+    hindi = "\n".join(" ".join(f"शब्द{chr(0x905 + k)}{chr(0x915 + i)}" for i in range(14)) + "।" for k in range(8))
+    arabic = "\n".join(" ".join(f"كلمة{chr(0x627 + k)}{chr(0x628 + i)}" for i in range(14)) + ("؟" if k % 2 else "۔") for k in range(8))
+    closers = "\n".join(words(k) + (".)]\'" if k % 2 else ".\"')]\"'»”’\"") for k in range(8))
+    rows = [(1, hindi), (2, arabic), (3, closers), (4, "\n".join(words(k) + "'\")]'" for k in range(8)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["q_failed_lines"] for r in quality.cleaned(docs).orderBy("doc_id").collect()] == [0, 0, 0, 8]
+    assert sorted(r["doc_id"] for r in quality.good_documents(docs).collect()) == [1, 2, 3]
+
+
 def test_unfinished_end_of_a_paragraph(spark):
     prose = " ".join(" ".join(f"say{chr(97 + i)}{chr(97 + k)}" for k in range(9)) + "." for i in range(9))
     bare = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70))
@@ -99,8 +126,67 @@ def test_mix_targets(spark):
     assert mixing.mixed(docs).count() == sum(r["copies"] for r in rows)
 
 
-def test_mix_fills_past_long_documents(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+def plain_mix(rows, targets):
+    """Copies by a plain loop over each source; rows of (doc_id, words, source), doc_ids and words not null."""
+    u = {d: (int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:15], 16) + 0.5) / 2**60 for d, *_ in rows}
+    out, odds = {}, {}
+    for source, target in targets.items():
+        mine = {d: n for d, n, s in rows if s == source}
+        grade = {d: 12 + min(12, n.bit_length() - 1) for d, n in mine.items()}
+        lo, hi = 0.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(2.0, mid * grade[d]) for d, n in mine.items()) < target else (lo, mid)
+        r = {d: min(2.0, hi * grade[d]) for d in mine}
+        p = {d: x - int(x) for d, x in r.items()}
+        rest = target - sum(int(r[d]) * n for d, n in mine.items())
+        rank = {d: (u[d] / (1 - u[d])) / (p[d] / (1 - p[d])) for d, n in mine.items() if 1e-9 < p[d] and n <= rest}
+        odds |= {d: (p[d], rank[d]) for d in rank}
+        order = sorted(rank, key=rank.get)
+        hope, upto, fits, held = sum(p[d] * mine[d] for d in order if mine[d] * 64 > rest), 0, set(), 0
+        for d in (d for d in order if mine[d] * 64 > rest):
+            upto += mine[d]
+            if upto - mine[d] / 2 <= hope:
+                fits.add(d)
+        held, upto = sum(mine[d] for d in fits), 0
+        for d in (d for d in order if mine[d] * 64 <= rest):
+            upto += mine[d]
+            if upto <= rest - held:
+                fits.add(d)
+        gap = rest - sum(mine[d] for d in fits)
+        near = {d: abs(gap - (-mine[d] if d in fits else mine[d])) for d in order}
+        if near and min(near.values()) < abs(gap):
+            fits ^= {min(order, key=lambda d: (near[d], rank[d]))}
+        out |= {d: int(r[d] + 1e-12) + (d in fits) for d in mine}
+    return out, odds
+
+
+def test_mix_by_odds_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, int(2 ** rng.uniform(0, 12)), rng.choice("aaab")) for i in range(600)]
+    docs = spark.createDataFrame([(d, "w " * n, s) for d, n, s in rows], "doc_id long, text string, source string")
+    got = mixing.pareto_mix(docs).collect()
+    want, odds = plain_mix(rows, {r["source"]: r["target"] for r in got})
+    assert {r["doc_id"]: r["copies"] for r in got} == want
+    of = {d: s for d, _, s in rows}
+    for s in "ab":  # inclusion differs within a source, and the order by odds isn't the order by hash
+        mine = [d for d in odds if of[d] == s]
+        assert not mine or len({round(odds[d][0], 9) for d in mine}) > 3
+        by_hash = sorted(mine, key=lambda d: hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:15])
+        assert not mine or sorted(mine, key=lambda d: odds[d][1]) != by_hash
+
+
+def test_mix_delivers_what_it_decides(spark):
+    rows = [(5, "w " * 10, "a", "x", 1)] * 40 + [(None, "v " * 7, "a", "y", 2)] * 30 + [(i, "u " * (i % 5), None, "z", 3) for i in range(30)] + [(70, None, "a", "n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copies string, __size int")
+    taken = mixing.pareto_mix(docs)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    words = sum(len(r["text"].split()) for r in out.collect())
+    assert words == taken.agg({"taken": "sum"}).first()[0] and abs(words - sum(r[0] for r in taken.groupBy("source").agg({"target": "first"}).select("first(target)").collect())) < 20
+
+
+def test_mix_reaches_targets_past_long_documents(spark):
     rng = random.Random(9)
     rows = []
     for k in range(30):
@@ -108,13 +194,11 @@ def test_mix_fills_past_long_documents(spark):
         sizes.append(sum(sizes) // 4)  # a fifth of the source's words
         rows += [(k * 1000 + i, "w " * n, f"s{k:02}" if k else None) for i, n in enumerate(sizes)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    target = {r["source"]: r["target"] for r in mixing.pareto_mix(docs).select("source", "target").distinct().collect()}
-    got = dict.fromkeys(target, 0)
-    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
-        got[r["source"]] += len(r["text"]) // 2
+    taken = mixing.pareto_mix(docs).collect()
+    target, got = {r["source"]: r["target"] for r in taken}, {}
+    for r in taken:
+        got[r["source"]] = got.get(r["source"], 0) + r["taken"]
     assert len(target) == 30 and max(abs(got[s] - t) / t for s, t in target.items()) < 0.01
-    copies = mixing.pareto_mix(docs, fill=True)
-    assert copies.count() == len(rows) and copies.filter("copies < floor(target / source_size) or copies > floor(target / source_size) + 1").count() == 0
 
 
 def test_optimal_bounds_brute_force():
@@ -134,14 +218,44 @@ def test_optimal_bounds_brute_force():
         assert got[-1] == lengths[-1] and len(got) <= k and padding(lengths, counts, got) == best
 
 
-def test_batches(odd):
-    rows = packing.pack_documents(odd).collect()
-    batches = {}
-    for r in rows:
-        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
-    for (bucket, _), mine in batches.items():
-        assert sorted(r["slot"] for r in mine) == list(range(len(mine))) and all(r["batch_rows"] == len(mine) and r["padding"] >= 0 for r in mine)
-        assert bucket == packing.N_BUCKETS or sum(r["bucket_len"] for r in mine) <= packing.TOKEN_BUDGET
+def plain_packing(rows, k=16, budget=32_768, seed="pack-3"):
+    """bucket, bucket_len, batch, slot, batch_rows, padding of (doc_id, words), by all splits of the lengths."""
+    lengths = sorted({n for _, n in rows if 0 < n <= budget})
+    count = [sum(n == x for _, n in rows) for x in lengths]
+    upto = [0, *itertools.accumulate(count)]
+    best = [0] + [10**18] * len(lengths)  # best[j]: least padded total of lengths[:j]
+    for _ in range(k):
+        best = [min([best[j], *(best[i] + lengths[j - 1] * (upto[j] - upto[i]) for i in range(j))]) for j in range(len(lengths) + 1)]
+    least = best[-1] - sum(x * c for x, c in zip(lengths, count, strict=True)) if lengths else 0
+    h = lambda d, n: hashlib.md5(f"{seed}:{f'null:{n}' if d is None else d}".encode()).hexdigest()[:15]
+    return least, sorted(rows, key=lambda r: (h(*r), r[0] is None, r[0] or 0, r[1]))
+
+
+@pytest.mark.parametrize("table", ["odd", "documents", "long", "few"])
+def test_packing_brute_force(spark, odd, table):
+    if table == "documents":
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    elif table == "long":
+        docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate([40_000, 32_768, 32_769, 70_000, 20_000, 1, 1, 0, 40_000])], "doc_id long, text string")
+    else:
+        docs = odd if table == "odd" else spark.createDataFrame([(i, "w " * n) for i, n in enumerate([1, 1, 1, 9, 9, 17, 17])], "doc_id long, text string")
+    rows = [(r["doc_id"], len((r["text"] or "").encode().split())) for r in docs.select("doc_id", "text").collect()]
+    least, order = plain_packing(rows)
+    got = packing.pack_documents(docs).collect()
+    assert sum(r["padding"] for r in got) == least and (table != "few" or not least)
+    bounds = sorted({r["bucket_len"] for r in got if 0 <= r["bucket"] < packing.N_BUCKETS})
+    assert len(bounds) <= packing.N_BUCKETS
+    want, seen = [], {}
+    for d, n in order:
+        bucket = -1 if not n else packing.N_BUCKETS if n > packing.TOKEN_BUDGET else next(i for i, b in enumerate(bounds) if n <= b)
+        width = 0 if not n else n if bucket == packing.N_BUCKETS else bounds[bucket]
+        fit = packing.TOKEN_BUDGET if not n else 1 if bucket == packing.N_BUCKETS else packing.TOKEN_BUDGET // width
+        k = seen[bucket] = seen.get(bucket, -1) + 1
+        want.append((repr(d), n, bucket, width, k // fit, k % fit, fit))
+    full = lambda w: min(w[6], seen[w[2]] + 1 - w[4] * w[6])
+    assert sorted((repr(r["doc_id"]), r["n_tokens"], r["bucket"], r["bucket_len"], r["batch"], r["slot"], r["batch_rows"], r["padding"]) for r in got) == sorted((*w[:6], full(w), w[3] - w[1]) for w in want)
+    for r in got:
+        assert r["bucket"] == packing.N_BUCKETS or r["bucket_len"] * r["batch_rows"] <= packing.TOKEN_BUDGET
 
 
 def distance(a, b):
@@ -382,7 +496,7 @@ def test_warc_round_trip(spark):
     runs = []
     for n in (1, 5):
         root = warc.fresh_path(spark, "t")
-        m = warc.write_warc(df.repartition(n), root, shard_ids=4, roll=600)
+        m = warc.write_warc(df.repartition(n), root, shard_bytes=2000, roll=600)
         runs.append(sorted(tuple(r) for r in m.collect()))
         got = warc.read_warc(spark, root, m).collect()
         assert sorted((repr(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == sorted([
@@ -396,6 +510,22 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, root, empty).count() == 0
 
 
+def test_warc_shards_by_size(spark):
+    def files(df, **how):
+        return sorted((r["file"], r["records"]) for r in warc.write_warc(df, warc.fresh_path(spark, "t"), **how).collect())
+
+    sparse = spark.range(300).selectExpr("id * 1000003 AS page_id", "'u' AS url", "concat('x', id) AS html")
+    assert files(sparse) == [("pages-0000000000-00000.warc.gz", 300)]
+    for page_id in ("CAST(NULL AS LONG)", "7L", "id"):  # null and repeated ids are spread like others
+        same = spark.range(300).selectExpr(f"{page_id} AS page_id", "'u' AS url", "concat('x', id) AS html")
+        got = files(same, shard_bytes=10 * 516, roll=1 << 20)
+        assert len(got) >= 29 and max(n for _, n in got) <= 11 and sum(n for _, n in got) == 300
+    rolled = files(sparse, shard_bytes=1 << 20, roll=4000)
+    assert len(rolled) > 10 and {f[:17] for f, _ in rolled} == {"pages-0000000000-"}
+    page = spark.read.parquet("/root/testdata/check_s/pages.parquet") if __import__("os").path.isdir("/root/testdata/check_s") else sparse
+    assert sum(n for _, n in files(page)) == page.count()
+
+
 MIT = """Copyright (c) 2020 A. Person
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including.
