@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from .common import GAP_CHARS, WORD_GAP, read, text_of
 
 #: Fixed patterns of the line rules.
-#: punctuation: the line must end a sentence (closing quotes and brackets may follow; only the last TAIL code points are looked at)
+#: punctuation: the line must end a sentence, of whatever script; any closing quotes and brackets may follow
+MARKS_OF_END = r".!?\x{2026}\x{3002}\x{ff01}\x{ff0e}\x{ff1f}\x{ff61}\x{964}\x{965}\x{61f}\x{6d4}\x{589}\x{1362}\x{1367}\x{17d4}\x{104b}\x{203c}\x{2047}\x{2048}\x{2049}"
+CLOSERS = r"\x22')\]\x{bb}\x{ab}\x{201d}\x{2019}\x{201c}\x{2018}\x{203a}\x{300d}\x{300f}\x{3011}\x{ff09}\x{200f}\x{200e}"
+ENDS = f"[{MARKS_OF_END}:;][{CLOSERS}]*$"
+#: How many code points of a line's end are looked at first; only where these are closers alone does the whole line decide.
 TAIL = 4
-ENDS = r"[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}][\x22')\]\x{bb}\x{201d}\x{2019}]*$"
+ALL_CLOSERS = f"^[{CLOSERS}]+$"
 #: the start of a line to its last sentence end, if one is inside it (for tails, see cleaned)
-HEAD = r"^([^\n]*[.!?\x{2026}\x{3002}\x{ff01}\x{ff1f}][\x22')\]\x{bb}\x{201d}\x{2019}]*)[\x20\x09-\x0D][^\n]*$"
+HEAD = f"^([^\\n]*[{MARKS_OF_END}][{CLOSERS}]*)[\\x20\\x09-\\x0D][^\\n]*$"
 #: symbols and marks that prose holds few of
-MARKS = r"[^#*$%&|<>!~^=_{}]+"
+MARKS = r"[^#*$%&|<>!~^=_{}\x{2022}\x{bb}\x{203a}]+"
 #: navigation: menus and breadcrumbs
 NAV = r"(?i)^(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|next|previous|prev|back|top|share|print|read more|load more|show more|skip to (main )?content|contact( us)?|about( us)?|site ?map|faq|help)([ |/>\x{2022}\x{bb}\x{203a}:.!-]+(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|next|previous|prev|back|top|share|print|contact|about|us|site ?map|faq|help|more))*[ .!:\x{bb}\x{203a}>]*$"
 #: boilerplate: notices that sites repeat
@@ -35,7 +39,7 @@ def _length(x: Column) -> Column:
 
 def unfinished(line: Column) -> Column:
     """Whether a line does not end a sentence."""
-    return ~F.substring(line, -TAIL, TAIL).rlike(ENDS)
+    return _let(F.substring(line, -TAIL, TAIL), lambda end: ~(end.rlike(ENDS) | (end.rlike(ALL_CLOSERS) & line.rlike(ENDS))))
 
 
 def line_fails(line: Column, tails: bool = False) -> Column:
@@ -79,7 +83,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
-    """All columns of docs, prefixed columns of the cleaning after them.
+    """All columns of docs, prefixed columns of the cleaning after them; columns of docs with a name that starts with q_ raise ValueError.
 
     A text is cut into lines at \\n. A line that holds a word goes if it doesn't end a sentence, holds more than
     MARKS_PER_WORD marks a word, is mostly capitals, is a menu, or is a notice that sites repeat; lines without words
@@ -95,6 +99,8 @@ def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
     With tails, a line that only lacks the end of its last sentence is cut after the sentence before, and what is cut counts as
     lost; a line without a sentence end goes whole, as it does by the rules of OP2_SQL.
     """
+    if clash := [c for c in docs.columns if c.lower().startswith("q_")]:
+        raise ValueError(f"columns named as those of the cleaning: {clash}")
     text = text_of()
     d = docs.withColumn("q_all", F.split(text, "\n"))
     d = d.withColumn("q_list", F.transform("q_all", lambda x: F.btrim(x, F.lit(GAP_CHARS))))
@@ -126,11 +132,17 @@ def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents without their failed lines and unfinished ends of lines (see tails in cleaned), in the columns of docs; n_chars, if there, counts the new text."""
+    """The kept documents without their failed lines and unfinished ends of lines (see tails in cleaned), in the columns of docs; n_chars, if
+    there, counts the new text.
+
+    Null, empty and short texts fail the base and go. Rows are judged one by one: null or repeated doc_ids and repeated rows don't matter, and
+    other columns stay as they are, whatever their names. An empty table gives no rows."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name meets one of the cleaning
+    renamed = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else n) for c, n in names.items()])
     # A filter on what is computed would be moved below it and make it all twice; one on a column that isn't deterministic stays.
-    d = cleaned(docs, tails=True).withColumn("q_kept", F.col("q_kept") & (F.monotonically_increasing_id() >= 0)).filter("q_kept")
+    d = cleaned(renamed, tails=True).withColumn("q_kept", F.col("q_kept") & (F.monotonically_increasing_id() >= 0)).filter("q_kept")
     new = {"text": F.col("q_text"), "n_chars": F.char_length("q_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return d.select(*[(new[c] if c in new else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op2_linefirst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +167,7 @@ WITH d AS (
 ), lines AS (SELECT id, k, l[k] AS raw, {_TRIM.format('l[k]')} AS line FROM (SELECT id, string_split(t, chr(10)) AS l FROM d), unnest(range(1, len(l) + 1)) u(k)
 ), judged AS (
   SELECT id, k, raw, length(line) AS n,
-    NOT regexp_matches(right(line, {TAIL}), {_q(ENDS)})
+    NOT regexp_matches(line, {_q(ENDS)})
     OR length(regexp_replace(line, {_q(MARKS)}, '', 'g')) > {MARKS_PER_WORD}::DOUBLE * len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))
     OR (length(regexp_replace(line, '\\P{{Lu}}+', '', 'g')) >= {CAPS_LEAST} AND length(regexp_replace(line, '\\P{{Lu}}+', '', 'g')) > length(regexp_replace(line, '\\P{{Ll}}+', '', 'g')))
     OR regexp_matches(line, {_q(NAV)})
