@@ -11,13 +11,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import fresh_path, partitions, read
+from .common import fresh_path, partitions, read, written
 
-#: page_ids of one shard; compressed bytes at which a file is closed; least payload that may be a revisit.
-SHARD_IDS, ROLL_BYTES, REVISIT_FROM, LEVEL = 1024, 32 << 20, 0, 6
+#: Least bytes of payload and headers of a shard, and most shards; the part of that after which a file is closed (compressed bytes).
+SHARD_BYTES, MOST_SHARDS, FILES = 8 << 20, 1 << 16, 8
+#: What a record counts besides its payload; pages of a cell of the sort; least payload that may be a revisit; compression level.
+HEAD_BYTES, CELL_PAGES, REVISIT_FROM, LEVEL = 512, 1 << 18, 0, 6
 DATE = "2024-01-01T00:00:00Z"  # records carry no time in the table; a fixed one keeps archives the same
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string"
@@ -106,43 +109,72 @@ def _publish(root: str):
     return run
 
 
-def write_warc(pages: DataFrame, root: str, shard_ids: int = SHARD_IDS, roll: int = ROLL_BYTES, revisit_from: int = REVISIT_FROM) -> DataFrame:
+def write_warc(pages: DataFrame, root: str, shard_bytes: int | None = None, roll: int | None = None, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) under root and returns the manifest: file, records, bytes,
     sha256, in no order.
 
-    Records are sorted by page_id; a shard holds shard_ids successive ids and a shard's file is closed once it has `roll`
-    compressed bytes, so names and bytes depend on the rows alone and not on how Spark deals them. Each task writes to
-    temporary names with its own attempt in them; a first manifest, which only a complete job has, says which attempt counts.
+    Records are sorted by (page_id, payload's digest) over the whole table, nulls first, and cut into shards of about shard_bytes of payload (SHARD_BYTES,
+    or what makes MOST_SHARDS of the table); a shard is written by one task, which closes a file once it has `roll` compressed bytes (shard_bytes /
+    FILES). The cuts come from exact running sums over the table of ids, so names and bytes depend on the rows alone and not on how Spark deals
+    them; sparse, null or repeated page_ids make no difference to the shards' sizes. Only rows equal in page_id and payload stay together. Pages
+    with their html move once. The table of cuts, which each task gets whole, has MOST_SHARDS rows at most.
+
+    Each task writes to temporary names with its own attempt in them; a first manifest, which only a complete job has, says which attempt counts.
     A second job gives these files their names and writes the manifest, which is there only once all have them; a task
     of it that runs again finds its files named. What a lost task left is deleted with the temporary folder.
 
     Equal payloads (by SHA-1) of revisit_from bytes or more: the one of largest page_id is the response, the others
-    revisit it; of rows that repeat that page_id all are responses. Null html: empty payload. Null page_id: shard 0's first
-    records, never the response of others unless all copies have null ids. Null url: empty. No rows: a manifest without files.
+    revisit it; of rows that repeat that page_id all are responses. Null html: empty payload. Null page_id: first in order,
+    never the response of others unless all copies have null ids. Null url: empty. No rows: a manifest without files.
+    Columns besides these three are not read.
     """
     spark = pages.sparkSession
     bytes_ = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha1(bytes_).alias("digest"), F.octet_length(bytes_).alias("n"))
-    shard = F.coalesce(F.floor(F.col("page_id") / shard_ids), F.lit(0)).cast("long") if shard_ids & (shard_ids - 1) else F.coalesce(F.shiftright("page_id", shard_ids.bit_length() - 1), F.lit(0)).cast("long")
-    ids = p.filter(F.col("n") >= revisit_from).select("page_id", "digest")
-    best = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    decided = ids.join(best, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    ids = written(p.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.first("n").alias("n")), "warc-ids")
+    weight = ((F.col("n") + HEAD_BYTES) * F.col("rows")).cast("long")
+    rows_, total = ids.agg(F.count(F.lit(1)), F.sum(weight)).first()  # one row
+    shard_bytes = shard_bytes or max(SHARD_BYTES, -(-(total or 0) // MOST_SHARDS))
+    roll = roll or max(1, shard_bytes // FILES)
+    cuts = _cuts(ids.withColumn("weight", weight), shard_bytes, max(partitions(spark), rows_ // CELL_PAGES))
+    n = cuts.agg(F.max("n_shards")).first()[0] or 1
+    best = ids.filter(F.col("n") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.sum("rows").alias("n")).filter("n > 1").drop("n")
+    decided = ids.filter(F.col("n") >= revisit_from).join(best, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     none = F.lit(None).cast("string")
-    rows = decided.select(F.lit(0).alias("kind"), shard.alias("shard"), "page_id", none.alias("url"), none.alias("html"), "digest", "refers_to").union(
-        p.select(F.lit(1).alias("kind"), shard.alias("shard"), "page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to")))
-    n = partitions(spark)
-    dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
+    rows = decided.select(F.lit(0).alias("kind"), "page_id", none.alias("url"), none.alias("html"), "digest", "refers_to").union(
+        p.select(F.lit(1).alias("kind"), "page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to")))
+    rows = rows.crossJoin(F.broadcast(cuts.drop("n_shards"))).withColumn("shard", _place("cuts", F.struct("page_id", "digest"))).select("kind", "shard", "page_id", "url", "html", "digest", "refers_to")  # by one row
+    dealt = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
     fs, base = _driver_fs(spark, root)
     fs.mkdirs(base(f"{root}/_temporary"))
     files = dealt.mapInArrow(_write(root, roll), "file string, temp string, records long, bytes long, sha256 string")
     files.write.parquet(f"{root}/_temporary/manifest")  # Spark's own commit decides which attempts count
     done = spark.read.schema(files.schema).parquet(f"{root}/_temporary/manifest")
-    manifest = done.repartition(n, "file").mapInArrow(_publish(root), MANIFEST)
+    manifest = done.repartition(partitions(spark), "file").mapInArrow(_publish(root), MANIFEST)
     manifest.write.parquet(f"{root}/manifest")
     fs.delete(base(f"{root}/_temporary"), True)
     return spark.read.schema(manifest.schema).parquet(f"{root}/manifest")
 
 
+def _cuts(ids: DataFrame, shard_bytes: int, cells: int) -> DataFrame:
+    """One row: cuts, the first (page_id, digest) of each shard in their order, and n_shards. Where Spark's range partitions end doesn't matter: their
+    sums give the exact running sum of each row."""
+    key = [F.col("page_id").asc_nulls_first(), F.col("digest").asc()]
+    rows = written(ids.repartitionByRange(cells, *key).select("page_id", "digest", "weight", F.spark_partition_id().alias("cell")), "warc-order")
+    cell = rows.groupBy("cell").agg(F.sum("weight").alias("in_cell"))
+    cell = cell.select("cell", F.coalesce(F.sum("in_cell").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each cell
+    own = F.sum("weight").over(W.partitionBy("cell").orderBy(*key).rowsBetween(W.unboundedPreceding, 0))
+    at = rows.withColumn("own", own).join(cell, "cell").select("page_id", "digest", F.expr(f"(before + own - weight) div {shard_bytes}").alias("part"))
+    first = at.groupBy("part").agg(F.min(F.struct("page_id", "digest")).alias("first"))  # null ids are the least
+    return written(first.agg(F.array_sort(F.collect_list("first")).alias("cuts"), F.count(F.lit(1)).cast("int").alias("n_shards")), "warc-cuts")
+
+
+def _place(cuts: str, key: Column) -> Column:
+    """The last place (from 0) of `cuts` that is no greater than the key, found by halving."""
+    steps = F.array(*[F.lit(MOST_SHARDS >> i) for i in range(MOST_SHARDS.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < F.size(cuts)) & (F.get(F.col(cuts), at + step) <= key), at + step).otherwise(at))
+
+
 def _driver_fs(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
     return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
