@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_CHARS, WORD_GAP, partitions, read, text_of, written
+from .common import GAP_CHARS, WORD_GAP, own_names, partitions, read, text_of, whole_groups, written
 from .components import Forest, components
 
 #: Edits that two lines may differ by, and the least length (code points) of lines that may differ at all.
@@ -161,19 +161,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell = key[rep] + (a * 1_000_003 + b).astype(np.int64) * np.int64(-7046029254386353131)
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key[rep]), pa.array(line[rep]), pa.array(role[rep].astype(np.int32)), pa.array(np.where(a == b, -1, at[rep]).astype(np.int32))], names=names)
 
-    kept: list = []
-    held = 0
-    for batch in batches:
-        kept.append([batch.column(i).to_numpy() for i in range(3)])
-        held += batch.num_rows
-        if held >= 1 << 18:
-            k, l, r = (np.concatenate(c) for c in zip(*kept, strict=True))  # noqa: E741
-            cut = int(np.flatnonzero(k != k[-1]).max(initial=-1)) + 1
-            if cut:
-                yield out(k[:cut], l[:cut], r[:cut])
-            kept, held = [(k[cut:], l[cut:], r[cut:])], len(k) - cut
-    if held:
-        yield out(*(np.concatenate(c) for c in zip(*kept, strict=True)))
+    for table in whole_groups(batches, 1 << 18):
+        yield out(*(table.column(i).to_numpy() for i in range(3)))
 
 
 def _verify(tau: int):
@@ -298,14 +287,16 @@ def without_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     Lines without words stay. A document that loses all its lines with words goes; one that had none stays.
 
     Each row is judged by itself, whatever its doc_id: rows with a null or repeated doc_id lose their own repeated lines only.
-    Where such rows hold a line at the same place, one of them (any) keeps it."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "line-rows")  # the ids must not change between uses
-    drops = line_classes(rows, row="__row", **how).filter("not kept").groupBy("__row").agg(F.collect_set("line_no").alias("__drop"))
-    d = rows.join(drops, "__row", "left")
-    left = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains("__drop", i))
-    d = d.withColumn("__text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    d = d.filter(F.col("__drop").isNull() | (F.btrim("__text", F.lit(GAP_CHARS)) != ""))
-    new = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    Where such rows hold a line at the same place, one of them (any) keeps it. Null and empty texts stay. Inner columns take names that docs
+    doesn't have. An empty table gives no rows."""
+    row, drop, left_ = own_names(docs, "line_row", "line_drop", "line_text")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")  # the ids must not change between uses
+    drops = line_classes(rows, row=row, **how).filter("not kept").groupBy(row).agg(F.collect_set("line_no").alias(drop))
+    d = rows.join(drops, row, "left")
+    left = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains(drop, i))
+    d = d.withColumn(left_, F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    d = d.filter(F.col(drop).isNull() | (F.btrim(left_, F.lit(GAP_CHARS)) != ""))
+    new = {"text": F.col(left_), "n_chars": F.char_length(left_).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, text_of, written
+from .common import partitions, read, text_of, whole_groups, written
 from .components import Forest, components
 
 SHINGLE, RADIUS, XX_SEED = 3, 3, 42
@@ -139,19 +139,8 @@ def _spanning(radius: int):
         return pa.RecordBatch.from_arrays([pa.array(x[own].view(np.int64)), pa.array(x[root[own]].view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
-        for batch in batches:
-            kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
-            held += len(kept[-1][0])
-            if held >= FRONTIER:  # all buckets but the last are complete
-                b, x = (np.concatenate(c) for c in zip(*kept, strict=True))
-                cut = int(np.flatnonzero(b != b[-1]).max(initial=-1)) + 1
-                if cut:
-                    yield edges(b[:cut], x[:cut])
-                kept, held = [(b[cut:], x[cut:])], len(b) - cut
-        if held:
-            b, x = (np.concatenate(c) for c in zip(*kept, strict=True))
-            yield edges(b, x)
+        for table in whole_groups(batches, FRONTIER):
+            yield edges(table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64))
 
     return run
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
+from .common import own_names, partitions, text_of, whole_groups, written
 from .components import Forest, components
 from .simhash import XX_SEED, GrayIndex, gray_rank
 
@@ -95,27 +95,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(fp), pa.array(node)], names=["key", "fp", "node"])
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Rows sorted by their first column, in portions of about so many rows that split no value of it."""
-    kept, held = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            kept.append(batch)
-            held += batch.num_rows
-        if held >= rows:
-            table = pa.Table.from_batches(kept).combine_chunks()
-            cell = table.column(0).to_numpy()
-            cut = int(np.flatnonzero(cell != cell[-1]).max(initial=-1)) + 1
-            if cut:
-                yield table.slice(0, cut)
-            kept, held = table.slice(cut).to_batches(), table.num_rows - cut
-    if held:
-        yield pa.Table.from_batches(kept).combine_chunks()
-
-
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (cell, fp, node), those that have another within NEAR bits in their cell."""
-    for table in _whole_cells(batches, 1 << 16):
+    for table in whole_groups(batches, 1 << 16):
         cell, fp, node = (table.column(i).to_numpy() for i in range(3))
         hit = np.zeros(len(cell), bool)
         for i, j in GrayIndex(cell, fp.view(np.uint64)).pairs(NEAR):
@@ -138,7 +120,7 @@ def _signatures_of(table: pa.Table) -> np.ndarray:
 
 def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (cell, fp, node, sig), those that have another within FAR bits in their cell."""
-    for table in _whole_cells(batches, 1 << 14):
+    for table in whole_groups(batches, 1 << 14):
         cell, fp, node = (table.column(i).to_numpy() for i in range(3))
         hit = np.zeros(len(cell), bool)
         for i, j, _ in _close(cell, fp, _signatures_of(table)):
@@ -177,7 +159,7 @@ def _verified(alike: float):
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_cells(batches, CELL):
+        for table in whole_groups(batches, CELL):
             cell, fp, node = (table.column(k).to_numpy() for k in range(3))
             sets = [np.frombuffer(x, np.uint32) for x in table.column(4).to_pylist()]
             yield forest_of(cell, fp, node, _signatures_of(table), sets)
@@ -237,14 +219,16 @@ def one_of_each(docs: DataFrame, null_ids: bool = False, **how) -> DataFrame:
     """The rows of docs without those that have a near-duplicate of smaller doc_id (see similar_documents): one document
     of each component stays, the one of smallest doc_id, in all columns of docs. Rows that repeat each other in all
     columns keep one; rows that share a kept doc_id only stay. Null doc_ids stay all (they can't be told apart), unless
-    null_ids is set: then each such row is a document of its own after all others, and goes if it has a near-duplicate before it."""
+    null_ids is set: then each such row is a document of its own after all others, and goes if it has a near-duplicate before it. Null texts
+    count as empty: of texts without words one stays. Inner columns take names that docs doesn't have. An empty table gives no rows."""
+    id_, keep, rows = own_names(docs, "sim_id", "sim_keep", "sim_rows")
     if null_ids and docs.filter(F.col("doc_id").isNull()).take(1):
         top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
         own = F.monotonically_increasing_id() + F.lit(max(0 if top is None else top + 1, 0)).cast("long")
-        rows = written(docs.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own)), "sim-rows")
-        return one_of_each(rows, **how).withColumn("doc_id", F.col("__id")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        numbered = written(docs.withColumn(id_, F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own)), "sim-rows")
+        return one_of_each(numbered, **how).withColumn("doc_id", F.col(id_)).select(*[F.col(f"`{c}`") for c in docs.columns])
     found = similar_documents(docs, **how).filter(F.col("doc_id") == F.col("component_id"))
-    keep = written(found.groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows")), "sim-keep")
-    once, repeated = keep.filter("__rows = 1"), keep.filter("__rows > 1")
-    kept = docs.join(once, docs["doc_id"].cast("long") == once["__keep"], "left_semi").union(docs.filter(F.col("doc_id").isNull()))
-    return kept.union(docs.join(repeated, docs["doc_id"].cast("long") == repeated["__keep"], "left_semi").distinct()) if repeated.take(1) else kept
+    keys = written(found.groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias(rows)), "sim-keep")
+    once, repeated = keys.filter(F.col(rows) == 1), keys.filter(F.col(rows) > 1)
+    kept = docs.join(once, docs["doc_id"].cast("long") == once[keep], "left_semi").union(docs.filter(F.col("doc_id").isNull()))
+    return kept.union(docs.join(repeated, docs["doc_id"].cast("long") == repeated[keep], "left_semi").distinct()) if repeated.take(1) else kept
