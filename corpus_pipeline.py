@@ -30,9 +30,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the target weights of their sources; a document that is taken twice is there twice, and
-    what one too long for the rest of its source leaves open is filled with others."""
-    return mixed(docs, fill=True)
+    """Documents by the target weights of their sources, by Pareto order sampling; a document that is taken twice is there twice."""
+    return mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
