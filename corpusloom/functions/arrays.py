@@ -47,6 +47,20 @@ def top_k_distribution(x: Column, k: int, temperature: float = 1.0) -> Column:
         F.transform(x, lambda v: F.when(v >= f, F.exp((v - m) / temperature)).otherwise(0.0)), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s)))))
 
 
+def top_p_distribution(x: Column, p: float, temperature: float = 1.0) -> Column:
+    """softmax of the likeliest elements whose probabilities before each sum to p or less (the one that crosses p stays), equal ones by place."""
+    if not 0 < p <= 1:
+        raise ValueError("0 < p <= 1")
+
+    def kept(probs: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        n = F.aggregate(by_size(probs), zero, lambda a, e: F.struct((a["s"] + e["v"]).alias("s"), F.when(a["s"] <= p, a["n"] + 1).otherwise(a["n"]).alias("n")), lambda a: a["n"])
+        places = let(n, lambda n: F.transform(F.slice(by_size(probs), 1, n), lambda e: e["i"]))
+        return let(places, lambda at: F.transform(probs, lambda v, i: F.when(F.array_contains(at, i), v).otherwise(0.0)))
+
+    return let(let(softmax(x, temperature), kept), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s)))
+
+
 def penalised(x: Column, seen: Column, penalty: float) -> Column:
     """Positive elements at seen places over the penalty, others there times it; penalties of 1 or less change nothing."""
     if penalty <= 1:
@@ -70,6 +84,17 @@ def silu(x: Column) -> Column:
     return F.transform(x, lambda v: v / (1 + F.exp(-v)))
 
 
+def linear(x: Column, weights: Column) -> Column:
+    """weights (an array of rows) times x; rows of another length than x raise an error."""
+    dot = lambda row: F.when(F.size(row) == F.size(x), total(F.zip_with(row, x, lambda a, b: a * b))).otherwise(F.raise_error(F.lit("width of weights and input differ")).cast("double"))
+    return F.transform(weights, dot)
+
+
+def swiglu(x: Column, gate: Column, value: Column, out: Column) -> Column:
+    """out (silu(gate x) * (value x)): the gated layer, its three matrices given as arrays of rows."""
+    return let(F.zip_with(silu(linear(x, gate)), linear(x, value), lambda g, v: g * v), lambda h: linear(h, out))
+
+
 def kept_last(x: Column, n: int) -> Column:
     return F.when(F.size(x) > n, F.slice(x, -n, n)).otherwise(x)
 

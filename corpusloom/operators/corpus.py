@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -10,6 +10,8 @@ from ..functions import text as T
 from .order import id_cell, numbered, seeded
 
 TRAIN, VAL = 0.9, 0.05
+#: Lines of a part of a split's text.
+PART_LINES = 1 << 16
 
 
 def check_ratios(train: float, val: float, test: float) -> None:
@@ -39,6 +41,24 @@ def split_lines(docs: DataFrame, train: float = TRAIN, val: float = VAL) -> Data
     return rows.withColumn("split", F.when(F.col("row_no") < end, "train").when(F.col("row_no") < val_end, "val").otherwise("test")).drop("n")
 
 
+SPLITS = ("train", "val", "test")
+
+
+def split_texts(split: DataFrame) -> DataFrame:
+    """split, part_no, text of split_lines(): each split's lines in order, a line end between them, in parts of PART_LINES lines, so that no split has to
+    fit into a row; a split of up to so many lines is one text."""
+    low = split.groupBy("split").agg(F.min("row_no").alias("_first"))
+    rows = split.join(low, "split").withColumn("part_no", F.floor((F.col("row_no") - F.col("_first")) / PART_LINES))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda s: s["line"]), "\n")
+    return rows.groupBy("split", "part_no").agg(text.alias("text"))
+
+
+def one_split(split: DataFrame, name: str) -> DataFrame:
+    if name not in SPLITS:
+        raise ValueError(f"no split {name!r}: one of {', '.join(SPLITS)}")
+    return split.filter(F.col("split") == name).drop("split")
+
+
 def split_leakage(split: DataFrame) -> DataFrame:
     """Lines in more than one split, counted (0: the splits are disjoint)."""
     return split.groupBy("line").agg(F.count_distinct("split").alias("k")).agg(F.coalesce(F.sum((F.col("k") > 1).cast("long")), F.lit(0).cast("long")).alias("n_leaked"))
@@ -48,15 +68,38 @@ def manifest(docs: DataFrame, name: str, version: str) -> DataFrame:
     """One row: the corpus's digest, its raw lines and words, and words by split. The raw counts include repeated lines."""
     text = T.nothing_null("text")
     size = F.size(T.words(F.col("line")))
-    # sum of digests: the corpus is a table of rows in no order, so no single stream of bytes is there to hash
+    # sum of digests: the corpus is a table of rows in no order, so no single stream of bytes is there to hash; as text, as it passes 64 bits
     raw = docs.agg(F.count(F.lit(1)).alias("num_documents"), F.sum(F.octet_length(text)).alias("num_bytes"), F.sum(F.size(T.lines(text))).alias("num_lines"),
-                   F.sum(F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("long")).alias("content_sum"),
+                   F.coalesce(F.sum(F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content_sum"),
                    F.sum(F.size(T.words(text))).cast("long").alias("total_tokens"))
     part = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, size)), F.lit(0)).cast("long").alias(f"{s}_tokens")
     by_split = split_lines(docs).agg(part("train"), part("val"), part("test"))
     return raw.crossJoin(by_split).select(F.lit(name).alias("name"), F.lit(version).alias("version"), "*")  # one row by one row
 
 
+#: What a saved manifest must hold.
+MANIFEST_FIELDS = ("name", "version", "num_documents", "num_bytes", "num_lines", "content_sum", "total_tokens", "train_tokens", "val_tokens", "test_tokens")
+
+
+def save_manifest(manifest: DataFrame, path: str) -> None:
+    """As one JSON document."""
+    manifest.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.json(path)
+    if missing := sorted(set(MANIFEST_FIELDS) - set(found.columns)):
+        raise ValueError(f"missing fields: {missing}")
+    return found.select(*MANIFEST_FIELDS)
+
+
+def legacy_manifest(manifest: DataFrame) -> DataFrame:
+    """The older form: totals beside a map of tokens by split and the ratios they were asked for."""
+    by_split = F.create_map(*[x for s in SPLITS for x in (F.lit(s), F.col(f"{s}_tokens"))])
+    ratios = F.create_map(*[x for s, r in zip(SPLITS, (TRAIN, VAL, round(1 - TRAIN - VAL, 6)), strict=True) for x in (F.lit(s), F.lit(r))])
+    return manifest.select(F.col("name").alias("dataset"), "num_lines", F.col("total_tokens").alias("num_tokens"), by_split.alias("tokens_by_split"), ratios.alias("split_ratios"))
+
+
 def windows(n: Column, size: int, overlap: int) -> Column:
     """Starts of windows of `size` with `overlap`; a last one may lie within the one before it."""
     if not 0 <= overlap < size:
@@ -99,6 +142,19 @@ def shuffled_batches(docs: DataFrame, key: str, size: int, seed: str) -> DataFra
     return rows.filter((F.col("batch_no") < F.floor(F.col("n") / size)) | (F.col("n") < size)).select(key, "batch_no", "slot")
 
 
+def checked_ids(seqs: DataFrame, ids: str, vocab: int) -> DataFrame:
+    """The rows; a job over one with an id outside 0 .. vocab - 1 fails and names it."""
+    bad = F.filter(ids, lambda i: (i < 0) | (i >= vocab))
+    return seqs.withColumn(ids, F.when(F.size(bad) == 0, F.col(ids)).when(F.col(ids).isNull(), F.col(ids)).otherwise(F.raise_error(F.concat(F.lit("id out of range: "), F.get(bad, 0).cast("string")))))
+
+
+def first_batches(batches: DataFrame, n: int, batch_no: str = "batch_no") -> DataFrame:
+    """The rows of the first n batches."""
+    if n < 1:
+        raise ValueError("n must be positive")
+    return batches.filter(F.col(batch_no) < n)
+
+
 def strided_windows(seqs: DataFrame, key: str, n: str, stride: int, size: int, exact: bool = False) -> DataFrame:
     """From key, n: evaluation windows (window_no, start, stop, overlap, scored). A window's first new label is the token after the
     overlap; the plain count leaves out one token at each overlapped border, the exact one doesn't."""

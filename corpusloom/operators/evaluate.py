@@ -70,13 +70,35 @@ def drawn(rows: DataFrame, key: str, probs: Column, uniform: Column) -> DataFram
 
 def sampler(logits: Column, seen: Column | None = None, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, penalty: float = 1.0) -> Column:
     """The distribution to draw from. The penalty comes first; then temperature 0, top-k, top-p, plain temperature: the first that is asked for
-    rules (top-k and top-p don't combine). top_p is cut by nucleus()."""
-    if temperature < 0 or penalty < 1 or (top_p is not None and not 0 < top_p <= 1):
-        raise ValueError("temperature >= 0, penalty >= 1 and 0 < top_p <= 1")
-    x = A.penalised(logits, seen, penalty) if seen is not None else logits
+    rules (top-k and top-p don't combine; 0 asks for neither)."""
+    if temperature < 0 or penalty < 1 or (top_p is not None and not 0 <= top_p <= 1) or (top_k is not None and top_k < 0):
+        raise ValueError("temperature >= 0, penalty >= 1, top_k >= 0 and 0 <= top_p <= 1")
+    if penalty > 1 and seen is None:
+        raise ValueError("a penalty needs the ids that were seen")
+    x = A.penalised(logits, seen, penalty) if penalty > 1 else logits
     if temperature == 0:
         return A.softmax(x, 0)
-    return A.top_k_distribution(x, top_k, temperature) if top_k is not None else A.softmax(x, temperature)
+    if top_k:
+        return A.top_k_distribution(x, top_k, temperature)
+    return A.top_p_distribution(x, top_p, temperature) if top_p else A.softmax(x, temperature)
+
+
+#: The decodes of the protocol (temperature, top-p, repetition penalty).
+DECODES = ((0.0, None, 1.0), (0.8, 0.9, 1.0), (0.8, 0.9, 1.2))
+
+
+def decode_grid(prompts: DataFrame, decodes: tuple[tuple[float, float | None, float], ...] = DECODES) -> DataFrame:
+    """Every prompt once for each decode: the columns of prompts, decode_no, temperature, top_p, repetition_penalty."""
+    each = F.array(*[F.struct(F.lit(i).alias("decode_no"), F.lit(t).cast("double").alias("temperature"), F.lit(p).cast("double").alias("top_p"), F.lit(r).cast("double").alias("repetition_penalty")) for i, (t, p, r) in enumerate(decodes)])
+    return prompts.withColumn("_d", F.explode(each)).select(*prompts.columns, "_d.*")
+
+
+def embedded(seqs: DataFrame, key: str, ids: str, table: DataFrame, id: str, vec: str) -> DataFrame:  # noqa: A002
+    """key, pos, token, vec: the vector of every id of a sequence, by a join on the id. An id that the table doesn't hold fails the job."""
+    tokens = seqs.select(key, F.posexplode(ids).alias("pos", "token"))
+    found = tokens.join(table.select(F.col(id).alias("token"), F.col(vec).alias("vec")), "token", "left")
+    held = F.when(F.col("vec").isNotNull(), F.col("vec")).otherwise(F.raise_error(F.concat(F.lit("no vector for id "), F.coalesce(F.col("token").cast("string"), F.lit("null")))).cast(dict(table.dtypes)[vec]))
+    return found.select(key, "pos", "token", held.alias("vec"))
 
 
 def attention(rows: DataFrame, group: str, pos: str, vec: str) -> DataFrame:

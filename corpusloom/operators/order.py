@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 CELLS = 4096
+#: Rows drawn to find where cells end.
+SAMPLE = 1 << 15
 
 
 def numbered(df: DataFrame, cell: Column, order: list, name: str = "n", total: str | None = None) -> DataFrame:
@@ -24,10 +26,17 @@ def numbered(df: DataFrame, cell: Column, order: list, name: str = "n", total: s
 
 
 def id_cell(df: DataFrame, col: str, cells: int = CELLS) -> Column:
-    """Cells of equal width over the column's range (one small job finds it); null keys have the last one for themselves."""
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    lo, hi = lo or 0, hi or 0
-    return F.coalesce(F.floor((F.col(col) - lo) / max(1, -(-(hi - lo + 1) // cells))).cast("long"), F.lit(cells).cast("long"))
+    """Cells between quantiles of the column, of any ordered type, so that no outlying value makes an uneven cell; null keys have the last one for
+    themselves. The quantiles come from SAMPLE rows drawn at random; they set where cells end, not what numbered() returns."""
+    kind = dict(df.dtypes)[col]
+    drawn = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("k")).orderBy(F.rand(11)).limit(SAMPLE).agg(F.array_sort(F.collect_set("k")).alias("k"))
+    step = f"greatest(1, cast(ceil(size(k) / {cells - 1}) as int))"
+    cuts = drawn.select(F.expr(f"to_json(filter(k, (x, i) -> i % {step} = 0))")).first()[0]  # one short list
+    cuts = F.from_json(F.lit(cuts or "[]"), f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << i) for i in range(cells.bit_length(), -1, -1)])
+    # the last cut that is no greater than the key, found by halving
+    at = F.aggregate(steps, F.lit(-1), lambda at, s: F.when((at + s < F.size(cuts)) & (F.get(cuts, at + s) <= F.col(col)), at + s).otherwise(at))
+    return F.when(F.col(col).isNull(), F.lit(cells)).otherwise(at).cast("long")
 
 
 def seeded(seed: str, key: Column) -> Column:

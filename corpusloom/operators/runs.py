@@ -33,14 +33,16 @@ def accumulated_loss(steps: DataFrame, step: str, loss: str, every: int) -> Data
 
 
 def running_best(steps: DataFrame, step: str, loss: str) -> DataFrame:
-    """Adds best: the least loss so far. `step` counts from 0 without gaps; runs of steps are cut into cells, the best before each cell comes
-    from the cells' minima, so no window runs over the whole table."""
-    cell = F.floor(F.col(step) / CELLS)
-    rows = steps.withColumn("_cell", cell)
-    low = rows.groupBy("_cell").agg(F.min(loss).alias("_low"))
-    low = low.withColumn("_before", F.min("_low").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))).drop("_low")
+    """Adds best: the least loss so far. `step` counts from 0 without gaps; runs of steps are cut into cells and these into blocks of cells. The best
+    before a block comes from the blocks' minima, that before a cell from the cells' minima within its block, so each window but the first
+    runs over at most CELLS rows, and the first over a row for each CELLS * CELLS steps."""
+    before = lambda by: F.min("_low").over(by.rowsBetween(W.unboundedPreceding, -1))
+    rows = steps.withColumn("_cell", F.floor(F.col(step) / CELLS))
+    cells = rows.groupBy("_cell").agg(F.min(loss).alias("_low")).withColumn("_block", F.floor(F.col("_cell") / CELLS))
+    blocks = cells.groupBy("_block").agg(F.min("_low").alias("_low")).select("_block", before(W.orderBy("_block")).alias("_far"))
+    cells = cells.withColumn("_near", before(W.partitionBy("_block").orderBy("_cell"))).join(blocks, "_block").select("_cell", F.least("_near", "_far").alias("_before"))
     own = F.min(loss).over(W.partitionBy("_cell").orderBy(step).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_own", own).join(low, "_cell").withColumn("best", F.least("_own", "_before")).drop("_cell", "_own", "_before")
+    return rows.withColumn("_own", own).join(cells, "_cell").withColumn("best", F.least("_own", "_before")).drop("_cell", "_own", "_before")
 
 
 def latest(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-BYTES = 256
-SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
+BYTES, TARGET = 256, 2048
+#: The names of special tokens, and the least code points of a text to train on.
+SPECIALS = ("<|pad|>", "<|bos|>", "<|eos|>", "<|unk|>")
+LEAST_CHARS = 100
 
 
 class Tokenizer(Protocol):
@@ -38,9 +40,10 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return rows.groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
 
 
-def learn_merges(words: list[tuple[str, int]], n_merges: int) -> list[tuple[bytes, bytes]]:
-    """Merges by falling pair count, as long as it is 2 or more; of equal counts the pair that is seen first, in the order of words, then of
-    places. Counts are kept up to date for the words that a merge touches alone; a heap holds upper bounds."""
+def learn_merges(words: list[tuple[str, int]], vocab: int) -> list[tuple[bytes, bytes]]:
+    """Merges by falling pair count, as long as it is 2 or more and the vocabulary, all bytes at first, is smaller than `vocab`; of equal counts the pair
+    that is seen first, in the order of words, then of places. A merge that makes a string which is there already counts as a merge and adds nothing to
+    the vocabulary. Counts are kept up to date for the words that a merge touches alone; a heap holds upper bounds."""
     seqs = [[bytes([b]) for b in w.encode()] for w, _ in words]
     freq = [f for _, f in words]
     count: dict = defaultdict(int)
@@ -56,8 +59,8 @@ def learn_merges(words: list[tuple[str, int]], n_merges: int) -> list[tuple[byte
 
     heap = [(-n, p) for p, n in count.items()]
     heapq.heapify(heap)
-    out = []
-    while len(out) < n_merges:
+    out, strings = [], {bytes([b]) for b in range(BYTES)}
+    while len(strings) < vocab:
         best = []
         while heap and (not best or heap[0][0] <= best[0][0]):
             n, p = heapq.heappop(heap)
@@ -71,6 +74,7 @@ def learn_merges(words: list[tuple[str, int]], n_merges: int) -> list[tuple[byte
                 heapq.heappush(heap, x)
         pair = pick[1]
         out.append(pair)
+        strings.add(pair[0] + pair[1])
         changed = set()
         for k in sorted(where.pop(pair)):
             s = seqs[k]
@@ -92,15 +96,16 @@ def learn_merges(words: list[tuple[str, int]], n_merges: int) -> list[tuple[byte
 
 def merged(s: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
     """Every such pair, from the left, in one."""
-    new, i = [], 0
-    while i < len(s):
-        if i + 1 < len(s) and (s[i], s[i + 1]) == pair:
-            new.append(s[i] + s[i + 1])
-            i += 2
+    out: list[bytes] = []
+    open_ = False  # whether the last one may still be the left half of a pair
+    for x in s:
+        if open_ and x == pair[1] and out[-1] == pair[0]:
+            out[-1] += x
+            open_ = False
         else:
-            new.append(s[i])
-            i += 1
-    return new
+            out.append(x)
+            open_ = True
+    return out
 
 
 class BytePairs:
@@ -112,28 +117,44 @@ class BytePairs:
         self.ids: dict[bytes, int] = {bytes([b]): b for b in range(BYTES)}
         for a, b in merges:
             self.ids.setdefault(a + b, len(self.ids))
-        self.ranks: dict[tuple[bytes, bytes], int] = {}
-        for i, p in enumerate(merges):
-            self.ranks.setdefault(p, i)
+        self.ranks = {p: i for i, p in enumerate(merges)}  # a pair that was merged twice has its last rank
         self.bytes = {i: b for b, i in self.ids.items()}
 
     @classmethod
-    def train(cls, docs: DataFrame, target: int = 512, specials: tuple[str, ...] = SPECIALS) -> BytePairs:
+    def train(cls, docs: DataFrame, target: int = TARGET, specials: tuple[str, ...] = SPECIALS) -> BytePairs:
         """Learns on all texts of docs. The word table is what reaches the driver: a row for each different piece."""
         if target < BYTES + len(specials):
             raise ValueError("the target must hold all bytes and special tokens")
+        chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+        if chars < LEAST_CHARS:
+            raise ValueError(f"{chars} characters to train on: {LEAST_CHARS} are needed")
         words = [(r["word"], r["freq"]) for r in word_table(docs).orderBy("first_doc", "first_pos").toLocalIterator()]
-        return cls(learn_merges(words, target - BYTES - len(specials)), target, specials)
+        return cls(learn_merges(words, target - len(specials)), target, specials)
 
     def piece(self, word: str) -> list[int]:
-        s = [bytes([b]) for b in word.encode()]
-        while len(s) > 1:
-            rank, pair = min(((self.ranks.get(p, len(self.ranks)), p) for p in zip(s, s[1:], strict=False)), key=lambda x: x[0])
-            if rank == len(self.ranks):
-                break
-            i = next(i for i, p in enumerate(zip(s, s[1:], strict=False)) if p == pair)
-            s = s[:i] + [s[i] + s[i + 1]] + s[i + 2 :]
-        return [self.ids[x] for x in s]
+        """Ids of one piece: the pair of least rank merges, the leftmost of equal ones, until none has a rank. Parts are linked to their neighbours and
+        pairs wait in a heap, so a long piece costs its length times the logarithm of it."""
+        part: list[bytes | None] = [bytes([b]) for b in word.encode()]
+        n = len(part)
+        right = list(range(1, n + 1))
+        left = list(range(-1, n - 1))
+        rank = self.ranks.get
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if (r := rank((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if part[i] != a or j >= n or part[j] != b:
+                continue  # one of the two has gone into another pair since
+            part[i], part[j] = a + b, None
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if (r := rank((part[i], part[k]))) is not None:
+                    heapq.heappush(heap, (r, i, part[i], part[k]))
+            if (h := left[i]) >= 0 and (r := rank((part[h], part[i]))) is not None:
+                heapq.heappush(heap, (r, h, part[h], part[i]))
+        return [self.ids[x] for x in part if x is not None]
 
     def encode(self, text: str) -> list[int]:
         import regex

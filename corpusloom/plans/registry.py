@@ -156,10 +156,11 @@ def pretokenize(spark, sf):
     return _docs(spark, sf).select("doc_id", T.pieces(_text()).alias("pieces"))
 
 
-@query(f"SELECT doc_id, hex(encode({_TXT})) AS bytes, true AS same FROM documents")
+@query(f"SELECT doc_id, hex(encode({_TXT})) AS bytes, {_TXT} AS text FROM documents")
 def utf8_bytes(spark, sf):
+    """The bytes of each text, and the text that they make again."""
     b = F.encode(_text(), "UTF-8")
-    return _docs(spark, sf).select("doc_id", F.hex(b).alias("bytes"), (F.decode(b, "UTF-8") == _text()).alias("same"))
+    return _docs(spark, sf).select("doc_id", F.hex(b).alias("bytes"), F.decode(b, "UTF-8").alias("text"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS run_id FROM events")
@@ -220,13 +221,24 @@ def split_leakage(spark, sf):
 
 @query(f"""WITH s AS (SELECT split, sum(len(list_filter(string_split_regex(line, {_WS}), lambda w: w <> ''))) AS n FROM {_SPLIT} GROUP BY split)
 SELECT 'documents' AS name, '1' AS version, count(*) AS num_documents, sum(strlen({_TXT}))::BIGINT AS num_bytes, (SELECT count(*) FROM {_LINES}) AS num_lines,
-  sum(('0x' || substr(sha256({_TXT}), 1, 12))::BIGINT)::BIGINT AS content_sum, sum(len({_WORDS}))::BIGINT AS total_tokens,
+  sum(('0x' || substr(sha256({_TXT}), 1, 12))::BIGINT)::VARCHAR AS content_sum, sum(len({_WORDS}))::BIGINT AS total_tokens,
   coalesce((SELECT n FROM s WHERE split = 'train'), 0)::BIGINT AS train_tokens, coalesce((SELECT n FROM s WHERE split = 'val'), 0)::BIGINT AS val_tokens, coalesce((SELECT n FROM s WHERE split = 'test'), 0)::BIGINT AS test_tokens
 FROM documents""")
 def dataset_manifest(spark, sf):
     return C.manifest(_docs(spark, sf), "documents", "1")
 
 
+@query(f"SELECT split, 0::BIGINT AS part_no, sha256(string_agg(line, chr(10) ORDER BY row_no)) AS digest FROM {_SPLIT} GROUP BY split HAVING count(*) <= {C.PART_LINES}")
+def split_texts(spark, sf):
+    """The digest of each split's text (at the sizes that SQL can check, a split is one part)."""
+    return C.split_texts(C.split_lines(_docs(spark, sf))).select("split", "part_no", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(f"""SELECT 'documents' AS dataset, (SELECT count(*) FROM {_LINES}) AS num_lines, sum(len({_WORDS}))::BIGINT AS num_tokens FROM documents""")
+def manifest_legacy(spark, sf):
+    return C.legacy_manifest(C.manifest(_docs(spark, sf), "documents", "1")).select("dataset", F.col("num_lines").cast("long").alias("num_lines"), "num_tokens")
+
+
 _IDS = f"(SELECT doc_id, list_transform({_WORDS}, lambda w: length(w)::INT) AS ids FROM documents)"
 _TCH = f"(SELECT doc_id, k::INT AS chunk_no, ids[k * 112 + 1 : k * 112 + 128] AS tokens FROM {_IDS}, unnest(range(0, ceil(len(ids) / 112.0)::BIGINT)) u(k))"
 
@@ -269,6 +281,13 @@ def shuffled_batches(spark, sf):
     return C.shuffled_batches(_docs(spark, sf), "doc_id", 32, "7")
 
 
+@query("""WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+SELECT doc_id, (pos // 32)::BIGINT AS batch_no, (pos % 32)::INT AS slot FROM h WHERE (pos // 32 < n // 32 OR n < 32) AND pos // 32 < 3""")
+def first_batches(spark, sf):
+    """A limit that is the feature: the first three batches."""
+    return C.first_batches(C.shuffled_batches(_docs(spark, sf), "doc_id", 32, "7"), 3)
+
+
 @query(f"""SELECT doc_id, k::INT AS window_no, (k * 64)::INT AS start, least(k * 64 + 128, n)::INT AS stop, greatest(0, CASE WHEN k > 0 THEN least(k * 64 + 64, n) ELSE 0 END - k * 64)::INT AS overlap,
   greatest(0, least(k * 64 + 128, n) - k * 64 - 1 - greatest(0, CASE WHEN k > 0 THEN least(k * 64 + 64, n) ELSE 0 END - k * 64))::INT AS scored
 FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents), unnest(range(0, ceil(n / 64.0)::BIGINT)) u(k)""")
@@ -313,12 +332,15 @@ def bpe_encode(spark, sf):
     return K.encoded(_docs(spark, sf), K.BytePairs.train(_docs(spark, sf)))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query(f"SELECT doc_id, sha256({_TXT}) AS digest, strlen({_TXT})::BIGINT AS n_bytes, {_TXT} <> '' AND strlen({_TXT}) > 3 AS shorter FROM documents")
 def bpe_roundtrip(spark, sf):
+    """Of the ids alone: the digest of the text that they decode to, the bytes that they stand for, and whether they are fewer than these."""
     d = _docs(spark, sf)
     t = K.BytePairs.train(d)
-    piece = F.pandas_udf(lambda x: x.map(lambda v: t.decode(t.encode(v), strict=True)), "string")
-    return d.select("doc_id", (piece(_text()) == _text()).alias("same"))
+    sizes = F.array(*[F.lit(len(t.bytes.get(i, b""))) for i in range(t.vocab_size())])
+    n = F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + F.get(sizes, i))
+    e = K.encoded(d, t)
+    return e.select("doc_id", F.sha2(F.encode(K.decoded(F.col("ids"), t), "UTF-8"), 256).alias("digest"), n.alias("n_bytes"), (F.size("ids") < n).alias("shorter"))
 
 
 # Retrieval
@@ -439,6 +461,29 @@ def nucleus_filter(spark, sf):
     return E.nucleus(_vecs(spark, sf), "vec_id", "x", 0.9).withColumn("prob", F.round("prob", 6))
 
 
+@query(f"""WITH s AS (SELECT vec_id, p, [i for i in list_grade_up(list_transform(p, lambda v: -v))] AS o FROM {_sm(1.0)}
+), k AS (SELECT vec_id, p, list_transform(range(1, len(o) + 1), lambda j: coalesce(list_sum(list_transform(o[1 : j - 1], lambda i: p[i])), 0) <= 0.9::DOUBLE) AS inside, o FROM s
+), m AS (SELECT vec_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN inside[list_position(o, i)] THEN p[i] ELSE 0 END) AS e FROM k)
+SELECT vec_id, list_transform(e, lambda v: round(v / list_sum(e), 6)) AS probs FROM m""")
+def nucleus_distribution(spark, sf):
+    """The sampler's distribution where top-p rules."""
+    return _vecs(spark, sf).select("vec_id", _round(E.sampler(F.col("x"), top_p=0.9)).alias("probs"))
+
+
+@query("""SELECT item_id AS query_id, d AS decode_no, [0.0, 0.8, 0.8][d + 1]::DOUBLE AS temperature, [NULL, 0.9, 0.9][d + 1]::DOUBLE AS top_p, [1.0, 1.0, 1.2][d + 1]::DOUBLE AS repetition_penalty
+FROM benchmark, (SELECT unnest(range(3))::INT AS d) u""")
+def decode_grid(spark, sf):
+    return E.decode_grid(_questions(spark, sf).select("query_id"))
+
+
+@query(f"""SELECT conv_id, turn, (i - 1)::INT AS pos, t[i] AS token, x AS vec FROM (SELECT conv_id, turn, list_transform({_WORDS}, lambda w: length(w)::BIGINT) AS t FROM conversations), unnest(range(1, len(t) + 1)) u(i)
+JOIN {_V} v ON v.vec_id = t[i]""")
+def embedding_lookup(spark, sf):
+    """Word lengths stand for token ids, the vectors table for the embedding."""
+    turns = _t(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.transform(T.words(_text()), lambda w: F.char_length(w).cast("long")).alias("ids"))
+    return E.embedded(turns, "at", "ids", _vecs(spark, sf), "vec_id", "x").select("at.*", "pos", "token", "vec")
+
+
 @query(f"SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: round(CASE WHEN (i - 1) IN (label, label + 7) THEN CASE WHEN x[i] > 0 THEN x[i] / 1.5::DOUBLE ELSE x[i] * 1.5::DOUBLE END ELSE x[i] END, 6)) AS logits FROM {_V}")
 def repetition_penalty(spark, sf):
     seen = F.array_distinct(F.array("label", F.col("label") + 7, "label"))
@@ -526,6 +571,23 @@ def silu(spark, sf):
     return _vecs(spark, sf).select("vec_id", _round(A.silu(F.col("x"))).alias("y"))
 
 
+def _w(rows: int, cols: int, k: int) -> list[list[float]]:
+    """A matrix that any engine can make: small numbers by place."""
+    return [[float((i * cols + j) * k % 7 - 3) for j in range(cols)] for i in range(rows)]
+
+
+def _dot(m: list[list[float]], x: str) -> str:
+    return "[" + ", ".join(" + ".join(f"{v}::DOUBLE * {x}[{j + 1}]" for j, v in enumerate(row)) for row in m) + "]"
+
+
+@query(f"""SELECT vec_id, list_transform({_dot(_w(4, 6, 5), 'h')}, lambda v: round(v, 6) + 0.0::DOUBLE) AS y FROM (SELECT vec_id, list_transform(range(1, 7), lambda i: g[i] / (1 + exp(-g[i])) * u[i]) AS h FROM (
+  SELECT vec_id, {_dot(_w(6, 4, 3), 'x')} AS g, {_dot(_w(6, 4, 2), 'x')} AS u FROM {_V}))""")
+def swiglu_gate(spark, sf):
+    m = lambda rows, cols, k: F.array(*[F.array(*[F.lit(v) for v in row]) for row in _w(rows, cols, k)])
+    y = A.swiglu(F.slice("x", 1, 4), m(6, 4, 3), m(6, 4, 2), m(4, 6, 5))
+    return _vecs(spark, sf).select("vec_id", F.transform(y, lambda v: F.round(v, 6) + 0.0).alias("y"))
+
+
 @query(f"""WITH v AS (SELECT vec_id // 16 AS g, (vec_id % 16)::INT AS pos, x FROM {_V}
 ), s AS (SELECT a.g, a.pos AS i, b.pos AS j, b.x, exp(list_dot_product(a.x, b.x) / sqrt(len(a.x))) AS w FROM v a JOIN v b ON a.g = b.g AND b.pos <= a.pos
 ), o AS (SELECT g, i, d, sum(w * x[d]) / sum(w) AS y FROM s, range(1, 65) r(d) GROUP BY ALL)

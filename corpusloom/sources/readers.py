@@ -12,7 +12,8 @@ MIN_BYTES = 10
 def text_files(spark: SparkSession, path: str, lossy: bool = False) -> DataFrame:
     """path, text of whole files in UTF-8; wrong bytes are replaced if lossy, else an error."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", "UTF-8") if lossy else F.validate_utf8(F.col("content").cast("string"))
+    content = F.col("content").cast("string")
+    text = F.make_valid_utf8(content) if lossy else F.validate_utf8(content)
     return files.select("path", text.alias("text"))
 
 

@@ -79,6 +79,9 @@ def test_search(spark, tmp_path):
     prompts = {r["query_id"]: r["prompt"] for r in R.context_prompts(R.retrieved(index, d, q, 3), q).collect()}
     assert "[1] [Source: 0]: machine learning is fun" in prompts[1] and prompts[2] == "Question: zebra\nAnswer:"
     assert R.Index.of(d.limit(0)).search(q).count() == 0
+    wide = R.Index.of(d)
+    saved = R.Index(wide.postings, wide.terms, wide.corpus)  # searched by its tables
+    assert [tuple(r) for r in saved.search(q).collect()] == [tuple(r) for r in rows]
 
 
 def test_arrays(spark):
@@ -101,28 +104,51 @@ def test_runs(spark):
     assert U.speedup_grid(spark, 5, 10, 10.0, 1.0).filter("gamma = 5 and rate = 0.7").first()["speedup"] == pytest.approx(3.0)
 
 
-def naive_merges(words, n):
-    seqs, out = [[bytes([b]) for b in w.encode()] for w, _ in words], []
-    for _ in range(n):
-        count = {}
-        for s, (_, f) in zip(seqs, words, strict=True):
-            for p in zip(s, s[1:], strict=False):
-                count[p] = count.get(p, 0) + f
-        if not count or max(count.values()) < 2:
+def plain_bpe(texts, target):
+    """The rule in full, recounted for every merge, on lists of latin-1 strings."""
+    import regex
+
+    words = [[chr(b) for b in w.encode()] for t in texts for w in regex.findall(r"\s*\S+|\s+", t)]
+    vocab, merges = {chr(b) for b in range(256)}, []
+    while len(vocab) < target - 4:
+        seen = {}
+        for w in words:
+            for k in range(1, len(w)):
+                seen[w[k - 1], w[k]] = seen.get((w[k - 1], w[k]), 0) + 1
+        if not seen or max(seen.values()) < 2:
             break
-        best = max(count, key=count.get)
-        out.append(best)
-        seqs = [K.merged(s, best) for s in seqs]
-    return out
+        most = max(seen.values())
+        a, b = next(p for p, n in seen.items() if n == most)
+        merges.append((a, b))
+        vocab.add(a + b)
+        for n, w in enumerate(words):
+            joined, k = [], 0
+            while k < len(w):
+                two = k + 1 < len(w) and w[k] == a and w[k + 1] == b
+                joined.append(a + b if two else w[k])
+                k += 1 + two
+            words[n] = joined
+    return merges
+
+
+def plain_encode(tokenizer, word):
+    s = [bytes([b]) for b in word.encode()]
+    while True:
+        ranked = [(tokenizer.ranks[p], i) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in tokenizer.ranks]
+        if not ranked:
+            return [tokenizer.ids[x] for x in s]
+        i = min(ranked)[1]
+        s[i : i + 2] = [s[i] + s[i + 1]]
 
 
 def test_bpe(spark, tmp_path):
-    texts = ["hello world hello there  \n", "the thé 日本語 🙂 the end", "low lower lowest newest widest"] * 3
+    texts = ["hello world hello there  \n", "the thé 日本語 🙂 the end", "low lower lowest newest widest"] * 3 + ["aaaa abab ababab aaabaaab baba abcabcabc bcabca " * 4]
     d = docs(spark, texts)
     t = K.BytePairs.train(d, 320)
-    words = [(r["word"], r["freq"]) for r in K.word_table(d).orderBy("first_doc", "first_pos").collect()]
-    assert t.merges == naive_merges(words, 320 - 256 - 4)
+    assert [(a.decode("latin-1"), b.decode("latin-1")) for a, b in t.merges] == plain_bpe(texts, 320)
+    assert t.specials == {"<|pad|>": 316, "<|bos|>": 317, "<|eos|>": 318, "<|unk|>": 319}
     assert all(t.decode(t.encode(x)) == x for x in [*texts, "", " unseen\ttext ", "".join(map(chr, range(0x20, 0x500, 37)))])
+    assert all(t.piece(w) == plain_encode(t, w) for x in texts for w in [*x.split(), x])
     assert t.decode([999999]) == "<999999>"
     with pytest.raises(ValueError):
         t.decode([999999], strict=True)
@@ -131,6 +157,31 @@ def test_bpe(spark, tmp_path):
     assert again.encode(texts[1]) == t.encode(texts[1]) and again.vocab_size() == 320
     rows = {r["doc_id"]: r["ids"] for r in K.encoded(d, t).collect()}
     assert rows == {i: t.encode(x) for i, x in enumerate(texts)}
+    back = K.encoded(d, t).select("doc_id", K.decoded(F.col("ids"), t).alias("text")).collect()
+    assert {r["doc_id"]: r["text"] for r in back} == dict(enumerate(texts))
+
+
+def test_bpe_rules(spark):
+    import time
+
+    from corpusloom.plans import registry
+
+    with pytest.raises(ValueError, match="are needed"):
+        K.BytePairs.train(docs(spark, ["short"]))
+    words = [("abcd", 9), ("xabc", 5), ("bcd", 4), ("aab", 3), ("abcde", 2), ("qabcdabcd", 2)]
+    for vocab in (256, 257, 260, 270, 300):  # by size of the vocabulary: a merge that makes a known string adds nothing to it
+        merges = K.learn_merges(words, vocab)
+        assert len({a + b for a, b in merges}) == min(vocab - 256, len({a + b for a, b in K.learn_merges(words, 10_000)}))
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    t = K.BytePairs.train(d, 300)
+    texts = [r["text"] or "" for r in d.orderBy("doc_id").collect()]
+    assert [(a.decode("latin-1"), b.decode("latin-1")) for a, b in t.merges] == plain_bpe(texts, 300)
+    long = "".join(w for x in texts[:40] for w in x.split())[:20_000]
+    began = time.time()
+    ids = t.piece(long)
+    assert time.time() - began < 3 and t.decode(ids) == long and t.piece(long[:400]) == plain_encode(t, long[:400])
+    assert registry.QUERIES["bpe_train"](spark, sf).count() >= 2048 - 256 - 4
 
 
 def test_metrics_log_and_stream(spark, tmp_path):
@@ -171,3 +222,115 @@ def test_null_keys_are_numbered_as_in_sql(spark, tmp_path):
     events = spark.createDataFrame([(5, 1), (None, 2), (3, 3), (None, 4)], "us long, event_id long")
     got = numbered(events, id_cell(events, "us"), ["us", "event_id"], "step", "n").collect()
     assert {(r["event_id"], r["step"], r["n"]) for r in got} == {(3, 0, 4), (1, 1, 4), (2, 2, 4), (4, 3, 4)}
+
+
+def test_manifest_of_many_documents(spark, tmp_path):
+    import hashlib
+
+    d = spark.range(100_000).selectExpr("id AS doc_id", "concat('line ', id) AS text")
+    row = C.manifest(d, "many", "1").first()
+    assert row["num_documents"] == row["num_lines"] == 100_000
+    assert int(row["content_sum"]) == sum(int(hashlib.sha256(f"line {i}".encode()).hexdigest()[:12], 16) for i in range(100_000))
+    assert row["train_tokens"] == 180_000 and row["val_tokens"] == row["test_tokens"] == 10_000
+    C.save_manifest(C.manifest(d, "many", "1"), str(tmp_path / "m"))
+    assert C.load_manifest(spark, str(tmp_path / "m")).first()["content_sum"] == row["content_sum"]
+    old = C.legacy_manifest(C.load_manifest(spark, str(tmp_path / "m"))).first()
+    assert (old["dataset"], old["num_tokens"], old["tokens_by_split"]["train"]) == ("many", 200_000, 180_000)
+    spark.range(1).write.json(str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="missing fields"):
+        C.load_manifest(spark, str(tmp_path / "bad"))
+
+
+@pytest.mark.parametrize("ids", ["text", "outlier"])
+def test_split_by_odd_ids(spark, ids):
+    key = {"text": "lpad(id, 6, 'k')", "outlier": "CASE WHEN id = 5000 THEN 1000000000000000000L ELSE id END"}[ids]
+    d = spark.range(5001).selectExpr(f"{key} AS doc_id", "concat('line ', id) AS text")
+    rows = C.split_lines(d).orderBy("row_no").collect()
+    assert [r["row_no"] for r in rows] == list(range(5001)) and [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    from corpusloom.operators.order import id_cell
+
+    sizes = [r["count"] for r in d.select(id_cell(d, "doc_id").alias("c")).groupBy("c").count().collect()]
+    assert len(sizes) > 1000 and max(sizes) < 50
+    texts = {r["split"]: r["text"].split("\n") for r in C.split_texts(C.split_lines(d)).collect()}
+    assert texts["train"] + texts["val"] + texts["test"] == [r["line"] for r in rows]
+    assert C.one_split(C.split_lines(d), "val").count() == 250
+    with pytest.raises(ValueError, match="no split"):
+        C.one_split(d, "dev")
+
+
+def test_sampler(spark):
+    row = spark.createDataFrame([([0.1, 5.0, 2.0, 4.9], [1])], "x array<double>, seen array<int>")
+    get = lambda **how: row.select(E.sampler(F.col("x"), **how).alias("y")).first()["y"]
+    p = [math.exp(v) for v in (0.1, 5.0, 2.0, 4.9)]
+    share = lambda keep: [pytest.approx(v / sum(p[i] for i in keep)) if i in keep else 0 for i, v in enumerate(p)]
+    assert get() == share([0, 1, 2, 3])
+    assert get(top_p=0.5) == share([1]) and get(top_p=0.6) == share([1, 3]) and get(top_p=1.0) == share([0, 1, 2, 3]) and get(top_p=0.01) == share([1])
+    assert get(top_k=1, top_p=0.9) == share([1]) and get(top_k=0, top_p=0.6) == share([1, 3])
+    assert get(temperature=0, top_p=0.5) == [0, 1, 0, 0] and get(temperature=0, penalty=2.0, seen=F.col("seen")) == [0, 0, 0, 1]
+    for wrong in ({"top_p": 1.5}, {"temperature": -1}, {"penalty": 0.5}, {"penalty": 1.5}):
+        with pytest.raises(ValueError):
+            get(**wrong)
+    draws = row.select(F.lit(1).alias("k"), E.sampler(F.col("x"), top_p=0.6).alias("p"))
+    token = lambda u: E.drawn(draws, "k", F.col("p"), F.lit(u)).first()["token"]
+    assert (token(0.0), token(0.5), token(0.9), token(0.9999)) == (1, 1, 3, 3)
+    assert E.decode_grid(row.select("seen")).count() == 3
+
+
+def test_ids_out_of_range(spark):
+    from pyspark.errors import PySparkException
+
+    seqs = spark.createDataFrame([(1, [0, 2]), (2, []), (3, None)], "k int, ids array<int>")
+    table = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "id int, v array<double>")
+    assert [(r["k"], r["pos"], r["vec"]) for r in E.embedded(seqs, "k", "ids", table, "id", "v").orderBy("pos").collect()] == [(1, 0, [0.0]), (1, 1, [2.0])]
+    assert C.checked_ids(seqs, "ids", 3).count() == 3 and C.checked_ids(seqs, "ids", 3).collect()[0]["ids"] == [0, 2]
+    for bad in (E.embedded(seqs, "k", "ids", table.filter("id < 2"), "id", "v"), C.checked_ids(seqs, "ids", 2)):
+        with pytest.raises(PySparkException, match="2"):
+            bad.collect()
+
+
+def test_files_and_windows(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"good line\nand \xff bad byte\n")
+    (tmp_path / "b.txt").write_bytes(b"x")
+    rows = {r["path"].rpartition("/")[2]: r for r in S.text_files(spark, str(tmp_path / "*.txt"), lossy=True).collect()}
+    assert rows["a.txt"]["text"] == "good line\nand \ufffd bad byte\n" and len(rows) == 2
+    with pytest.raises(Exception, match="UTF"):
+        S.text_files(spark, str(tmp_path / "a.txt")).collect()
+    import hashlib
+
+    digests = {r["path"].rpartition("/")[2]: r["sha256"] for r in S.file_digests(spark, str(tmp_path / "*.txt")).collect()}
+    assert digests["b.txt"] == hashlib.sha256(b"x").hexdigest()
+    events = spark.createDataFrame([("2024-01-01 00:00:10", 1.0), ("2024-01-01 00:00:50", 3.0), ("2024-01-01 00:01:10", 5.0)], "t string, v double").select(F.col("t").cast("timestamp").alias("t"), "v")
+    got = streams.windowed_loss(events, "t", "v", "1 minute", "1 minute").orderBy("window").collect()
+    assert [(r["loss"], r["n"]) for r in got] == [(2.0, 2), (5.0, 1)]
+
+
+def test_substring_search_brute_force(spark):
+    texts = ["Alpha beta", "xalphay\u00a0zed", None, "be a", "ALPHABET soup", "été Été", ""]
+    queries = [(1, "alpha"), (2, "no such"), (3, "be a"), (4, "ÉTÉ zed"), (5, "")]
+    d, q = docs(spark, texts), spark.createDataFrame(queries, "query_id int, query string")
+    for longest in (2, 1):
+        want = []
+        for i, text in queries:
+            words = [w for w in text.lower().split() if len(w) > longest]
+            hits = [(i, k) for k, t in enumerate(texts) if any(w in (t or "").lower() for w in words)]
+            want += hits or [(i, 0)]
+        got = R.substring_search(d, q, longest)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") <= 2  # of one row
+
+
+def test_running_best(spark):
+    from corpusloom.operators import runs
+
+    keep = runs.CELLS
+    runs.CELLS = 4
+    try:
+        loss = [(i, float((i * 7919) % 101) + (200 - i) / 10) for i in range(150)]
+        got = U.running_best(spark.createDataFrame(loss, "step long, loss double"), "step", "loss").orderBy("step").collect()
+    finally:
+        runs.CELLS = keep
+    best = float("inf")
+    for (_, x), r in zip(loss, got, strict=True):
+        best = min(best, x)
+        assert r["best"] == best
