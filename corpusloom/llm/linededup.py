@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from .common import GAP_CHARS, WORD_GAP, own_names, partitions, read, text_of, whole_groups, written
 from .components import Forest, components
 
-#: Edits that two lines may differ by, and the least length (code points) of lines that may differ at all.
-TAU, LEAST = 2, 40
+#: Two lines may differ by one edit for each PER code points of the shorter one, TAU edits at most.
+TAU, PER = 2, 20
 #: Rows of a cell of the candidate grid; lines remembered by a task that drops repeats early.
 CELL, REMEMBERED = 2048, 1 << 18
 KEYS = "key long, line long, role int"
 
 
+def allowed(n: int, tau: int = TAU, per: int = PER) -> int:
+    """Edits by which a line of n code points may differ from one that is no shorter."""
+    return max(0, min(tau, n // per, n - 1))
+
+
 def segments(n: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of the tau + 1 segments of a line of n code points; the last ones are longer by one."""
     k = tau + 1
@@ -47,15 +52,17 @@ def probes(n: int, l: int, tau: int) -> list[tuple[int, int, int]]:  # noqa: E74
 _SEGMENTS: dict = {}
 
 
-def _plan(n: int, tau: int):
-    if (n, tau) not in _SEGMENTS:
+def _plan(n: int, tau: int, per: int):
+    """(segment, start, length, indexed length, role) of a line's keys: its own segments, and the substrings that may equal those of lines no longer."""
+    if (n, tau, per) not in _SEGMENTS:
         if len(_SEGMENTS) > 50_000:
             _SEGMENTS.clear()
-        own = [(i, p, size, n) for i, (p, size) in enumerate(segments(n, tau))]
-        others = [(i, p, size, l) for l in range(max(tau + 1, n - tau), n + 1) for i, p, size in probes(n, l, tau)]  # noqa: E741
+        t = allowed(n, tau, per)
+        own = [(i, p, size, n) for i, (p, size) in enumerate(segments(n, t))] if t else []
+        others = [(i, p, size, l) for l in range(max(1, n - tau), n + 1) if n - l <= (t := allowed(l, tau, per)) and t for i, p, size in probes(n, l, t)]  # noqa: E741
         both = set(own) & set(others)
-        _SEGMENTS[n, tau] = [(*x, 3 if x in both else 1) for x in own] + [(*x, 2) for x in others if x not in both]
-    return _SEGMENTS[n, tau]
+        _SEGMENTS[n, tau, per] = [(*x, 3 if x in both else 1) for x in own] + [(*x, 2) for x in others if x not in both]
+    return _SEGMENTS[n, tau, per]
 
 
 def edit_within(a: str, b: str, tau: int) -> bool:
@@ -112,7 +119,7 @@ def edit_within(a: str, b: str, tau: int) -> bool:
     return bool(reach[tau] >> (tau + m - len(a)) & 1)
 
 
-def _signatures(tau: int, least: int):
+def _signatures(tau: int, per: int):
     """Keys under which a line is an index entry (role 1), is looked up (2), or both (3). Repeats that a task has just
     seen are left out."""
 
@@ -122,12 +129,12 @@ def _signatures(tau: int, least: int):
         for batch in batches:
             keys, lines, roles = [], [], []
             for line, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(x) <= max(least - 1, tau) or line in seen:
+                if len(x) < per or line in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(line)
-                for i, p, size, n, role in _plan(len(x), tau):
+                for i, p, size, n, role in _plan(len(x), tau, per):
                     keys.append(h64(x[p : p + size].encode(), n * (tau + 1) + i))
                     roles.append(role)
                     lines.append(line)
@@ -136,9 +143,9 @@ def _signatures(tau: int, least: int):
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(most: int):
     """From rows sorted by (key, line): of the keys that pair different lines, the members, dealt into cells. A key with over
-    CELL lines becomes a grid: a cell holds one or two portions of them, so no cell grows with the key."""
+    `most` lines becomes a grid: a cell holds one or two portions of them, so no cell grows with the key."""
     names = ["cell", "key", "line", "role", "portion"]
 
     def out(key, line, role) -> pa.RecordBatch:
@@ -150,8 +157,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(start, len(key)))
         index = np.add.reduceat((role & 1).astype(int), start) if len(start) else size
         live = np.repeat((size > 1) & (index > 0), size)
-        at = (np.arange(len(key)) - np.repeat(start, size))[live] // CELL
-        parts = -(-np.repeat(size, size)[live] // CELL)
+        at = (np.arange(len(key)) - np.repeat(start, size))[live] // most
+        parts = -(-np.repeat(size, size)[live] // most)
         key, line, role = key[live], line[live], role[live]
         # member of portion p goes to the cells (0, p) ... (p, p) ... (p, last)
         rep = np.repeat(np.arange(len(key)), parts)
@@ -161,18 +168,22 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell = key[rep] + (a * 1_000_003 + b).astype(np.int64) * np.int64(-7046029254386353131)
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key[rep]), pa.array(line[rep]), pa.array(role[rep].astype(np.int32)), pa.array(np.where(a == b, -1, at[rep]).astype(np.int32))], names=names)
 
-    for table in whole_groups(batches, 1 << 18):
-        yield out(*(table.column(i).to_numpy() for i in range(3)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 1 << 18):
+            yield out(*(table.column(i).to_numpy() for i in range(3)))
+
+    return run
 
 
-def _verify(tau: int):
+def _verify(tau: int, per: int):
     """Of each cell, the links: for every line with one, the number of its links that this cell is the first to show, and the
     root of a spanning forest."""
 
     def first_key(r: str, s: str) -> tuple[int, int]:
         """The first segment of r that s holds at a place where it is looked up."""
-        own = segments(len(r), tau)
-        for i, at, size in probes(len(s), len(r), tau):
+        t = allowed(len(r), tau, per)
+        own = segments(len(r), t)
+        for i, at, size in probes(len(s), len(r), t):
             p = own[i][0]
             if s[at : at + size] == r[p : p + size]:
                 return xxhash.xxh64_intdigest(r[p : p + size].encode(), len(r) * (tau + 1) + i), i
@@ -192,7 +203,7 @@ def _verify(tau: int):
                 id_r, _, part_r, r = rows[i]
                 if i == j or (len(r) == len(s) and id_r >= id_s) or (part_r >= 0 and part_r == part_s) or len(r) > len(s):
                     continue
-                if edit_within(r, s, tau) and np.uint64(first_key(r, s)[0]).astype(np.int64) == key:
+                if edit_within(r, s, allowed(len(r), tau, per)) and np.uint64(first_key(r, s)[0]).astype(np.int64) == key:
                     count[i] += 1
                     count[j] += 1
                     forest.join(i, j)
@@ -234,14 +245,14 @@ def _spaced(bare: Column) -> Column:
     return F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, WORD_GAP, " ")).otherwise(bare)
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, row: str | None = None) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | None = None, cell: int = CELL) -> DataFrame:
     """doc_id, line_no, class_doc_id, class_line_no, n_copies, n_links, kept of every line that holds a word.
 
-    Lines with equal words are one line. Two different lines link if both have `least` code points or more and differ by at most
-    tau edits; n_links counts a line's links, n_copies its occurrences. Classes are what links connect. The first
+    Lines with equal words are one line. Two different lines link if they differ by at most one edit for each `per` code points of the shorter one, and
+    at most tau edits; n_links counts a line's links, n_copies its occurrences. Classes are what links connect. The first
     occurrence in a class, by doc_id (null first), then line_no, names it and is the one that is kept.
 
-    The join cuts a line into tau + 1 segments, of which two linked lines share one; hashes of segments and of the substrings
+    The join cuts a line into one segment more than it may differ by edits, of which two linked lines share one; hashes of segments and of the substrings
     that may equal them meet by key. Only lines that meet another have their text looked up, and each cell of at most two
     portions of a key is verified by one task, which returns link counts and a spanning forest instead of pairs.
 
@@ -256,8 +267,8 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, row: str |
     occ = written(lines.select(*at, "line"), "lines")
     first = occ.groupBy("line").agg(F.min(F.struct(*at)).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     long = lines.select("line", "norm")  # short lines are left out there: a filter here would make norm twice
-    keys = long.mapInArrow(_signatures(tau, least), KEYS).repartition(n, "key").sortWithinPartitions("key", "line")
-    cand = written(keys.mapInArrow(_candidates, "cell long, key long, line long, role int, portion int"), "line-cand")
+    keys = long.mapInArrow(_signatures(tau, per), KEYS).repartition(n, "key").sortWithinPartitions("key", "line")
+    cand = written(keys.mapInArrow(_candidates(cell), "cell long, key long, line long, role int, portion int"), "line-cand")
     first = written(first, "line-first")
     # One place of each candidate; all rows of that doc_id (or the one row) are looked at, and those with another line there left out.
     name = row or "doc_id"
@@ -267,7 +278,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST, row: str |
     texts = texts.withColumn("all", F.split("t", "\n")).select(F.explode(F.transform("wanted", lambda w: F.struct(w["want"].alias("line"), F.get("all", w["line_no"]).alias("raw")))).alias("x")).select("x.*")
     texts = texts.withColumn("norm", _spaced(F.btrim("raw", F.lit(GAP_CHARS)))).filter(F.xxhash64("norm") == F.col("line")).select("line", "norm").dropDuplicates(["line"])
     cells = cand.join(texts, "line").select("cell", "key", "line", "role", "portion", "norm").repartition(n, "cell").sortWithinPartitions("cell", "line")
-    found = written(cells.mapInArrow(_verify(tau), "a long, b long, n long"), "line-links")
+    found = written(cells.mapInArrow(_verify(tau, per), "a long, b long, n long"), "line-links")
     roots = components(found.select("a", "b"), "line-cc")
     n_links = found.groupBy("a").agg(F.sum("n").alias("n_links"))
     linked = roots.join(n_links, F.col("node") == F.col("a"), "left").select(F.col("node").alias("line"), "root", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

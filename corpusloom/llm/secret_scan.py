@@ -29,10 +29,20 @@ ALL_KINDS = (*KINDS, *[k for k in RULES if k not in KINDS])
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+#: Matches that are gone through at once; what is found in a run is put together once, so long key files don't cost the square of their matches.
+RUN = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's variable holds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Spans (start, kind's number, end; code points, end exclusive) of one rule, leftmost first, not overlapping.
 
-    What split() leaves between matches and the matches themselves follow each other; their lengths add up to places.
+    What split() leaves between matches and the matches themselves follow each other; their lengths add up to places. The steps are cut into runs
+    of RUN: sums of runs give where each run starts, and each run lists its own spans.
     """
     needs, pattern, group, least = RULES[kind]
     n = ALL_KINDS.index(kind)
@@ -41,7 +51,7 @@ def spans_of(text: Column, kind: str) -> Column:
     full = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), length)
     part = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), length) if group else full
     steps = F.arrays_zip(gaps.alias("gap"), full.alias("full"), part.alias("part")) if group else F.transform(F.arrays_zip(gaps.alias("gap"), full.alias("full")), lambda s: F.struct(s["gap"].alias("gap"), s["full"].alias("full"), s["full"].alias("part")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(a: Column, s: Column) -> Column:
         start = a["at"] + s["gap"]
@@ -49,7 +59,19 @@ def spans_of(text: Column, kind: str) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(n).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(s["part"] >= least, F.concat(a["found"], one)).otherwise(a["found"]).alias("found"))
 
-    return F.when(text.rlike(needs), F.aggregate(steps, zero, step, lambda a: a["found"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def run(steps: Column, at: Column) -> Column:
+        return F.aggregate(steps, F.struct(at.alias("at"), none.alias("found")), step, lambda a: a["found"])
+
+    def in_runs(steps: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda i: F.slice(steps, i * RUN + 1, RUN))
+        held = lambda r: F.aggregate(r, F.lit(0), lambda a, s: a + s["gap"] + F.coalesce(s["full"], F.lit(0)))
+        starts = lambda r: F.aggregate(
+            F.transform(r, held), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+        return _let(runs, lambda r: F.flatten(F.zip_with(r, starts(r), run)))
+
+    found = _let(steps, lambda s: F.when(F.size(s) <= RUN, run(s, F.lit(0))).otherwise(in_runs(s)))
+    return F.when(text.rlike(needs), found).otherwise(none)
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
@@ -80,16 +102,17 @@ class BlobLedger:
         return self._read("seen", "blob string, rules string, batch string").filter(F.col("rules") == rules)
 
     def findings(self, rules: str) -> DataFrame:
-        """blob, found; each blob once."""
+        """blob, found; each blob once: of batches that overlapped and both scanned it, the least counts."""
         f = self._read("findings", f"blob string, rules string, batch string, found array<{SPAN}>").filter(F.col("rules") == rules)
-        return f.join(self.seen(rules).select("blob", "batch").distinct(), ["blob", "batch"], "left_semi").select("blob", "found")
+        return f.join(self.seen(rules).groupBy("blob").agg(F.min("batch").alias("batch")), ["blob", "batch"], "left_semi").select("blob", "found")
 
     def scan(self, versions: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
-        """Scans what is new in versions (path, text; any other columns stay) and returns versions without text, with
-        blob (SHA-256 of the text in UTF-8) and found, an array of spans (empty: none).
+        """Scans what is new in versions (path long, text) and returns versions without text, with blob (SHA-256 of the text in UTF-8) and found,
+        an array of spans (empty: none).
 
         A blob is read from one path alone, the least; the ledger drops blobs that it has seen under `rules` before any text
-        moves. Null text: empty, as is its blob. Null path: a path like others, before all.
+        moves. Null text: empty, as is its blob. Null path: a path like others, before all. Repeated rows stay repeated. An empty table gives no rows.
+        Other columns stay, but for those named blob or found, whose place the result's own take.
         """
         text = text_of()
         rest = [c for c in versions.columns if c not in ("text", "blob", "found")]
@@ -120,10 +143,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def op8_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scans all documents with an empty ledger: doc_id is the path, its text the one version."""
+    """Scans all documents through one ledger in two batches, as two commits of a history bring them: doc_id is the path, its text the version.
+    The second batch scans only blobs that the first didn't hold; each batch's findings are joined back to its paths."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("path"), "text")
-    found = BlobLedger(spark, fresh_path(spark, "ledger")).scan(docs)
-    return digests(found.withColumnRenamed("path", "doc_id"))
+    ledger = BlobLedger(spark, fresh_path(spark, "ledger"))
+    in_first = F.xxhash64("path") < 0
+    first, second = (ledger.scan(batch) for batch in (docs.filter(in_first), docs.filter(~in_first)))
+    return digests(first.union(second).withColumnRenamed("path", "doc_id"))
 
 
 def _any_case(word: str) -> str:

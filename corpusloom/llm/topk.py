@@ -6,57 +6,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import read, written
+from .common import partitions, read, written
 
 K, SCALE, QUERY_STEP = 5, 256, 50
-#: Rows of an index shard and of a query block: both bound what a task holds.
-SHARD_ROWS, BLOCK_ROWS, HEADS = 2048, 512, 16
+#: Rows of a block of postings and of a shard, both of which bound what a task holds, and rows of largest impact that a list keeps.
+BLOCK_ROWS, SHARD_ROWS, HEADS = 2048, 65_536, 16
 
 
-class Shard:
-    """Postings of one shard. A term is a dimension and a sign: its list holds the rows whose component has that sign,
+class Block:
+    """Postings of some rows. A term is a dimension and a sign: its list holds the rows whose component has that sign,
     with the component's size as impact; with it go the largest impact and the rows of largest impact (heads)."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
-        self.ids, self.v = ids, v
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray):
+        self.rows, self.ids, self.v = rows, ids, v
         self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int, np.ndarray]] = {}
         for d in range(v.shape[1]):
             for sign in (1, -1):
-                rows = np.flatnonzero(v[:, d] * sign > 0)
-                if len(rows):
-                    impact = v[rows, d] * sign
-                    self.lists[d, sign] = (rows, impact, int(impact.max()), rows[np.argsort(-impact, kind="stable")[:HEADS]])
+                at = np.flatnonzero(v[:, d] * sign > 0)
+                if len(at):
+                    impact = v[at, d] * sign
+                    self.lists[d, sign] = (at, impact, int(impact.max()), at[np.argsort(-impact, kind="stable")[:HEADS]])
 
-    def best(self, own: int | None, w: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k rows (id, score) of largest inner product with w, ties to the smaller id; rows with the id `own` take no part.
+    def best(self, own: int, w: np.ndarray, k: int, bar: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Of this block's rows but `own`: places and scores of the k of largest inner product with w that reach the bar (None: all do), ties to the
+        smaller id.
 
         Terms of the query's own sign add to a score, others only take away: these have the bound 0 and are never
-        essential. The k-th best score of the heads is the bar from the start. Terms by rising bound are non-essential
-        as long as their bounds sum to less than the bar: a row in none of the other lists can't reach it. The essential
+        essential. The bar is the k-th best score that the query has met so far, in blocks before this one, or that of the heads here if that is more. Terms by
+        rising bound are non-essential as long as their bounds sum to less than the bar: a row in none of the other lists can't reach it. The essential
         lists are traversed; rows that can still reach the bar are probed in the non-essential lists, largest bound first, and
         dropped as soon as they can't; what is left is scored in full.
         """
-        terms = sorted(((abs(int(x)) * self.lists[d, s][2], d, s) for d, x in enumerate(w) if x and (d, s := 1 if x > 0 else -1) in self.lists), reverse=False)
-        others = self.ids != own if own is not None else np.ones(len(self.ids), bool)
-        bar = None
+        terms = sorted((abs(int(x)) * self.lists[d, s][2], d, s) for d, x in enumerate(w) if x and (d, s := 1 if x > 0 else -1) in self.lists)
+        others = self.rows != own
         if terms:
             heads = np.unique(np.concatenate([self.lists[d, s][3] for _, d, s in terms[-4:]]))
             heads = heads[others[heads]]
             if len(heads) >= k:
-                bar = int(np.partition(self.v[heads] @ w, len(heads) - k)[len(heads) - k])
+                least = int(np.partition(self.v[heads] @ w, len(heads) - k)[len(heads) - k])
+                bar = least if bar is None else max(bar, least)
         if bar is None or bar <= 0:  # rows in no list at all may be among the best
             cand = np.flatnonzero(others)
         else:
-            bounds = np.cumsum([b for b, _, _ in terms])
+            bounds = np.cumsum([b for b, _, _ in terms]) if terms else np.zeros(0, np.int64)
             cut = int(np.searchsorted(bounds, bar))  # terms before it sum to less than the bar
+            if cut == len(terms):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
             acc = np.zeros(len(self.ids), np.int64)
             for _, d, s in terms[cut:]:
-                rows, impact, _, _ = self.lists[d, s]
-                acc[rows] += impact * abs(int(w[d]))
+                at, impact, _, _ = self.lists[d, s]
+                acc[at] += impact * abs(int(w[d]))
             rest = int(bounds[cut - 1]) if cut else 0
             cand = np.flatnonzero((acc > 0) & (acc + rest >= bar) & others)
             for b, d, s in reversed(terms[:cut]):
@@ -67,85 +70,114 @@ class Shard:
         if bar is not None:
             cand, score = cand[score >= bar], score[score >= bar]
         top = np.lexsort((self.ids[cand], -score))[:k]
-        return list(zip(self.ids[cand[top]].tolist(), score[top].tolist(), strict=True))
+        return cand[top], score[top]
 
 
-def _matrix(rows: pa.Array, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """From a list of (id, list of components): ids and a matrix, short vectors filled up with zeros."""
-    ids, vecs = rows.field("id").to_numpy(), rows.field("v")
+def _matrix(vecs: pa.Array, width: int) -> np.ndarray:
+    """From lists of components a matrix, short vectors filled up with zeros to the width of the longest, or `width`."""
     n = np.diff(vecs.offsets.to_numpy()).astype(int)
-    out = np.zeros((len(ids), max(width, int(n.max(initial=0)))), np.int64)
+    out = np.zeros((len(n), max(width, int(n.max(initial=0)))), np.int64)
     flat = vecs.flatten().to_numpy()
-    if len(n) and (n == n[0]).all():
-        out[:, : n[0]] = flat.reshape(len(n), n[0])
-    else:
-        at = np.concatenate([[0], np.cumsum(n)])
-        for i in range(len(n)):
-            out[i, : n[i]] = flat[at[i] : at[i + 1]]
-    return ids, out
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    return out
 
 
 def _search(k: int):
+    """From rows (shard, kind, row, id, v) sorted by shard and kind: a shard's own rows (kind 0) come first and are made into blocks, then each query (kind 1)
+    goes through them block by block, its bar rising with what it has found. Ids are without nulls: a null id is the largest long."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, now = None, None
+        now, blocks, parts, width = None, [], [], 0
+
+        def close() -> None:
+            if parts:
+                rows, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                v = np.concatenate([np.pad(p[2], ((0, 0), (0, width - p[2].shape[1]))) for p in parts])
+                blocks.append(Block(rows, ids, v))
+                parts.clear()
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py()
-                q_ids, q = _matrix(batch.column(2)[i].values)
-                if name != now or shard.v.shape[1] < q.shape[1]:
-                    shard, now = Shard(*_matrix(batch.column(1)[i].values, q.shape[1])), name
-                w = np.zeros((len(q), shard.v.shape[1]), np.int64)
-                w[:, : q.shape[1]] = q
-                found = [(int(own), *hit) for own, row in zip(q_ids, w, strict=True) for hit in shard.best(int(own), row, k)]
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])])) if len(shard) else np.zeros(0, int)
+            for lo, hi in zip(edge, [*edge[1:], len(shard)], strict=True):
+                if shard[lo] != now:
+                    now, width = shard[lo], 0
+                    blocks.clear()
+                    parts.clear()
+                part = batch.slice(lo, hi - lo)
+                rows, ids, v = part.column(2).to_numpy(), part.column(3).to_numpy(), _matrix(part.column(4), 0)
+                if kind[lo] == 0:
+                    for at in range(0, len(rows), BLOCK_ROWS):
+                        parts.append((rows[at : at + BLOCK_ROWS], ids[at : at + BLOCK_ROWS], v[at : at + BLOCK_ROWS]))
+                        width = max(width, v.shape[1])
+                        if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
+                            close()
+                    continue
+                close()
+                found: tuple[list, ...] = ([], [], [], [])
+                for own, q_id, w in zip(rows.tolist(), ids.tolist(), v, strict=True):
+                    best: list[tuple[int, int]] = []  # (-score, id), the best first
+                    for block in blocks:
+                        n = block.v.shape[1]
+                        wide = w[:n] if len(w) >= n else np.pad(w, (0, n - len(w)))
+                        at, score = block.best(own, wide, k, -best[-1][0] if len(best) == k else None)
+                        if len(at):
+                            best = sorted([*best, *zip((-score).tolist(), block.ids[at].tolist(), strict=True)])[:k]
+                    for s, i in best:
+                        for c, x in zip(found, (own, q_id, i, -s), strict=True):
+                            c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """From id, v (array<long>) of both sides: query_id, rank, vec_id, score of the k best rows of each query.
+NO_ID = (1 << 63) - 1
 
-    Vectors are dealt into shards of about shard_rows by a hash of the row number (equal ids or vectors don't meet), queries into
-    blocks of at most about block_rows by a hash of what they hold. Each shard meets each block once; a shard returns k rows a
-    query, and the shards' lists are merged by score, ties to the smaller id. A query's own id is no candidate. Repeated ids are rows of
-    their own among candidates; queries equal in id and vector are one query, those equal in id alone have their lists merged into one of k rows.
-    """
-    def packed(df: DataFrame, n: int, name: str, *by: Column | str) -> DataFrame:
-        dealt = df.select(F.struct("id", "v").alias("r"), F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias(name))
-        return dealt.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows"))
 
-    n, n_blocks = (-(-max(1, df.count()) // rows) for df, rows in ((vectors, shard_rows), (queries, block_rows)))
-    shards = packed(vectors, n, "shard", F.monotonically_increasing_id())
-    blocks = packed(queries.select("id", "v").distinct(), n_blocks, "block", "id", "v")
-    blocks = blocks.select("block_rows", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"))
-    pairs = shards.join(blocks, "shard").select("shard", "shard_rows", "block_rows")
-    hits = written(pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long"), "hits")
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, row: str = "id") -> DataFrame:
+    """From id, v (array<long>) of both sides: query_id, rank, vec_id, score of the k best rows of each query, ties to the smaller id, null ids last.
+
+    Vectors are dealt into shards of at most about shard_rows by a hash; queries go to every shard as rows of their own, after the shard's rows, so a
+    shard is built once however many queries there are, and a task holds one shard and one batch of queries. A shard returns k rows a
+    query, and the shards' lists are merged by score. `row` names the column that tells rows apart (a long): the query's own row is no candidate, other
+    rows that share its id are. Where it is the id itself (the default), all rows of the query's id are left out, queries equal in id and vector are one query, and
+    those equal in id alone have their lists merged into one of k rows. Components must be such that inner products stay within 64 bits. A null vector must not be among them; empty
+    vectors score 0. An empty table, or one without other rows, gives no rows. Columns besides id, v and `row` are not read.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.count()
+    n = max(1, -(-rows // shard_rows), min(partitions(spark), -(-rows // BLOCK_ROWS)))
+    side = lambda df, kind, shard: df.select(shard.alias("shard"), F.lit(kind).alias("kind"), F.col(row).cast("long").alias("row"), F.coalesce("id", F.lit(NO_ID)).cast("long").alias("id"), "v")
+    own = side(vectors, 0, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    asked = side(queries.select(*{row, "id", "v"}).distinct(), 1, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = own.union(asked).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "kind")
+    hits = written(dealt.mapInArrow(_search(k), "row long, query_id long, vec_id long, score long"), "hits")
+    by = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    found = hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    return found.select(*[F.nullif(F.col(c), F.lit(NO_ID)).alias(c) if c.endswith("_id") else F.col(c) for c in ("query_id", "rank", "vec_id", "score")])
 
 
 def quantised(table: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, embedding -> id, v with floor(scale * component). Null vectors, null ids and vectors with a null or non-finite
-    component are left out; an empty vector scores 0 with every other."""
+    """vec_id, embedding -> id, v with floor(scale * component). Null vectors and vectors with a null or non-finite
+    component are left out; an empty vector scores 0 with every other; null ids stay."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return table.filter(x.isNotNull() & fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    return table.filter(x.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
 def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = quantised(read(spark, sf_dir, "embeddings"))
-    return top_k(v, v.filter(F.col("id") % QUERY_STEP == 0))
+    v = written(quantised(read(spark, sf_dir, "embeddings")).withColumn("row", F.monotonically_increasing_id()), "vectors")  # the numbers must not change between uses
+    return top_k(v, v.filter(F.col("id") % QUERY_STEP == 0), row="row")
 
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+SELECT query_id, (row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
 """
 
