@@ -17,6 +17,8 @@ SHARE, CEILING = 1.5, 2.0
 BASE, GRADES = 12, 12
 #: A document of over a PART-th of what a source leaves to sampling is a long one.
 PART = 64
+#: Rows of the table of grades by source up to which tables of sources are sent to all executors (a few hundred bytes a row).
+FEW = 20_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -105,16 +107,18 @@ def _copies(base: DataFrame, weights: tuple[int, ...], share: float) -> DataFram
     cells = bucket_count(base.count())
     base = base.withColumn("grade", _grade(F.col("size")))
     groups = written(base.groupBy("source", "grade").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix-grades")  # a few rows for each source
+    few = groups.count() <= FEW
+    by_source = lambda rows, table, keys=("source",): _with(rows, F.broadcast(table) if few else table, list(keys))
     plan = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share).withColumn("target", F.round("target", 6))
-    live = _with(groups.filter("words > 0"), plan, ["source"])
+    live = by_source(groups.filter("words > 0"), plan)
     live = copies_by_length(live).withColumn("whole", F.floor("expected").cast("long")).withColumn("p", F.least(F.col("expected") - F.col("whole"), F.lit(1 - 1e-12)))
     live = live.withColumn("odds", F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p"))))
     # what a source leaves to sampling, and its grades' distribution functions
     rest = live.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("rest"), F.sum(F.when(F.col("p") > 0, F.col("n"))).alias("n_open"),
         F.array_sort(F.collect_list(F.when(F.col("p") > 0, F.struct("grade", "odds", "n")))).alias("grades"))
-    plan = written(_with(plan, rest, ["source"]), "mix-plan")
+    plan = written(by_source(plan, rest), "mix-plan")
     live = written(live.select("source", "grade", "whole", "p", "odds"), "mix-expected")
-    rows = _with(_with(base, plan, ["source"]), live, ["source", "grade"])
+    rows = by_source(by_source(base, plan), live, ("source", "grade"))
     u = (F.col("h") + F.lit(0.5)) / F.lit(float(HASH_SPACE))
     drawn = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
     rows = rows.withColumn("q", F.when(drawn, (u / (1 - u)) / F.col("odds")))
@@ -125,16 +129,16 @@ def _copies(base: DataFrame, weights: tuple[int, ...], share: float) -> DataFram
     open_ = rows.filter("q is not null").select("source", "long", "cell", "q", "h", "doc_id", "size", "row", "rest", "p")
     sums = _summed(open_)
     hope = open_.groupBy("source").agg(F.round(F.sum(F.when(F.col("long"), F.col("p") * F.col("size"))), 3).alias("hope"))
-    sums = _with(sums, hope, ["source"])
+    sums = by_source(sums, hope)
     sums = written(sums.withColumn("in_long", F.col("long") & (F.col("sum") * 2 - F.col("size") <= F.col("hope") * 2)), "mix-sums")
     held = sums.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("in_long"), F.col("size"))), F.lit(0)).alias("held"))
-    sums = _with(sums, held, ["source"]).withColumn("fits", F.col("in_long") | (~F.col("long") & (F.col("sum") <= F.col("rest") - F.col("held"))))
+    sums = by_source(sums, held).withColumn("fits", F.col("in_long") | (~F.col("long") & (F.col("sum") <= F.col("rest") - F.col("held"))))
     gap = sums.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
     near = F.abs(F.col("gap") - F.when(F.col("fits"), -F.col("size")).otherwise(F.col("size")))
-    sums = _with(sums, written(gap, "mix-gap"), ["source"])
+    sums = by_source(sums, written(gap, "mix-gap"))
     last = sums.filter(near < F.abs("gap")).groupBy("source").agg(F.min(F.struct(near.alias("near"), "q", "h", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size", "row")).alias("last"))
     swap = last.select("source", F.col("last.row").alias("last_row"))
-    taken = _with(sums, swap, ["source"]).filter(F.col("fits") != F.coalesce(F.col("row") == F.col("last_row"), F.lit(False))).select(F.col("row").alias("__row"))
+    taken = by_source(sums, swap).filter(F.col("fits") != F.coalesce(F.col("row") == F.col("last_row"), F.lit(False))).select(F.col("row").alias("__row"))
     rows = rows.join(taken, F.col("row") == F.col("__row"), "left")
     copies = F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0)) + F.col("__row").isNotNull().cast("long")).otherwise(0).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "row")
@@ -151,7 +155,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys of which the first may be null. The table is a small summary of the rows; Spark sends it to
+    """Left join on keys of which the first may be null. The table is a summary of the rows; unless it comes marked as few rows, Spark sends it to
     all executors only under its own size threshold, and else splits the large source's partitions at run time."""
     t = table.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in table.columns if c not in keys])
     on = F.col(keys[0]).eqNullSafe(F.col(f"__{keys[0]}"))
