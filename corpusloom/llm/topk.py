@@ -13,62 +13,83 @@ from pyspark.sql.window import Window as W
 from .common import partitions, read, written
 
 K, SCALE, QUERY_STEP = 5, 256, 50
-#: Rows of a block of postings and of a shard, both of which bound what a task holds, and rows of largest impact that a list keeps.
-BLOCK_ROWS, SHARD_ROWS, HEADS = 2048, 65_536, 16
+#: Rows of a block of postings and of a shard, and queries that go through a block together: these bound what a task holds.
+BLOCK_ROWS, SHARD_ROWS, TOGETHER = 4096, 65_536, 256
+#: Rows of largest impact that a list keeps, lists whose heads give a first bar, non-essential lists probed at a time.
+HEADS, FIRST, PROBED = 16, 4, 8
 
 
 class Block:
-    """Postings of some rows. A term is a dimension and a sign: its list holds the rows whose component has that sign,
-    with the component's size as impact; with it go the largest impact and the rows of largest impact (heads)."""
+    """Postings of some rows. A term is a dimension and a sign: its list holds the rows whose component has that sign, with the component's size as
+    impact. As vectors are dense, the lists stand side by side as columns, with 0 where a row is in a list no place of its own; with each go the
+    largest impact and the rows of largest impact (heads)."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray):
         self.rows, self.ids, self.v = rows, ids, v
-        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int, np.ndarray]] = {}
-        for d in range(v.shape[1]):
-            for sign in (1, -1):
-                at = np.flatnonzero(v[:, d] * sign > 0)
-                if len(at):
-                    impact = v[at, d] * sign
-                    self.lists[d, sign] = (at, impact, int(impact.max()), at[np.argsort(-impact, kind="stable")[:HEADS]])
-
-    def best(self, own: int, w: np.ndarray, k: int, bar: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Of this block's rows but `own`: places and scores of the k of largest inner product with w that reach the bar (None: all do), ties to the
+        self.lists = np.concatenate([np.maximum(v, 0), np.maximum(-v, 0)], axis=1)
+        self.most = self.lists.max(axis=0)
+        n = min(HEADS, len(v))
+        self.heads = np.argpartition(-self.lists, n - 1, axis=0)[:n]
+        self.floats = self.lists.astype(np.float64), self.v.astype(np.float64)
+
+    def best(self, own: np.ndarray, w: np.ndarray, k: int, bars: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (a row of w), of this block's rows but its own: places and scores of the k of largest inner product that reach its bar, ties to the
         smaller id.
 
         Terms of the query's own sign add to a score, others only take away: these have the bound 0 and are never
-        essential. The bar is the k-th best score that the query has met so far, in blocks before this one, or that of the heads here if that is more. Terms by
-        rising bound are non-essential as long as their bounds sum to less than the bar: a row in none of the other lists can't reach it. The essential
-        lists are traversed; rows that can still reach the bar are probed in the non-essential lists, largest bound first, and
-        dropped as soon as they can't; what is left is scored in full.
+        essential. The bar is the k-th best score that the query has met in blocks before this one (-inf: none); then the heads of its strongest terms
+        give one. Terms by rising bound are non-essential as long as their bounds sum to less than the bar: a row in none of the other lists
+        can't reach it. The essential lists are traversed, for all queries together; rows that can still reach the bar are probed in the non-essential lists,
+        largest bounds first, and dropped as soon as they can't; what is left is scored in full.
         """
-        terms = sorted((abs(int(x)) * self.lists[d, s][2], d, s) for d, x in enumerate(w) if x and (d, s := 1 if x > 0 else -1) in self.lists)
-        others = self.rows != own
-        if terms:
-            heads = np.unique(np.concatenate([self.lists[d, s][3] for _, d, s in terms[-4:]]))
-            heads = heads[others[heads]]
+        weight = np.concatenate([np.maximum(w, 0), np.maximum(-w, 0)], axis=1)
+        # sums of whole numbers are exact in floats up to 2^53, where a matrix product is many times as fast
+        small = float(self.most.max(initial=0)) * float(weight.max(initial=0)) * self.v.shape[1] < 2.0**52
+        lists, v = self.floats if small else (self.lists, self.v)
+        weight, w_ = (weight.astype(np.float64), w.astype(np.float64)) if small else (weight, w)
+        bound = weight * self.most
+        order = np.argsort(bound, axis=1)
+        sums = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+        bars = bars.copy()
+        for q in np.flatnonzero(np.isneginf(bars)):
+            heads = np.unique(self.heads[:, order[q, -FIRST:]])
+            heads = heads[self.rows[heads] != own[q]]
             if len(heads) >= k:
-                least = int(np.partition(self.v[heads] @ w, len(heads) - k)[len(heads) - k])
-                bar = least if bar is None else max(bar, least)
-        if bar is None or bar <= 0:  # rows in no list at all may be among the best
-            cand = np.flatnonzero(others)
-        else:
-            bounds = np.cumsum([b for b, _, _ in terms]) if terms else np.zeros(0, np.int64)
-            cut = int(np.searchsorted(bounds, bar))  # terms before it sum to less than the bar
-            if cut == len(terms):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            acc = np.zeros(len(self.ids), np.int64)
-            for _, d, s in terms[cut:]:
-                at, impact, _, _ = self.lists[d, s]
-                acc[at] += impact * abs(int(w[d]))
-            rest = int(bounds[cut - 1]) if cut else 0
-            cand = np.flatnonzero((acc > 0) & (acc + rest >= bar) & others)
-            for b, d, s in reversed(terms[:cut]):
-                acc[cand] += np.maximum(self.v[cand, d] * s, 0) * abs(int(w[d]))
-                rest -= b
-                cand = cand[acc[cand] + rest >= bar]
+                bars[q] = np.partition(self.v[heads] @ w[q], len(heads) - k)[len(heads) - k]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(w)
+        every = np.flatnonzero(bars <= 0)  # rows in no list at all may be among the best
+        if len(every):
+            score = v @ w_[every].T
+            for c, q in enumerate(every):
+                out[q] = self._top(np.flatnonzero((score[:, c] >= bars[q]) & (self.rows != own[q])), w[q], k)
+        less = sums < bars[:, None]
+        some = np.flatnonzero((bars > 0) & ~less.all(axis=1))
+        if len(some):
+            essential = np.zeros_like(less)
+            np.put_along_axis(essential, order, ~less, axis=1)
+            rest = np.where(less, sums, 0).max(axis=1)
+            met = lists @ (weight[some] * essential[some]).T
+            hit = (met > 0) & (met + rest[some] >= bars[some])
+            for c, q in enumerate(some):
+                cand = np.flatnonzero(hit[:, c])
+                cand = cand[self.rows[cand] != own[q]]
+                left = order[q, : int(less[q].sum())]
+                left = left[bound[q, left] > 0]
+                got, more = met[cand, c], rest[q]
+                for at in range(len(left), 0, -PROBED):
+                    if len(cand) <= 4 * k:
+                        break
+                    terms = left[max(0, at - PROBED) : at]
+                    got = got + lists[np.ix_(cand, terms)] @ weight[q, terms]
+                    more = more - bound[q, terms].sum()
+                    stay = got + more >= bars[q]
+                    cand, got = cand[stay], got[stay]
+                out[q] = self._top(cand, w[q], k, bars[q])
+        return out
+
+    def _top(self, cand: np.ndarray, w: np.ndarray, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         score = self.v[cand] @ w
-        if bar is not None:
-            cand, score = cand[score >= bar], score[score >= bar]
+        cand, score = cand[score >= bar], score[score >= bar]
         top = np.lexsort((self.ids[cand], -score))[:k]
         return cand[top], score[top]
 
@@ -96,6 +117,19 @@ def _search(k: int):
                 blocks.append(Block(rows, ids, v))
                 parts.clear()
 
+        def answered(rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            best: list[list[tuple[int, int]]] = [[] for _ in rows]  # (-score, id), the best first
+            for block in blocks:
+                n = block.v.shape[1]
+                w = v[:, :n] if v.shape[1] >= n else np.pad(v, ((0, 0), (0, n - v.shape[1])))
+                bars = np.array([-b[-1][0] if len(b) == k else -np.inf for b in best])
+                for q, (at, score) in enumerate(block.best(rows, w, k, bars)):
+                    if len(at):
+                        best[q] = sorted([*best[q], *zip((-score).tolist(), block.ids[at].tolist(), strict=True)])[:k]
+            n = [len(b) for b in best]
+            hits = np.array([x for b in best for x in b], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, n)), pa.array(np.repeat(ids, n)), pa.array(hits[:, 1]), pa.array(-hits[:, 0])], names=["row", "query_id", "vec_id", "score"])
+
         for batch in batches:
             shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])])) if len(shard) else np.zeros(0, int)
@@ -114,19 +148,8 @@ def _search(k: int):
                             close()
                     continue
                 close()
-                found: tuple[list, ...] = ([], [], [], [])
-                for own, q_id, w in zip(rows.tolist(), ids.tolist(), v, strict=True):
-                    best: list[tuple[int, int]] = []  # (-score, id), the best first
-                    for block in blocks:
-                        n = block.v.shape[1]
-                        wide = w[:n] if len(w) >= n else np.pad(w, (0, n - len(w)))
-                        at, score = block.best(own, wide, k, -best[-1][0] if len(best) == k else None)
-                        if len(at):
-                            best = sorted([*best, *zip((-score).tolist(), block.ids[at].tolist(), strict=True)])[:k]
-                    for s, i in best:
-                        for c, x in zip(found, (own, q_id, i, -s), strict=True):
-                            c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["row", "query_id", "vec_id", "score"])
+                for lo_ in range(0, len(rows), TOGETHER):
+                    yield answered(rows[lo_ : lo_ + TOGETHER], ids[lo_ : lo_ + TOGETHER], v[lo_ : lo_ + TOGETHER])
 
     return run
 
