@@ -16,6 +16,10 @@ from .common import read, text_of
 #: single spaces). Order matters: the first that matches names the sentence.
 SENTENCES: list[tuple[str, str]] = [
     ("spdx", r"spdx-licen[cs]e-identifier (?P<v>[a-z0-9.+-]+)"),
+    ("field", r"(?:the )?(?:project |package |code |software )?licen[cs]e (?:type |name |is )?(?:the )?(?P<n>{named})(?: licen[cs]e)?"),
+    ("heading", r"(?:the )?(?P<n>{named}) licen[cs]e(?: \(?(?:mit|isc|mpl|apache|bsd)[a-z0-9. -]*\)?)?"),
+    ("heading-mpl", r"mozilla public licen[cs]e(?: version| v)? 2\.0"),
+    ("heading-gnu", r"gnu (?P<g>lesser |library |affero )?general public licen[cs]e(?: version)? (?P<v>[123](?:\.[01])?)(?: (?:\d\d? )?(?:january|february|march|april|may|june|july|august|september|october|november|december) .*)?"),
     ("mit-released", r"(?:this \w+ is |it is )?(?:released|licen[cs]ed|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?(?:mit|expat) licen[cs]e"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)?(?: to deal in the software without restriction.*)?"),
     ("mit-notice", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
@@ -51,6 +55,16 @@ SENTENCES: list[tuple[str, str]] = [
     ("reserved", r"all rights reserved"),
     ("copyright", r"(?:copyright|\(c\)|c)(?: \(c\)| c)? (?:19|20)\d\d.*"),
 ]
+#: Names that headings and fields use, as patterns of normalised text, and what they stand for.
+NAMED: list[tuple[str, str]] = [
+    (r"mit|expat", "MIT"), (r"isc", "ISC"), (r"apache(?: software)?(?: licen[cs]e)?(?: version| v)?[ -]?2(?:\.0)?|apache-2\.0|asl 2\.0", "Apache-2.0"),
+    (r"bsd[ -]2[ -]clause|2[ -]clause bsd|simplified bsd|freebsd", "BSD-2-Clause"), (r"bsd[ -]3[ -]clause|3[ -]clause bsd|new bsd|modified bsd|revised bsd", "BSD-3-Clause"),
+    (r"mpl[ -]2\.0|mozilla public(?: licen[cs]e)?(?: version| v)?[ -]?2\.0", "MPL-2.0"), (r"unlicen[cs]e|the unlicen[cs]e", "Unlicense"), (r"zlib", "Zlib"), (r"boost software|bsl-1\.0", "BSL-1.0"),
+    (r"agpl[ -]?v?3(?:\.0)?(?:-only)?", "AGPL-3.0-only"), (r"agpl[ -]?v?3(?:\.0)?(?:\+|-or-later)", "AGPL-3.0-or-later"),
+    (r"lgpl[ -]?v?2\.1(?:-only)?", "LGPL-2.1-only"), (r"lgpl[ -]?v?2\.1(?:\+|-or-later)", "LGPL-2.1-or-later"), (r"lgpl[ -]?v?3(?:\.0)?(?:-only)?", "LGPL-3.0-only"), (r"lgpl[ -]?v?3(?:\.0)?(?:\+|-or-later)", "LGPL-3.0-or-later"),
+    (r"gpl[ -]?v?2(?:\.0)?(?:-only)?", "GPL-2.0-only"), (r"gpl[ -]?v?2(?:\.0)?(?:\+|-or-later)", "GPL-2.0-or-later"), (r"gpl[ -]?v?3(?:\.0)?(?:-only)?", "GPL-3.0-only"), (r"gpl[ -]?v?3(?:\.0)?(?:\+|-or-later)", "GPL-3.0-or-later"),
+]
+SENTENCES = [(name, p.replace("{named}", "|".join(x for x, _ in NAMED))) for name, p in SENTENCES]
 #: Ordered rules: the sentences of a text, as identifiers in the order of the text, are searched for each rule's sequence from the
 #: first rule on; others may stand between two of a sequence, but each sentence serves one rule only. {v}: the version found; {+}: "-or-later" or "-only".
 RULES: list[tuple[tuple[str, ...], str]] = [
@@ -75,6 +89,10 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("lgpl",), "LGPL-{v}{+}"),
     (("gpl",), "GPL-{v}{+}"),
     (("cc",), "{cc}"),
+    (("field",), "{n}"),
+    (("heading-gnu",), "{g}"),
+    (("heading-mpl",), "MPL-2.0"),
+    (("heading",), "{n}"),
     (("public-domain",), "LicenseRef-public-domain"),
     (("see-license",), "LicenseRef-see-file"),
     (("reserved",), "LicenseRef-all-rights-reserved"),
@@ -82,11 +100,11 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 #: A sentence is only looked at if it holds one of these; all patterns above need one. Words may stand on two lines.
 HINT = re.compile(r"licen[cs]e|copyright|permission|warrant|liable|redistribut|reserved|public[^a-z0-9]+domain|endorse|advertising|spdx|\(c\)|©|free[^a-z0-9]+software|obtain|gnu|compliance|received|disclaim|creative[^a-z0-9]+commons|(?<![a-z0-9])cc(?![a-z0-9])|(?<![a-z0-9])c[^a-z0-9]+(?:19|20)\d\d", re.I)
 #: Words that patterns start with, past a number; a sentence that starts otherwise is not looked at.
-FIRST = re.compile(r"[^a-z0-9©]{0,400}(?:[0-9][^a-z0-9©]{1,400})?(?:©|(?:c|copyright|spdx-licen[cs]e-identifier|this|it|released|licen[cs]ed|distributed|available|provided|published|permission|the|in|into|to|free|isc|you|unless|redistributions?|neither|all|see|if|except|please)(?![a-z0-9]))", re.I)
+FIRST = re.compile(r"[^a-z0-9©]{0,400}(?:[0-9][^a-z0-9©]{1,400})?(?:©|(?:c|copyright|spdx-licen[cs]e-identifier|this|it|released|licen[cs]ed|distributed|available|provided|published|permission|the|in|into|to|free|isc|you|unless|redistributions?|neither|all|see|if|except|please|project|package|code|software|licen[cs]e|mit|expat|apache2?|asl|bsd|simplified|freebsd|new|modified|revised|mpl|mozilla|unlicen[cs]e|zlib|boost|bsl|agpl(?:v?[23])?|lgpl(?:v?[23])?|gpl(?:v?[23])?|gnu)(?![a-z0-9])|[23][^a-z0-9]{1,4}clause)", re.I)
 #: Sentences end after . ! ? ; : and a gap (CUT), or, as some notices hold ; and :, only after . ! ? and a gap (STOP); the lines of a
 #: paragraph are joined for that. They also end at a line's end, past lines that go on in lower case (WRAPPED).
-CUT = re.compile(r"(?<=[.!?;:])(?<!dentifier:)[\x20\x09-\x0D]+")
-STOP = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
+CUT = re.compile(r"(?<=[.!?;:])(?<!dentifier:)(?<![\x20,]v\.)[\x20\x09-\x0D]+")
+STOP = re.compile(r"(?<=[.!?])(?<![\x20,]v\.)[\x20\x09-\x0D]+")
 WRAPPED = re.compile(r"\n(?=[a-z(\"'])")
 #: Comment marks and indentation before a line.
 MARKS = re.compile(r"^[ \t]*(?:(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|!+|>+|\|+|<!--+|(?:dnl|rem|REM)(?![^ \t\n]))[ \t]*)+|^[ \t]+", re.M)
@@ -96,6 +114,7 @@ LONGEST = 4000
 NOISE = re.compile(r"[^a-z0-9.+()\x20-]+")
 _CASED = {name.lower(): name for _, name in RULES if "{" not in name}
 _ALL = [(name, re.compile(p)) for name, p in SENTENCES]
+_NAMED = [(re.compile(p), name) for p, name in NAMED]
 
 
 def normalise(sentence: str) -> str:
@@ -165,7 +184,12 @@ def _name(rule: str, parts: dict[str, str]) -> str:
     if rule == "{cc}":
         kind = parts["kind"].replace(" ", "-")
         return "CC0-1.0" if kind in ("zero", "0") else f"CC-{kind.upper()}" + (f"-{parts['v']}" if "v" in parts else "")
+    if rule == "{n}":
+        return next(name for p, name in _NAMED if p.fullmatch(parts["n"]))
     v = parts.get("v", "")
+    if rule == "{g}":
+        v += "" if "." in v else ".0"
+        return {"lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}.get(parts.get("g", "").strip(), "GPL") + f"-{v}-only"
     if rule == "{v}":
         return _CASED.get(v, v)
     if "{+}" in rule and "." not in v:
@@ -174,24 +198,38 @@ def _name(rule: str, parts: dict[str, str]) -> str:
 
 
 def licences(ids: list[tuple[str, int, int, dict[str, str]]]) -> list[str]:
-    """Names by the ordered rules, each once, in the order in which they are found; sentences serve one rule each."""
-    left = [x for x in ids]
+    """Names by the ordered rules, each once, in the order in which they are found; sentences serve one rule each. A name that only a heading gives is left
+    out where a rule has found a licence of that name, in whatever form it is granted (-only, -or-later).
+
+    Each identifier's places wait in a list. A rule goes through the lists of its sequence once, as a place that one match has passed by is
+    before all later ones, so the cost is in proportion to the sentences."""
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(ids):
+        places.setdefault(x[0], []).append(i)
     out: list[str] = []
     for sequence, name in RULES:
-        while True:
-            used, k = [], 0
-            for i, x in enumerate(left):
-                if k < len(sequence) and x[0] == sequence[k]:
-                    used.append(i)
-                    k += 1
-            if k < len(sequence):
+        lists = [places.get(x, []) for x in sequence]
+        heads, used = [0] * len(sequence), set()
+        while all(lists):
+            match, last = [], -1
+            for k, at in enumerate(lists):
+                while heads[k] < len(at) and (at[heads[k]] <= last or at[heads[k]] in used):
+                    heads[k] += 1
+                if heads[k] == len(at):
+                    break
+                last = at[heads[k]]
+                match.append(last)
+            if len(match) < len(sequence):
                 break
+            used.update(match)
             parts: dict[str, str] = {}
-            for i in used:
-                parts |= left[i][3]
-            if (found := _name(name, parts)) not in out:
+            for i in match:
+                parts |= ids[i][3]
+            found = _name(name, parts)
+            if found not in out and not (sequence[0].startswith("heading") and any(x.startswith(found.removesuffix("-only")) for x in out)):
                 out.append(found)
-            left = [x for i, x in enumerate(left) if i not in used]
+        for x in set(sequence) if used else ():
+            places[x] = [i for i in places[x] if i not in used]
     return out
 
 
