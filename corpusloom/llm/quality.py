@@ -18,6 +18,7 @@ ALL_CLOSERS = f"^[{CLOSERS}]+$"
 #: the start of a line to its last sentence end, if one is inside it (for tails, see cleaned)
 HEAD = f"^([^\\n]*[{MARKS_OF_END}][{CLOSERS}]*)[\\x20\\x09-\\x0D][^\\n]*$"
 #: symbols and marks that prose holds few of
+SOME_MARK = r"[#*$%&|<>!~^=_{}\x{2022}\x{bb}\x{203a}]"
 MARKS = r"[^#*$%&|<>!~^=_{}\x{2022}\x{bb}\x{203a}]+"
 #: navigation: menus and breadcrumbs
 NAV = r"(?i)^(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|next|previous|prev|back|top|share|print|read more|load more|show more|skip to (main )?content|contact( us)?|about( us)?|site ?map|faq|help)([ |/>\x{2022}\x{bb}\x{203a}:.!-]+(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|search|next|previous|prev|back|top|share|print|contact|about|us|site ?map|faq|help|more))*[ .!:\x{bb}\x{203a}>]*$"
@@ -46,12 +47,12 @@ def line_fails(line: Column, tails: bool = False) -> Column:
     """Whether a line (with a word in it) fails one of the rules, as long as its ends are bare of gaps. With tails, a line that
     holds a sentence end does not fail for its unfinished last sentence."""
     words = F.size(F.split(line, WORD_GAP))
-    marks = _length(F.regexp_replace(line, MARKS, ""))
+    marks = _length(F.regexp_replace(line, MARKS, ""))  # a search first, as it makes no new text, and few lines hold any
     upper, lower = _length(F.regexp_replace(line, r"\P{Lu}+", "")), _length(F.regexp_replace(line, r"\P{Ll}+", ""))
     return (
         (unfinished(line) & ~line.rlike(HEAD) if tails else unfinished(line))
-        | ((marks > 0) & (marks > F.lit(MARKS_PER_WORD) * words))
-        | ((upper >= CAPS_LEAST) & (upper > lower))
+        | (line.rlike(SOME_MARK) & (marks > F.lit(MARKS_PER_WORD) * words))
+        | (line.rlike(f"^(?:\\P{{Lu}}*+\\p{{Lu}}){{{CAPS_LEAST}}}") & (upper > lower))
         | line.rlike(NAV)
         | line.rlike(BOILERPLATE)
     )
@@ -60,13 +61,13 @@ def line_fails(line: Column, tails: bool = False) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a three-word window that the list holds twice or more.
 
-    Windows are told apart by a 64-bit hash of their words. Sorting (hash, place) brings equal windows together;
+    Windows are told apart by a 64-bit hash of their words' hashes. Sorting (hash, place) brings equal windows together;
     in the order of places, each such window adds the words that the one before it doesn't cover.
     """
     n = F.size(words)
 
     def hashes(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+        return _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1))))
 
     def places(h: Column) -> Column:
         return _let(
