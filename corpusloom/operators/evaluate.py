@@ -101,14 +101,54 @@ def embedded(seqs: DataFrame, key: str, ids: str, table: DataFrame, id: str, vec
     return found.select(key, "pos", "token", held.alias("vec"))
 
 
-def attention(rows: DataFrame, group: str, pos: str, vec: str) -> DataFrame:
-    """Causal attention of each group's vectors with themselves as query, key and value: group, pos, out. A group's pairs are made, so groups
+def attention(rows: DataFrame, group: str, pos: str, vec: str, key: str | None = None, value: str | None = None) -> DataFrame:
+    """Causal attention of each group's vectors (queries `vec`; keys and values too unless named): group, pos, out. A group's pairs are made, so groups
     must be small by nature, as a context window is."""
     q = rows.select(group, F.col(pos).alias("i"), F.col(vec).alias("q"))
-    k = rows.select(group, F.col(pos).alias("j"), F.col(vec).alias("k"))
+    k = rows.select(group, F.col(pos).alias("j"), F.col(key or vec).alias("k"), F.col(value or vec).alias("v"))
     dot = F.aggregate(F.zip_with("q", "k", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.size("q"))
-    pairs = q.join(k, group).filter("j <= i").select(group, "i", "j", "k", dot.alias("s"))
-    ctx = pairs.groupBy(group, "i").agg(F.array_sort(F.collect_list(F.struct("j", "s", "k"))).alias("c"))
+    pairs = q.join(k, group).filter("j <= i").select(group, "i", "j", "v", dot.alias("s"))
+    ctx = pairs.groupBy(group, "i").agg(F.array_sort(F.collect_list(F.struct("j", "s", "v"))).alias("c"))
     p = A.softmax(F.transform("c", lambda x: x["s"]))
-    mixed = F.transform(F.sequence(F.lit(0), F.size(F.element_at("c", 1)["k"]) - 1), lambda d: A.total(F.zip_with("c", "p", lambda x, w: F.get(x["k"], d) * w)))
+    mixed = F.transform(F.sequence(F.lit(0), F.size(F.element_at("c", 1)["v"]) - 1), lambda d: A.total(F.zip_with("c", "p", lambda x, w: F.get(x["v"], d) * w)))
     return ctx.withColumn("p", p).select(group, F.col("i").alias(pos), mixed.alias("out"))
+
+
+#: Matrices of a block, as lists of rows: of queries, keys, values, the heads' output, and the gated layer's gate, value and output.
+BLOCK = ("q", "k", "v", "o", "gate", "value", "out")
+
+
+def block_forward(rows: DataFrame, group: str, pos: str, vec: str, weights: dict[str, list[list[float]]]) -> DataFrame:
+    """group, pos, out: one block over each group's vectors: x + o attention(rotated q n, rotated k n, v n) with n the normalised x, then that plus the gated layer of
+    its normalised self. The weights go into the plan, so layers must be small; one head."""
+    if missing := sorted(set(BLOCK) - set(weights)):
+        raise ValueError(f"missing matrices: {missing}")
+    m = {k: F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights[k]]) for k in BLOCK}
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    n = rows.select(group, pos, F.col(vec).alias("_x"), A.rms_norm(F.col(vec)).alias("_n"))
+    n = n.select(group, pos, "_x", A.rotated(A.linear(F.col("_n"), m["q"]), F.col(pos)).alias("_q"), A.rotated(A.linear(F.col("_n"), m["k"]), F.col(pos)).alias("_k"), A.linear(F.col("_n"), m["v"]).alias("_v"))
+    h = attention(n, group, pos, "_q", "_k", "_v").join(n.select(group, pos, "_x"), [group, pos])
+    h = h.select(group, pos, plus("_x", A.linear(F.col("out"), m["o"])).alias("_h"))
+    return h.select(group, pos, plus("_h", A.swiglu(A.rms_norm(F.col("_h")), m["gate"], m["value"], m["out"])).alias("out"))
+
+
+def quantised_layers(weights: DataFrame, layer: str, row: str, vec: str, bits: int = 8, group: int = 128, per_channel: bool = True, symmetric: bool = True) -> DataFrame:
+    """Every matrix of a table of weights (layer, row, vec), quantised: layer, row, scale, zero, q; with 4 bits a row for each group of a row (g) and q packed. In 8 bits the
+    scale is that of the row, or of the layer, whose range comes from partial sums."""
+    if bits not in (4, 8):
+        raise ValueError("4 or 8 bits")
+    rows = weights.select(F.col(layer).alias("layer"), F.col(row).alias("row"), F.col(vec).cast("array<double>").alias("x"))
+    if bits == 4:
+        each = rows.select("layer", "row", F.posexplode(A.int4_groups(F.col("x"), group)).alias("g", "s"))
+        return each.select("layer", "row", "g", F.col("s.scale").alias("scale"), F.lit(0).alias("zero"), A.packed_nibbles(F.col("s.q")).alias("q"))
+    rows = rows.withColumn("lo", F.array_min("x")).withColumn("hi", F.array_max("x"))
+    if not per_channel:
+        ends = rows.groupBy("layer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # a row for each layer
+        rows = rows.drop("lo", "hi").join(ends, "layer")
+    if symmetric:
+        most = F.greatest(F.abs("lo"), F.abs("hi"))
+        scale, zero = F.when(most == 0, F.lit(1.0)).otherwise(most) / 127.0, F.lit(0)
+    else:
+        scale, zero = A.affine(F.col("lo"), F.col("hi"))
+    rows = rows.withColumn("scale", scale).withColumn("zero", zero)
+    return rows.select("layer", "row", "scale", "zero", A.int8(F.col("x"), F.col("scale"), F.col("zero")).alias("q"))

@@ -9,9 +9,11 @@ from ..functions import arrays as A
 from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import evaluate as E
+from ..operators import generate as Y
 from ..operators import retrieval as R
 from ..operators import runs as U
 from ..operators import tokenizer as K
+from ..operators import training as N
 from ..operators.order import id_cell, numbered
 from ..sources import readers as S
 
@@ -598,6 +600,87 @@ def causal_attention(spark, sf):
     return E.attention(rows, "ctx", "pos", "x").withColumn("out", _round(F.col("out")))
 
 
+@query(f"""SELECT vec_id // 64 AS layer, vec_id AS "row", 0 AS zero, list_transform(x, lambda v: greatest(-128, least(127, round_even(v / s, 0)))::INT) AS q, round(s, 9) AS scale
+FROM (SELECT *, CASE WHEN m = 0 THEN 1.0::DOUBLE ELSE m END / 127.0::DOUBLE AS s FROM (SELECT *, max(list_max(list_transform(x, lambda v: abs(v)))) OVER (PARTITION BY vec_id // 64) AS m FROM {_V}))""")
+def int8_layers(spark, sf):
+    """Runs of 64 vectors are the layers."""
+    v = _vecs(spark, sf).withColumn("layer", F.expr("vec_id div 64"))
+    return E.quantised_layers(v, "layer", "vec_id", "x", per_channel=False).withColumn("scale", F.round("scale", 9))
+
+
+@query(f"SELECT label AS c, d - 1 AS dim, round(g, 9) AS grad FROM (SELECT c.label, d, avg((1.0::DOUBLE / 10 - (v.label % 10 = c.label)::INT) * x[d]) AS g FROM {_V} v, (SELECT unnest(range(10)) AS label) c, range(1, 65) r(d) GROUP BY ALL)")
+def train_gradient(spark, sf):
+    """The first gradient of a linear model of ten classes, from all vectors."""
+    rows = _vecs(spark, sf).withColumn("y", F.col("label") % 10)
+    grads, _, _ = N.gradients(rows, "x", "y", N.linear_model(64, 10))
+    return spark.createDataFrame([(c, d, float(v)) for c, row in enumerate(grads["w"]) for d, v in enumerate(row)], "c long, dim long, grad double").withColumn("grad", F.round("grad", 9))
+
+
+@query()
+def train_linear(spark, sf):
+    """Sixteen steps of training; not in SQL (a test holds them against plain Python)."""
+    rows = _vecs(spark, sf).withColumn("y", F.col("label") % 10)
+    model = N.Training(N.linear_model(64, 10), N.Schedule(0.05, 2, 16), accumulate=2)
+    records = N.train(rows, "vec_id", "x", "y", model, 256)
+    return spark.createDataFrame([(i, r["step"], r["loss"], r["learning_rate"], r["step_performed"]) for i, r in enumerate(records)], "micro long, step long, loss double, lr double, performed boolean")
+
+
+@query()
+def block_forward(spark, sf):
+    """Runs of 16 vec_ids are the context windows; not in SQL (a test holds it against numpy)."""
+    rows = _vecs(spark, sf).select(F.expr("vec_id div 16").alias("ctx"), (F.col("vec_id") % 16).cast("int").alias("pos"), F.slice("x", 1, 8).alias("x"))
+    shape = {"q": (8, 8), "k": (8, 8), "v": (8, 8), "o": (8, 8), "gate": (12, 8), "value": (12, 8), "out": (8, 12)}
+    return E.block_forward(rows, "ctx", "pos", "x", {k: [[v / 8 for v in row] for row in _w(n, m, i + 2)] for i, (k, (n, m)) in enumerate(shape.items())}).withColumn("out", _round(F.col("out")))
+
+
+# Generation: bigrams of word lengths stand for a model
+
+_CLIP = f"(SELECT doc_id, list_transform({_WORDS}, lambda w: least(length(w), 31)::INT) AS s FROM documents)"
+_NEXT_TOKEN = f"""(SELECT a, arg_max(b, n * 100 - b) AS b FROM (SELECT s[i] AS a, s[i + 1] AS b, count(*) AS n FROM {_CLIP}, unnest(range(1, len(s))) u(i) GROUP BY ALL) GROUP BY a)"""
+
+
+def _lengths():
+    return F.transform(T.words(_text()), lambda w: F.least(F.char_length(w), F.lit(31)))
+
+
+@query(f"""WITH RECURSIVE nxt AS MATERIALIZED (SELECT * FROM {_NEXT_TOKEN}
+), g AS (SELECT item_id AS query_id, len(list_filter(string_split_regex(text, {_WS}), lambda w: w <> '')) AS n, least(length(list_filter(string_split_regex(text, {_WS}), lambda w: w <> '')[-1]), 31)::INT AS last, []::INT[] AS ids FROM benchmark
+  UNION ALL
+  SELECT query_id, n, coalesce(b, 0)::INT, list_append(ids, coalesce(b, 0)::INT) FROM g LEFT JOIN nxt ON a = last WHERE n > 0 AND len(ids) < 12 AND NOT (len(ids) > 0 AND last = 3))
+SELECT query_id, ids, CASE WHEN n = 0 THEN 'empty' WHEN len(ids) < 12 THEN 'eos' ELSE 'length' END AS stopped FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(ids) DESC) = 1""")
+def generate_greedy(spark, sf):
+    model = Y.Bigrams.fit(_docs(spark, sf).select(_lengths().alias("ids")), "ids", 32)
+    prompts = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), _lengths().alias("ids"))
+    return Y.generated(prompts, "query_id", "ids", model, max_new=12, stop_id=3, temperature=0)
+
+
+@query()
+def speculative_decode(spark, sf):
+    """Draws; tests hold their distribution against the target's."""
+    d = _docs(spark, sf).select("doc_id", _lengths().alias("ids"))
+    target, draft = Y.Bigrams.fit(d, "ids", 32), Y.Bigrams.fit(d.filter("doc_id < 100"), "ids", 32)
+    prompts = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), _lengths().alias("ids"))
+    return Y.speculated(prompts, "query_id", "ids", target, draft, gamma=4, max_new=16, top_k=8)
+
+
+@query()
+def search_and_generate(spark, sf):
+    """The answers of a model of bytes."""
+    q = _questions(spark, sf)
+    prompts = R.context_prompts(R.retrieved(R.Index.of(_docs(spark, sf)), _docs(spark, sf), q, 3), q)
+    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length(_text())), lambda i: F.conv(F.hex(F.substring(F.encode(_text(), "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
+    model = Y.Bigrams.fit(_t(spark, sf, "benchmark").filter("text <> ''").select(as_bytes.alias("ids")), "ids", 256)
+    return Y.answered(prompts, lambda x: list(x.encode()), lambda x: bytes(x).decode("utf-8", "replace"), model, max_new=24, temperature=0.7, top_k=5)
+
+
+@query(f"""SELECT item_id, list_filter([CASE WHEN length({_TXT}) NOT BETWEEN 1 AND 32768 THEN 'prompt' END, CASE WHEN item_id * 97 % 5000 NOT BETWEEN 1 AND 4096 THEN 'max_new_tokens' END, CASE WHEN item_id % 30 / 10.0 NOT BETWEEN 0 AND 2 THEN 'temperature' END,
+  CASE WHEN item_id % 11 / 10.0 <= 0 OR item_id % 11 / 10.0 > 1 THEN 'top_p' END], lambda x: x IS NOT NULL) AS problems FROM benchmark""")
+def request_bounds(spark, sf):
+    i = F.col("item_id")
+    requests = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("prompt"), (i * 97 % 5000).alias("max_new_tokens"), (i % 30 / 10.0).alias("temperature"), (i % 11 / 10.0).alias("top_p"))
+    return requests.select("item_id", Y.request_problems(requests).alias("problems"))
+
+
 # Runs
 
 

@@ -43,3 +43,9 @@ def ingestible(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def missing_fields(present: list[str], required: list[str]) -> list[str]:
     return sorted(set(required) - set(present))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a store holds a file or folder, by whatever scheme Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -7,9 +7,12 @@ from corpusloom.functions import arrays as A
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus as C
 from corpusloom.operators import evaluate as E
+from corpusloom.operators import generate as Y
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import runs as U
 from corpusloom.operators import tokenizer as K
+from corpusloom.operators import training as N
+from corpusloom.sources import config
 from corpusloom.sources import readers as S
 from corpusloom.streaming import streams
 
@@ -334,3 +337,161 @@ def test_running_best(spark):
     for (_, x), r in zip(loss, got, strict=True):
         best = min(best, x)
         assert r["best"] == best
+
+
+def test_generation(spark):
+    seqs = spark.createDataFrame([([1, 2, 3, 1, 2, 4, 1, 2, 3],), ([5],), (None,)], "ids array<int>")
+    model = Y.Bigrams.fit(seqs, "ids", 8)
+    assert model([[9, 1], [2]]).argmax(axis=1).tolist() == [2, 3]
+    with pytest.raises(Exception, match="out of range"):
+        Y.Bigrams.fit(seqs, "ids", 5)
+    prompts = spark.createDataFrame([("a", [1]), ("b", [5, 2]), ("c", []), ("d", None)], "k string, ids array<int>")
+    get = lambda **how: {r["k"]: (r["ids"], r["stopped"]) for r in Y.generated(prompts, "k", "ids", model, **how).collect()}
+    assert get(max_new=4, temperature=0) == {"a": ([2, 3, 1, 2], "length"), "b": ([3, 1, 2, 3], "length"), "c": ([], "empty"), "d": ([], "empty")}
+    assert get(max_new=4, temperature=0, stop_id=3)["a"] == ([2, 3], "eos") and get(max_new=9, temperature=0, max_len=3)["b"] == ([3], "max_len")
+    text = lambda x: "".join(map(str, x))
+    assert get(max_new=9, temperature=0, stops=("31",), decode=text)["a"] == ([2, 3, 1], "stop")
+    assert get(max_new=3, temperature=0, penalty=50.0)["a"][0][0] == 2  # the one token that is likely and unseen
+    drawn = get(max_new=30, top_k=2)
+    assert drawn == get(max_new=30, top_k=2) and drawn != get(max_new=30, top_k=2, seed="1")
+    for wrong in ({"max_new": 0}, {"stops": ("x",)}):
+        with pytest.raises(ValueError):
+            get(**wrong)
+    with pytest.raises(TypeError):
+        get(heat=1)
+    asked = spark.createDataFrame([(1, "ab"), (2, "b")], "query_id int, prompt string")
+    bytes_ = Y.Bigrams.fit(spark.createDataFrame([([97, 98, 99, 97],)], "ids array<int>"), "ids", 256)
+    got = {r["query_id"]: r["answer"] for r in Y.answered(asked, lambda x: list(x.encode()), lambda x: bytes(x).decode(), bytes_, max_new=3, temperature=0).collect()}
+    assert got == {1: "cab", 2: "cab"}
+
+
+def test_sampling_rules_agree(spark):
+    """The rules for a row of logits in Spark and in a generation batch are the same."""
+    import numpy as np
+
+    x = [0.1, 5.0, 2.0, 4.9, -1.0]
+    row = spark.createDataFrame([(x, [1, 4])], "x array<double>, seen array<int>")
+    for how in ({}, {"temperature": 0.7}, {"top_k": 2}, {"top_p": 0.6}, {"temperature": 0}, {"penalty": 1.5}, {"penalty": 1.5, "top_k": 2, "top_p": 0.1}):
+        spark_ = row.select(E.sampler(F.col("x"), seen=F.col("seen"), **how).alias("y")).first()["y"]
+        assert np.allclose(spark_, Y.distribution(np.array(x), [1, 4], **how))
+
+
+def test_speculative_decoding(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    target, draft = Y.Bigrams(rng.integers(0, 9, (4, 4))), Y.Bigrams(rng.integers(0, 9, (4, 4)))
+    prompts = spark.range(6000).select("id", F.array(F.lit(2)).alias("ids"))
+    rows = Y.speculated(prompts, "id", "ids", target, draft, gamma=3, max_new=5).collect()
+    assert all(len(r["ids"]) == 5 and r["accepted"] <= 3 * r["rounds"] for r in rows)
+    for at in range(4):  # each token as the target alone would draw it after the one before
+        for before in range(4):
+            after = [r["ids"][at] for r in rows if (r["ids"][at - 1] if at else 2) == before]
+            if len(after) > 800:
+                assert np.abs(np.bincount(after, minlength=4) / len(after) - Y.distribution(target.logits[before], [])).max() < 0.06
+    same = Y.speculated(prompts.limit(20), "id", "ids", target, target, gamma=3, max_new=8, temperature=0).collect()
+    assert all(r["rounds"] == 2 and r["accepted"] == 6 for r in same)
+    greedy = Y.generated(prompts.limit(1), "id", "ids", target, max_new=8, temperature=0).first()["ids"]
+    assert all(r["ids"] == greedy for r in Y.speculated(prompts.limit(20), "id", "ids", target, draft, gamma=3, max_new=8, temperature=0).collect())
+
+
+def test_request_bounds(spark):
+    rows = [("x", 50, 1.0, None, None, 1.0), ("", 0, 2.5, 0, 0.0, 0.5), (None, 4097, -0.1, 1001, 1.5, 6.0), ("y" * 32769, None, None, 1, 1.0, 5.0)]
+    t = spark.createDataFrame(rows, "prompt string, max_new_tokens int, temperature double, top_k int, top_p double, repetition_penalty double")
+    every = ["prompt", "max_new_tokens", "temperature", "top_k", "top_p", "repetition_penalty"]
+    assert [r["p"] for r in t.select(Y.request_problems(t).alias("p")).collect()] == [[], every, every, ["prompt"]]
+
+
+def test_training(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(3, 6)) * 2
+    y = rng.integers(0, 3, 600)
+    x = centre[y] + rng.normal(size=(600, 6))
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(600)] + [(600, [0.0] * 6, -100), (601, None, 1), (602, [0.0] * 6, None)], "id long, x array<double>, y long")
+    params = {"w": rng.normal(size=(3, 6)), "b": rng.normal(size=3)}
+    grads, loss, n = N.gradients(rows, "x", "y", params)
+    z = x @ params["w"].T + params["b"]
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    hot = np.eye(3)[y]
+    assert n == 600 and math.isclose(loss, -np.log(p[np.arange(600), y]).mean()) and np.allclose(grads["w"], (p - hot).T @ x / 600) and np.allclose(grads["b"], (p - hot).mean(0))
+    model = N.Training(N.linear_model(6, 3), N.Schedule(0.1, 2, 12), accumulate=2)
+    records = N.train(rows.filter("id < 500"), "id", "x", "y", model, 64, save=(str(tmp_path), 6))
+    assert sum(r["step_performed"] for r in records) == 12 == model.schedule.current and len(records) == 24 and model.best_loss < 0.8
+    held = N.predicted(rows.filter("id between 500 and 599"), "x", model.params)
+    assert E.top_k_accuracy(held, "logits", "y", 1).first()[0] > 0.85
+    again = N.load_checkpoint(spark, f"{tmp_path}/step_12")
+    assert again.schedule == model.schedule and again.optimiser.count == 12 and again.best_loss == model.best_loss and all(np.array_equal(again.params[k], model.params[k]) for k in model.params)
+    assert all(np.array_equal(again.optimiser.first[k], model.optimiser.first[k]) for k in model.params)
+    again.step(rows, "x", "y"), model.step(rows, "x", "y")
+    a, b = again.step(rows, "x", "y"), model.step(rows, "x", "y")
+    assert a == b and np.array_equal(again.params["w"], model.params["w"])
+    with pytest.raises(FileNotFoundError):
+        N.load_checkpoint(spark, f"{tmp_path}/step_7")
+    with pytest.raises(Exception, match="out of range"):
+        N.gradients(rows, "x", "id", params)
+    assert not N.AdamW().step({"w": np.zeros(2)}, {"w": np.array([np.nan, 1.0])}, 0.1)
+    plain = {"w": np.array([1.0, -2.0])}
+    N.AdamW(decay=0.1, clip=0).step(plain, {"w": np.array([0.5, -0.25])}, 0.01)
+    assert np.allclose(plain["w"], np.array([1.0, -2.0]) * (1 - 0.001) - 0.01 * np.sign([0.5, -0.25]), atol=1e-7)  # the first step is the sign
+    lr = [r["lr"] for r in U.lr_schedule(spark, 0.1, 5, 50).orderBy("step").collect()]
+    assert np.allclose([N.Schedule(0.1, 5, 50, i).lr() for i in range(51)], lr) and N.Schedule.of(N.Schedule(0.1, 5, 50, 7).state()).current == 7
+    clock = iter(range(100))
+    row = N.timed(lambda: E.perplexity(held, "logits", "y"), clock=lambda: float(next(clock)))
+    assert row["eval_time_seconds"] == 1 and row["tokens_per_second"] == 100 and row["n_tokens"] == 100
+    grid = N.throughput_grid(spark, [8, 16], [2], lambda s, b: None, clock=lambda: float(next(clock))).collect()
+    assert [(r["seq"], r["batch"], r["tokens_per_second"]) for r in grid] == [(8, 2, 16.0), (16, 2, 32.0)]
+
+
+def test_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    shape = {"q": (4, 4), "k": (4, 4), "v": (4, 4), "o": (4, 4), "gate": (6, 4), "value": (6, 4), "out": (4, 6)}
+    m = {k: rng.normal(size=s) for k, s in shape.items()}
+    x = rng.normal(size=(5, 4))
+    rows = spark.createDataFrame([(7, i, [float(v) for v in x[i]]) for i in range(5)], "g int, pos int, x array<double>")
+    got = {r["pos"]: r["out"] for r in E.block_forward(rows, "g", "pos", "x", {k: v.tolist() for k, v in m.items()}).collect()}
+    norm = lambda a: a / np.sqrt((a * a).mean(1, keepdims=True) + 1e-6)
+
+    def rope(a):
+        angle = np.arange(5)[:, None] * 10_000.0 ** -(np.arange(2) / 2)
+        left, right = a[:, :2], a[:, 2:]
+        return np.concatenate([left * np.cos(angle) - right * np.sin(angle), right * np.cos(angle) + left * np.sin(angle)], axis=1)
+
+    n = norm(x)
+    s = rope(n @ m["q"].T) @ rope(n @ m["k"].T).T / 2
+    s[np.triu_indices(5, 1)] = -np.inf
+    p = np.exp(s - s.max(1, keepdims=True))
+    h = x + (p / p.sum(1, keepdims=True)) @ (n @ m["v"].T) @ m["o"].T
+    g = norm(h) @ m["gate"].T
+    y = h + (g / (1 + np.exp(-g)) * (norm(h) @ m["value"].T)) @ m["out"].T
+    assert np.allclose([got[i] for i in range(5)], y)
+    with pytest.raises(ValueError, match="missing"):
+        E.block_forward(rows, "g", "pos", "x", {"q": [[1.0]]})
+
+
+def test_quantised_layers(spark):
+    w = spark.createDataFrame([("a", 0, [1.0, -2.0]), ("a", 1, [0.5, 4.0]), ("b", 0, [0.0, 0.0])], "layer string, row int, w array<double>")
+    get = lambda **how: {(r["layer"], r["row"]): (r["scale"], r["zero"], r["q"]) for r in E.quantised_layers(w, "layer", "row", "w", **how).collect()}
+    assert get()["a", 0] == (2.0 / 127, 0, [64, -127]) and get()["b", 0] == (1.0 / 127, 0, [0, 0])
+    assert get(per_channel=False)["a", 0] == (4.0 / 127, 0, [32, -64])
+    scale, zero, q = get(per_channel=False, symmetric=False)["a", 1]
+    assert math.isclose(scale, 6 / 255) and all(abs((v - zero) * scale - x) <= scale for v, x in zip(q, [0.5, 4.0], strict=True))
+    assert get(bits=4, group=2)["a", 1][0] == 4.0 / 7
+    with pytest.raises(ValueError):
+        get(bits=3)
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text('{"model": {"d": 8, "deep": {"x": null}}, "name": "n"}')
+    c = config.Settings(str(path))
+    assert (c.get("model.d"), c.get("model.deep.x", 1), c.get("model.y", 3), c.get("name.x", 4), c.get("none")) == (8, None, 3, 4, None)
+    path.write_text("")
+    for wrong in (str(path), str(tmp_path / "gone")):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            config.Settings(wrong)
+    assert config.commit(str(tmp_path)) == "unknown" and config.commit(str(tmp_path / "gone")) == "unknown"
