@@ -334,6 +334,37 @@ def bpe_encode(spark, sf):
     return K.encoded(_docs(spark, sf), K.BytePairs.train(_docs(spark, sf)))
 
 
+#: The rule in SQL, with a token as <hex>: a merge is a replacement from the left, and counts are taken anew for each. Twenty merges: SQL goes through all words for each.
+_MERGES = f"""w AS (SELECT row_number() OVER (ORDER BY f.d, f.p) AS id, freq::BIGINT AS freq, regexp_replace(lower(hex(encode(word))), '(..)', '<\\1>', 'g') AS s FROM {_WT}
+), m AS (
+  SELECT 0 AS step, id, freq, s, '' AS a, '' AS b FROM w
+  UNION ALL
+  SELECT step + 1, id, freq, replace(s, '<' || best.a || '><' || best.b || '>', '<' || best.a || best.b || '>'), best.a, best.b FROM m, (
+    SELECT t[i] AS a, t[i + 1] AS b, sum(freq) AS n, min(id * 1000000 + i) AS seen FROM (SELECT id, freq, string_split(s[2:-2], '><') AS t FROM m), unnest(range(1, len(t))) u(i) GROUP BY ALL HAVING sum(freq) > 1 ORDER BY n DESC, seen LIMIT 1) best
+  WHERE step < 20
+), merges AS (SELECT DISTINCT step - 1 AS rank, a, b FROM m WHERE step > 0)"""
+
+
+@query(f"WITH RECURSIVE {_MERGES} SELECT rank::INT AS rank, a, b FROM merges")
+def bpe_first_merges(spark, sf):
+    """bpe_train up to a vocabulary that SQL can check."""
+    t = K.BytePairs.train(_docs(spark, sf), 256 + 20 + 4)
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(t.merges)], "rank int, a string, b string")
+
+
+@query(f"""WITH RECURSIVE {_MERGES}, l AS (SELECT list(struct_pack(a := a, b := b) ORDER BY rank) AS ms, map_from_entries(list(struct_pack(k := a || b, v := 256 + rank))) AS ids FROM merges
+), p AS (SELECT DISTINCT unnest(regexp_extract_all({_TXT}, {_PIECE})) AS word FROM documents
+), e AS (SELECT word, list_transform(string_split(list_reduce(list_prepend(regexp_replace(lower(hex(encode(word))), '(..)', '<\\1>', 'g'), list_transform(ms, lambda x: x.a || ' ' || x.b)),
+    lambda s, x: replace(s, '<' || split_part(x, ' ', 1) || '><' || split_part(x, ' ', 2) || '>', '<' || split_part(x, ' ', 1) || split_part(x, ' ', 2) || '>'))[2:-2], '><'),
+  lambda t: CASE WHEN length(t) = 2 THEN ('0x' || t)::INT ELSE ids[t]::INT END) AS ids FROM p, l
+), d AS (SELECT doc_id, k, ps[k] AS word FROM (SELECT doc_id, regexp_extract_all({_TXT}, {_PIECE}) AS ps FROM documents), unnest(range(1, len(ps) + 1)) u(k))
+SELECT doc_id, flatten(coalesce(list(ids ORDER BY k) FILTER (ids IS NOT NULL), []))::INT[] AS ids FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN e USING (word) GROUP BY doc_id""")
+def bpe_encode_first(spark, sf):
+    """bpe_encode with the merges that SQL can check."""
+    d = _docs(spark, sf)
+    return K.encoded(d, K.BytePairs.train(d, 256 + 20 + 4))
+
+
 @query(f"SELECT doc_id, sha256({_TXT}) AS digest, strlen({_TXT})::BIGINT AS n_bytes, {_TXT} <> '' AND strlen({_TXT}) > 3 AS shorter FROM documents")
 def bpe_roundtrip(spark, sf):
     """Of the ids alone: the digest of the text that they decode to, the bytes that they stand for, and whether they are fewer than these."""
