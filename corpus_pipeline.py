@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import fresh_path, read
+from corpusloom.llm.common import read
 from corpusloom.llm.linededup import without_repeated_lines
 from corpusloom.llm.mixing import mixed
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import good_documents
 from corpusloom.llm.simhash_join import one_of_each
+from corpusloom.sources.scratch import delete, fresh_path, swept
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one's result written as Parquet to the shared folder and read again as the next one's input."""
-    docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = fresh_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
-    return docs
+    """All stages, each one's result written as Parquet to the shared folder and read again as the next one's input. A stage's own tables, and
+    the result that it has read, are deleted once its result is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"stage-{name}")
+        with swept(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

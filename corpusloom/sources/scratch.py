@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths given out within each open swept(), the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex[:12]}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written to fresh paths within it; a DataFrame that still reads them must be written elsewhere before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
