@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names, partitions, text_of, whole_groups, written
+from .common import joined, own_names, partitions, text_of, whole_groups, written
 from .components import Forest, components
 from .simhash import XX_SEED, GrayIndex, gray_rank
 
@@ -24,6 +24,8 @@ WORDS = BANDS // 4
 NEAR, FAR = 22, 16 * BANDS // 4
 #: Rows of a portion of a large band value.
 CELL = 2048
+#: Sets of up to so many shingles are also joined by prefixes, which miss nothing; so pairs are whole whose smaller set has four fifths of it or fewer.
+SHORT = 50
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -55,14 +57,37 @@ def _node(h: np.ndarray) -> int:
 
 
 def _signed(shingle: int):
+    """Of each text: its node, signature, and if it is a short one its shingles (32 bits of each hash)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sig = [], []
+            node, sig, few = [], [], []
             for x in batch.column(1):
                 h = shingle_hashes(x.as_py(), shingle)
                 node.append(_node(h))
                 sig.append(signature(h).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "node", "sig"])
+                few.append(np.unique(h.astype(np.uint32)).tobytes() if len(h) <= SHORT else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(few, pa.binary())], names=["doc_id", "node", "sig", "few"])
+
+    return run
+
+
+def _prefixes(alike: float):
+    """A row for each of a short set's first shingles, by their hashes: as many as it takes for two sets that are alike enough to share one."""
+    part = round(alike * 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, at = [], []
+            for i, few in enumerate(batch.column(2).to_pylist()):
+                h = np.frombuffer(few, np.uint32)
+                n = len(h) - -(-part * len(h) // 1000) + 1
+                key.append(h[:n].astype(np.int64))
+                at.append(np.full(len(h[:n]), i))
+            at = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
+            fp = np.array([int.from_bytes(x[:8], "little") for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*key, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(fp[at]), rows.column(0), rows.column(1), rows.column(2)], names=["key", "fp", "node", "sig", "shingles"])
 
     return run
 
@@ -105,13 +130,13 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cell[hit]), pa.array(fp[hit]), pa.array(node[hit])], names=["cell", "fp", "node"])
 
 
-def _close(cell, fp, sig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of a cell that are within NEAR in their first bits and FAR in all, and how many bits differ, in portions."""
-    for i, j in GrayIndex(cell, fp.view(np.uint64)).pairs(NEAR):
+def _close(cell, fp, sig, near: int = NEAR, far: int = FAR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a cell that are within `near` in their first bits and `far` in all, and how many bits differ, in portions."""
+    for i, j in GrayIndex(cell, fp.view(np.uint64)).pairs(near):
         for at in range(0, len(i), 1 << 16):
             a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             d = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int32)
-            yield a[d <= FAR], b[d <= FAR], d[d <= FAR]
+            yield a[d <= far], b[d <= far], d[d <= far]
 
 
 def _signatures_of(table: pa.Table) -> np.ndarray:
@@ -128,7 +153,7 @@ def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cell[hit]), pa.array(fp[hit]), pa.array(node[hit])], names=["cell", "fp", "node"])
 
 
-def _verified(alike: float):
+def _verified(alike: float, near: int = NEAR, far: int = FAR):
     """Of each cell, a spanning forest of the links: candidates come nearest first, what is connected already is left out, and
     each one left is held against the shingles."""
     part = round(alike * 1000)
@@ -136,7 +161,7 @@ def _verified(alike: float):
     def forest_of(cell, fp, node, sig, sets) -> pa.RecordBatch:
         size = np.array([len(s) for s in sets], dtype=np.int64)
         found = [np.zeros((3, 0), np.int32)]
-        for i, j, d in _close(cell, fp, sig):
+        for i, j, d in _close(cell, fp, sig, near, far):
             ok = np.minimum(size[i], size[j]) * 1000 >= np.maximum(size[i], size[j]) * part
             found.append(np.stack([i[ok], j[ok], d[ok]]).astype(np.int32))
         i, j, d = np.concatenate(found, axis=1)
@@ -175,7 +200,8 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, alike: float = AL
     in a band form a bucket, the Gray-order index finds those that are near within it, first by 64 bits, then by the
     whole signature, and only these have their shingles looked up for the exact similarity. A bucket of more than `cell` nodes is dealt into portions, and a task has two of
     them at a time: no pair is lost by that. What the bands (see BANDS) and the bounds NEAR and FAR miss, the latter about once in a thousand
-    times at most, is the only loss; every link is exact but for equal 32-bit (nodes: 64-bit) hashes.
+    times at most, is the only loss; every link is exact but for equal 32-bit (nodes: 64-bit) hashes. Short texts, whose signatures say less, lose nothing: sets of
+    up to SHORT shingles also meet by shingle, under as many of their least hashes as two sets alike enough can't avoid to share, and are compared whole.
 
     Letters A-Z count as a-z. Null texts count as empty; texts without words are one node, those of fewer words than a shingle
     one shingle. Null doc_ids have no row here. Repeated rows give repeated rows; of rows that share a doc_id but not the text
@@ -184,16 +210,9 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, alike: float = AL
     spark = docs.sparkSession
     n = partitions(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("t")).filter("doc_id is not null")
-    signed = written(d.mapInArrow(_signed(shingle), "doc_id long, node long, sig binary"), "sim-docs")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig")), "sim-nodes")
-    rows = nodes.select("node", "sig").mapInArrow(_bands, "key long, fp long, node long")
-    heavy = written(rows.groupBy("key").count().filter(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).cast("int").alias("parts")), "sim-large")
-    if heavy.take(1):
-        rows = rows.join(heavy, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        rows = rows.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), "fp", "node")
-    else:
-        rows = rows.withColumnRenamed("key", "cell")
+    signed = written(d.mapInArrow(_signed(shingle), "doc_id long, node long, sig binary, few binary"), "sim-docs")
+    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig"), F.any_value("few").alias("few"), F.count(F.lit(1)).alias("n")), "sim-nodes")
+    rows = _in_cells(nodes.select("node", "sig").mapInArrow(_bands, "key long, fp long, node long"), cell)
     rows = _by_cell(rows, n).select("cell", "fp", "node")
     near = written(rows.mapInArrow(_paired, "cell long, fp long, node long"), "sim-near")
     near = _by_cell(near.join(nodes.select("node", "sig"), "node"), n).select("cell", "fp", "node", "sig")
@@ -202,13 +221,27 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, alike: float = AL
     texts = want.join(d, F.col("first") == F.col("doc_id")).select("node", "t")
     sets = written(texts.mapInArrow(_sets(shingle), "node long, sig binary, shingles binary").dropDuplicates(["node"]), "sim-sets")
     cells = _by_cell(cand.join(sets, "node"), n).select("cell", "fp", "node", "sig", "shingles")
-    edges = written(cells.mapInArrow(_verified(alike), "a long, b long"), "sim-edges")
+    edges = cells.mapInArrow(_verified(alike), "a long, b long")
+    short = nodes.filter("few is not null").select("node", "sig", "few").mapInArrow(_prefixes(alike), "key long, fp long, node long, sig binary, shingles binary")
+    short = _by_cell(_in_cells(short, cell), n).select("cell", "fp", "node", "sig", "shingles")
+    edges = written(edges.union(short.mapInArrow(_verified(alike, 64, 64 * WORDS), "a long, b long")), "sim-edges")
     comp = components(edges, "sim-cc").select(F.col("node"), "root")
     firsts = nodes.select("node", "first")
     least = firsts.join(comp, "node").groupBy("root").agg(F.min("first").alias("component"))
     linked = written(comp.join(least, "root").select("node", "component"), "sim-comp")
-    firsts = firsts.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component_id"))
-    return signed.select("doc_id", "node").join(firsts, "node").select("doc_id", "component_id")
+    ids = firsts.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component_id"))
+    return joined(signed.select("doc_id", "node"), ids, "node", nodes, "n").select("doc_id", "component_id")
+
+
+def _in_cells(rows: DataFrame, most: int) -> DataFrame:
+    """rows with cell in the place of key. A key of more than `most` rows is dealt into portions, and each two of them, and each alone, are a cell."""
+    heavy = written(rows.groupBy("key").count().filter(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "sim-large")
+    if not heavy.take(1):
+        return rows.withColumnRenamed("key", "cell")
+    rest = [c for c in rows.columns if c != "key"]
+    rows = rows.join(heavy, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return rows.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"), *rest)
 
 
 def _by_cell(rows: DataFrame, n: int) -> DataFrame:

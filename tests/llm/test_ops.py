@@ -421,6 +421,29 @@ def test_similar_documents_recall(spark):
     assert want > 100 and len(texts) - out.count() >= 0.95 * want
 
 
+@pytest.mark.parametrize("cell", [simhash_join.CELL, 3])
+def test_short_texts_lose_no_link(spark, cell):
+    """Texts of 1 to 60 words with one to three words changed, dropped or added: components as by all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(1, 60))]
+        texts.append(words)
+        for _ in range(rng.randint(1, 3)):
+            w = list(words)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+                w[at : at + rng.choice([0, 1])] = [f"x{rng.randrange(300)}"]
+            texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {d: plain_shingles(t) for d, t in rows}
+    of, least = classes_of(sorted(set(sets.values()), key=sorted), plain_alike), {}
+    for d in sorted(sets):
+        least.setdefault(of[sets[d]], d)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell).collect()}
+    assert got == {d: least[of[s]] for d, s in sets.items()} and len(set(got.values())) < len(got) - 40
+
+
 def test_one_of_each_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c  d e f", "y"), (None, "a b c d e f", "x"), (4, None, "z"), (5, " ", "z")], "doc_id long, text string, __keep string")
     out = simhash_join.one_of_each(docs)
