@@ -53,6 +53,21 @@ def own_names(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A key is a hot one if it holds over a HOT-th of all rows, so there are fewer than HOT of them.
+HOT = 256
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, count: str) -> DataFrame:
+    """rows with the columns of table, by key; counts, a written table, says how many rows have a key. Hot keys, fewer than HOT, are sent to all
+    executors, so that no task has to take all rows of one; the others meet by key."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    hot = counts.filter(F.col(count) * HOT > total).select(key)
+    if not hot.take(1):
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    return rows.join(F.broadcast(table.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Rows sorted by their first column, in portions of about so many rows that split no value of it. Only a portion's end is
     searched, so a value that very many rows share is copied once."""

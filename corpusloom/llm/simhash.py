@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, text_of, whole_groups, written
+from .common import joined, partitions, read, text_of, whole_groups, written
 from .components import Forest, components
 
 SHINGLE, RADIUS, XX_SEED = 3, 3, 42
@@ -226,14 +226,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rows. Empty table: no rows. Columns besides doc_id and text are not read.
     """
     fps = written(fingerprints(docs, shingle), "fp")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fp-nodes")
     found = written(links(written(nodes.select("fp"), "fp-distinct"), radius), "fp-edges")
     comp = components(found, "fp-cc").select(F.col("node").alias("fp"), "root")
     # Only fingerprints with an edge have a root to look up; the others are their own component.
     least = nodes.join(comp, "fp").groupBy("root").agg(F.min("first").alias("component"))
     linked = written(comp.join(least, "root").select("fp", "component"), "fp-comp")
-    nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    out = fps.join(nodes, "fp")
+    ids = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    out = joined(fps, ids, "fp", nodes, "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
