@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_CHARS, WORD_GAP, own_names, partitions, read, text_of, whole_groups, written
+from .common import GAP_CHARS, WORD_GAP, joined, own_names, partitions, read, text_of, whole_groups, written
 from .components import Forest, components
 
 #: Two lines may differ by one edit for each PER code points of the shorter one, TAU edits at most.
 TAU, PER = 2, 20
-#: Rows of a cell of the candidate grid; lines remembered by a task that drops repeats early.
-CELL, REMEMBERED = 2048, 1 << 18
+#: Lines of a portion of a large key, at least and at most; lines remembered by a task that drops repeats early.
+LEAST, CELL, REMEMBERED = 128, 2048, 1 << 18
 KEYS = "key long, line long, role int"
 
 
@@ -144,8 +144,8 @@ def _signatures(tau: int, per: int):
 
 
 def _candidates(most: int):
-    """From rows sorted by (key, line): of the keys that pair different lines, the members, dealt into cells. A key with over
-    `most` lines becomes a grid: a cell holds one or two portions of them, so no cell grows with the key."""
+    """From rows sorted by (key, line): of the keys that pair different lines, the members, dealt into cells. A key's lines are cut into portions of an
+    eighth of them, though no less than LEAST and no more than `most` lines; a cell holds one or two portions, so no cell grows with the key."""
     names = ["cell", "key", "line", "role", "portion"]
 
     def out(key, line, role) -> pa.RecordBatch:
@@ -157,8 +157,9 @@ def _candidates(most: int):
         size = np.diff(np.append(start, len(key)))
         index = np.add.reduceat((role & 1).astype(int), start) if len(start) else size
         live = np.repeat((size > 1) & (index > 0), size)
-        at = (np.arange(len(key)) - np.repeat(start, size))[live] // most
-        parts = -(-np.repeat(size, size)[live] // most)
+        portion = np.repeat(np.clip(size // 8, min(LEAST, most), most), size)[live]
+        at = (np.arange(len(key)) - np.repeat(start, size))[live] // portion
+        parts = -(-np.repeat(size, size)[live] // portion)
         key, line, role = key[live], line[live], role[live]
         # member of portion p goes to the cells (0, p) ... (p, p) ... (p, last)
         rep = np.repeat(np.arange(len(key)), parts)
@@ -286,7 +287,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | Non
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
     linked = written(linked.join(heads, "root").select("line", "n_links", "head"), "line-classes")
     each = first.join(linked, "line", "left").select("line", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("head", "first").alias("head"))
-    out = occ.join(each, "line")
+    out = joined(occ, each, "line", first, "n_copies")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
     if row:
         kept = kept & (F.col(row) == F.col(f"head.{row}"))
