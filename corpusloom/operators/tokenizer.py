@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import Protocol
@@ -109,19 +110,25 @@ def merged(s: list[bytes], pair: tuple[bytes, bytes]) -> list[bytes]:
 
 
 class BytePairs:
-    """A trained tokenizer. Ids: 256 bytes, merges in their order, and special tokens at the end of the target size."""
+    """A trained tokenizer. Ids: 256 bytes, then merges in their order, which skip the ids of special tokens; these are given by name, or are names alone, which
+    take the ids at the end of the target size."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], target: int, specials: tuple[str, ...] = SPECIALS):
+    def __init__(self, merges: list[tuple[bytes, bytes]], target: int, specials: tuple[str, ...] | dict[str, int] = SPECIALS):
         self.merges, self.target = merges, target
-        self.specials = {s: target - len(specials) + i for i, s in enumerate(specials)}
+        self.specials = dict(specials) if isinstance(specials, dict) else {s: target - len(specials) + i for i, s in enumerate(specials)}
+        if min(self.specials.values(), default=BYTES) < BYTES or len(set(self.specials.values())) < len(self.specials):
+            raise ValueError("special tokens need ids of their own past those of bytes")
         self.ids: dict[bytes, int] = {bytes([b]): b for b in range(BYTES)}
+        reserved = set(self.specials.values())
+        free = (i for i in itertools.count(BYTES) if i not in reserved)
         for a, b in merges:
-            self.ids.setdefault(a + b, len(self.ids))
+            if a + b not in self.ids:
+                self.ids[a + b] = next(free)
         self.ranks = {p: i for i, p in enumerate(merges)}  # a pair that was merged twice has its last rank
         self.bytes = {i: b for b, i in self.ids.items()}
 
     @classmethod
-    def train(cls, docs: DataFrame, target: int = TARGET, specials: tuple[str, ...] = SPECIALS) -> BytePairs:
+    def train(cls, docs: DataFrame, target: int = TARGET, specials: tuple[str, ...] | dict[str, int] = SPECIALS) -> BytePairs:
         """Learns on all texts of docs. The word table is what reaches the driver: a row for each different piece."""
         if target < BYTES + len(specials):
             raise ValueError("the target must hold all bytes and special tokens")
@@ -181,7 +188,7 @@ class BytePairs:
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(self.merges)], "rank int, a binary, b binary").write.mode("overwrite").parquet(f"{path}/merges")
-        spark.createDataFrame([(self.target, list(self.specials))], "target int, specials array<string>").write.mode("overwrite").parquet(f"{path}/meta")
+        spark.createDataFrame([(self.target, self.specials)], "target int, specials map<string,int>").write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BytePairs:
@@ -190,7 +197,7 @@ class BytePairs:
             raise ValueError(f"missing fields: {sorted(missing)}")
         row = meta.first()
         merges = [(bytes(r["a"]), bytes(r["b"])) for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
-        return cls(merges, row["target"], tuple(row["specials"]))
+        return cls(merges, row["target"], dict(row["specials"]))
 
 
 def encoded(docs: DataFrame, tokenizer: BytePairs) -> DataFrame:

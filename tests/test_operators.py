@@ -157,6 +157,7 @@ def test_bpe(spark, tmp_path):
         t.decode([999999], strict=True)
     t.save(spark, str(tmp_path / "t"))
     again = K.BytePairs.load(spark, str(tmp_path / "t"))
+    assert again.specials == t.specials
     assert again.encode(texts[1]) == t.encode(texts[1]) and again.vocab_size() == 320
     rows = {r["doc_id"]: r["ids"] for r in K.encoded(d, t).collect()}
     assert rows == {i: t.encode(x) for i, x in enumerate(texts)}
@@ -169,6 +170,11 @@ def test_bpe_rules(spark):
 
     from corpusloom.plans import registry
 
+    with pytest.raises(ValueError, match="past those of bytes"):
+        K.BytePairs([], 300, {"<x>": 3})
+    named = K.BytePairs([(b"a", b"b"), (b"ab", b"c"), (b"a", b"bc"), (b"c", b"d")], 300, {"<|end|>": 257, "<z>": 50256})
+    assert [named.ids[x] for x in (b"ab", b"abc", b"cd")] == [256, 258, 259] and named.vocab_size() == 50257
+    assert named.decode([257, 256, 50256]) == "<|end|>ab<z>" and named.encode("abcd") == [258, 100]
     with pytest.raises(ValueError, match="are needed"):
         K.BytePairs.train(docs(spark, ["short"]))
     words = [("abcd", 9), ("xabc", 5), ("bcd", 4), ("aab", 3), ("abcde", 2), ("qabcdabcd", 2)]
