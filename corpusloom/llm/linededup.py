@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 from .common import GAP_CHARS, WORD_GAP, joined, own_names, partitions, read, text_of, whole_groups, written
 from .components import Forest, components
 
-#: Two lines may differ by one edit for each PER code points of the shorter one, TAU edits at most.
-TAU, PER = 2, 20
+#: Edits are counted in words: two lines may differ by one for each PER words of the shorter one, TAU at most.
+TAU, PER = 2, 10
 #: Lines of a portion of a large key, at least and at most; lines remembered by a task that drops repeats early.
 LEAST, CELL, REMEMBERED = 128, 2048, 1 << 18
 KEYS = "key long, line long, role int"
 
 
 def allowed(n: int, tau: int = TAU, per: int = PER) -> int:
-    """Edits by which a line of n code points may differ from one that is no shorter."""
+    """Edits by which a line of n units may differ from one that is no shorter."""
     return max(0, min(tau, n // per, n - 1))
 
 
 def segments(n: int, tau: int) -> list[tuple[int, int]]:
-    """(start, length) of the tau + 1 segments of a line of n code points; the last ones are longer by one."""
+    """(start, length) of the tau + 1 segments of a line of n units; the last ones are longer by one."""
     k = tau + 1
     short, longer = n // k, n % k
     out, at = [], 0
@@ -38,7 +38,7 @@ def segments(n: int, tau: int) -> list[tuple[int, int]]:
 
 
 def probes(n: int, l: int, tau: int) -> list[tuple[int, int, int]]:  # noqa: E741
-    """(segment, start, length) of the substrings of a line of n code points that may equal a segment of a line of l <= n:
+    """(segment, start, length) of the parts of a line of n units that may equal a segment of a line of l <= n:
     the multi-match-aware choice, which takes the start from the left and from the right."""
     d = n - l
     out = []
@@ -65,7 +65,16 @@ def _plan(n: int, tau: int, per: int):
     return _SEGMENTS[n, tau, per]
 
 
-def edit_within(a: str, b: str, tau: int) -> bool:
+def units(line: str, words: bool) -> str | list[str]:
+    return line.split(" ") if words else line
+
+
+def _key(x: str | list[str], at: int, size: int, salt: int) -> int:
+    part = x[at : at + size]
+    return xxhash.xxh64_intdigest((part if isinstance(part, str) else " ".join(part)).encode(), salt)
+
+
+def edit_within(a: str | list[str], b: str | list[str], tau: int) -> bool:
     """Whether the edit distance of a and b is tau or less: a common start and end are left out, and the rest goes through a
     bit-parallel band of 2 * tau + 1 diagonals, given up once every diagonal has passed tau."""
     if len(a) > len(b):
@@ -119,23 +128,22 @@ def edit_within(a: str, b: str, tau: int) -> bool:
     return bool(reach[tau] >> (tau + m - len(a)) & 1)
 
 
-def _signatures(tau: int, per: int):
+def _signatures(tau: int, per: int, words: bool):
     """Keys under which a line is an index entry (role 1), is looked up (2), or both (3). Repeats that a task has just
     seen are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        h64 = xxhash.xxh64_intdigest
         for batch in batches:
             keys, lines, roles = [], [], []
-            for line, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(x) < per or line in seen:
+            for line, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if line in seen or len(x := units(text, words)) < per:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(line)
                 for i, p, size, n, role in _plan(len(x), tau, per):
-                    keys.append(h64(x[p : p + size].encode(), n * (tau + 1) + i))
+                    keys.append(_key(x, p, size, n * (tau + 1) + i))
                     roles.append(role)
                     lines.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(lines, pa.int64()), pa.array(roles, pa.int32())], names=["key", "line", "role"])
@@ -176,18 +184,18 @@ def _candidates(most: int):
     return run
 
 
-def _verify(tau: int, per: int):
+def _verify(tau: int, per: int, words: bool):
     """Of each cell, the links: for every line with one, the number of its links that this cell is the first to show, and the
     root of a spanning forest."""
 
-    def first_key(r: str, s: str) -> tuple[int, int]:
+    def first_key(r: str | list[str], s: str | list[str]) -> int:
         """The first segment of r that s holds at a place where it is looked up."""
         t = allowed(len(r), tau, per)
         own = segments(len(r), t)
         for i, at, size in probes(len(s), len(r), t):
             p = own[i][0]
             if s[at : at + size] == r[p : p + size]:
-                return xxhash.xxh64_intdigest(r[p : p + size].encode(), len(r) * (tau + 1) + i), i
+                return _key(r, p, size, len(r) * (tau + 1) + i)
         raise AssertionError("no segment in common")
 
     def links(key: int, rows: list[tuple]) -> tuple[list, list, list]:
@@ -204,7 +212,7 @@ def _verify(tau: int, per: int):
                 id_r, _, part_r, r = rows[i]
                 if i == j or (len(r) == len(s) and id_r >= id_s) or (part_r >= 0 and part_r == part_s) or len(r) > len(s):
                     continue
-                if edit_within(r, s, allowed(len(r), tau, per)) and np.uint64(first_key(r, s)[0]).astype(np.int64) == key:
+                if edit_within(r, s, allowed(len(r), tau, per)) and np.uint64(first_key(r, s)).astype(np.int64) == key:
                     count[i] += 1
                     count[j] += 1
                     forest.join(i, j)
@@ -225,7 +233,7 @@ def _verify(tau: int, per: int):
                 if cell != now:
                     yield from out()
                     now, key, rows = cell, key_, []
-                rows.append((line, role, part, text))
+                rows.append((line, role, part, units(text, words)))
         yield from out()
 
     return run
@@ -246,15 +254,15 @@ def _spaced(bare: Column) -> Column:
     return F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, WORD_GAP, " ")).otherwise(bare)
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | None = None, cell: int = CELL) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | None = None, cell: int = CELL, words: bool = True) -> DataFrame:
     """doc_id, line_no, class_doc_id, class_line_no, n_copies, n_links, kept of every line that holds a word.
 
-    Lines with equal words are one line. Two different lines link if they differ by at most one edit for each `per` code points of the shorter one, and
-    at most tau edits; n_links counts a line's links, n_copies its occurrences. Classes are what links connect. The first
+    Lines with equal words are one line. Two different lines link if they differ by at most one edit (a word put in, left out or replaced) for each `per` words
+    of the shorter one, and at most tau edits; unless `words`, code points take the place of words. n_links counts a line's links, n_copies its occurrences. Classes are what links connect. The first
     occurrence in a class, by doc_id (null first), then line_no, names it and is the one that is kept.
 
-    The join cuts a line into one segment more than it may differ by edits, of which two linked lines share one; hashes of segments and of the substrings
-    that may equal them meet by key. Only lines that meet another have their text looked up, and each cell of at most two
+    The join cuts a line into one segment more than it may differ by edits, of which two linked lines share one; hashes of segments and of the stretches of lines
+    no shorter that may equal them meet by key. Only lines that meet another have their text looked up, and each cell of at most two
     portions of a key is verified by one task, which returns link counts and a spanning forest instead of pairs.
 
     Null and empty texts have no lines. Rows that repeat a doc_id are one document: the same line at the same place is
@@ -268,7 +276,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | Non
     occ = written(lines.select(*at, "line"), "lines")
     first = occ.groupBy("line").agg(F.min(F.struct(*at)).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     long = lines.select("line", "norm")  # short lines are left out there: a filter here would make norm twice
-    keys = long.mapInArrow(_signatures(tau, per), KEYS).repartition(n, "key").sortWithinPartitions("key", "line")
+    keys = long.mapInArrow(_signatures(tau, per, words), KEYS).repartition(n, "key").sortWithinPartitions("key", "line")
     cand = written(keys.mapInArrow(_candidates(cell), "cell long, key long, line long, role int, portion int"), "line-cand")
     first = written(first, "line-first")
     # One place of each candidate; all rows of that doc_id (or the one row) are looked at, and those with another line there left out.
@@ -279,7 +287,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | Non
     texts = texts.withColumn("all", F.split("t", "\n")).select(F.explode(F.transform("wanted", lambda w: F.struct(w["want"].alias("line"), F.get("all", w["line_no"]).alias("raw")))).alias("x")).select("x.*")
     texts = texts.withColumn("norm", _spaced(F.btrim("raw", F.lit(GAP_CHARS)))).filter(F.xxhash64("norm") == F.col("line")).select("line", "norm").dropDuplicates(["line"])
     cells = cand.join(texts, "line").select("cell", "key", "line", "role", "portion", "norm").repartition(n, "cell").sortWithinPartitions("cell", "line")
-    found = written(cells.mapInArrow(_verify(tau, per), "a long, b long, n long"), "line-links")
+    found = written(cells.mapInArrow(_verify(tau, per, words), "a long, b long, n long"), "line-links")
     roots = components(found.select("a", "b"), "line-cc")
     n_links = found.groupBy("a").agg(F.sum("n").alias("n_links"))
     linked = roots.join(n_links, F.col("node") == F.col("a"), "left").select(F.col("node").alias("line"), "root", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -273,7 +273,7 @@ def test_edit_within():
         a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
         b = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
         for tau in (0, 1, 2, 3):
-            assert linededup.edit_within(a, b, tau) == (distance(a, b) <= tau)
+            assert linededup.edit_within(a, b, tau) == linededup.edit_within(list(a), list(b), tau) == (distance(a, b) <= tau)
 
 
 def edited(rng, s, n):
@@ -283,11 +283,12 @@ def edited(rng, s, n):
     return s
 
 
-@pytest.mark.parametrize(("cell", "tau", "per"), [(2048, 2, 20), (4, 2, 20), (4, 3, 8), (2048, 1, 1)])
-def test_line_join_brute_force(spark, cell, tau, per):
+@pytest.mark.parametrize(("cell", "tau", "per", "words"), [(2048, 2, 20, False), (4, 2, 20, False), (4, 3, 8, False), (2048, 1, 1, False), (2048, 2, 10, True), (4, 2, 4, True), (2048, 3, 2, True)])
+def test_line_join_brute_force(spark, cell, tau, per, words):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(16, 60))).strip() + "." for _ in range(12)] + ["ab", "b", "abc"]
-    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 3)) for _ in range(4))) for i in range(40)] + [(None, base[0]), (41, None), (42, " \n ")]
+    base += [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(8, 26))) for _ in range(8)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 3)) for _ in range(4))) for i in range(70)] + [(None, base[0]), (41, None), (42, " \n ")]
     norm = lambda x: " ".join(x.split())
     lines = [(d, k, norm(x)) for d, t in rows for k, x in enumerate((t or "").split("\n")) if norm(x)]
     texts = sorted({x for *_, x in lines})
@@ -301,7 +302,8 @@ def test_line_join_brute_force(spark, cell, tau, per):
     links = {x: 0 for x in texts}
     for i, a in enumerate(texts):
         for b in texts[i + 1 :]:
-            if distance(a, b) <= max(0, min(tau, min(len(a), len(b)) // per, min(len(a), len(b)) - 1)):
+            u, v = (a.split(), b.split()) if words else (a, b)
+            if abs(len(u) - len(v)) <= tau and distance(u, v) <= max(0, min(tau, min(len(u), len(v)) // per, min(len(u), len(v)) - 1)):
                 links[a], links[b] = links[a] + 1, links[b] + 1
                 up[root(a)] = root(b)
     first = {}
@@ -309,7 +311,7 @@ def test_line_join_brute_force(spark, cell, tau, per):
         at = ((d is not None, d or 0), k, d)
         first[root(x)] = min(first.get(root(x), at), at)
     want = sorted((repr(d), k, repr(first[root(x)][2]), first[root(x)][1], links[x]) for d, k, x in lines)
-    got = linededup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), tau=tau, per=per, cell=cell)
+    got = linededup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), tau=tau, per=per, cell=cell, words=words)
     assert sorted((repr(r["doc_id"]), r["line_no"], repr(r["class_doc_id"]), r["class_line_no"], r["n_links"]) for r in got.collect()) == want
     assert sum(links.values()) > 20
 

@@ -62,7 +62,7 @@ def plain_quality(text):
 def plain_line_dedup(docs):
     """From {doc_id: text}: the first line of each class stays."""
     lines = [(d, k, " ".join(x.split())) for d in sorted(docs) for k, x in enumerate(docs[d].split("\n")) if x.split()]
-    texts = sorted({x for *_, x in lines}, key=len)
+    texts = sorted(({x: x.split() for *_, x in lines}).values(), key=len)
     bags, up = [Counter(x) for x in texts], list(range(len(texts)))
 
     def root(i):
@@ -72,9 +72,10 @@ def plain_line_dedup(docs):
         for j in range(i + 1, len(texts)):
             if len(texts[j]) - len(a) > 2:
                 break
-            allowed = min(2, len(a) // 20)
-            if sum(((bags[i] - bags[j]) + (bags[j] - bags[i])).values()) <= 2 * allowed and distance(a, texts[j]) <= allowed:
+            allowed = min(2, len(a) // 10)
+            if allowed and sum(((bags[i] - bags[j]) + (bags[j] - bags[i])).values()) <= 2 * allowed and distance(a, texts[j]) <= allowed:
                 up[root(i)] = root(j)
+    texts = [" ".join(x) for x in texts]
     at, first, gone = {x: root(i) for i, x in enumerate(texts)}, {}, set()
     for d, k, x in lines:
         if first.setdefault(at[x], (d, k)) != (d, k):
