@@ -58,17 +58,19 @@ def line_fails(line: Column, tails: bool = False) -> Column:
     )
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words lie in a three-word window that the list holds twice or more.
+def windows(hashes: str) -> Column:
+    """A 64-bit hash for each three-word window, from the column of the words' hashes."""
+    n = F.size(hashes)
+    each = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i), F.get(hashes, i + 1)))
+    return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(each)
 
-    Windows are told apart by a 64-bit hash of their words' hashes. Sorting (hash, place) brings equal windows together;
-    in the order of places, each such window adds the words that the one before it doesn't cover.
-    """
-    n = F.size(words)
 
-    def hashes(w: Column) -> Column:
-        return _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(h, i - 1), F.get(h, i), F.get(h, i + 1))))
+def repeated_words(three: str) -> Column:
+    """How many words lie in a three-word window that the text holds twice or more, from the column of its windows' hashes.
 
+    Sorting (hash, place) brings equal windows together; in the order of places, each such window adds the words that the one before it
+    doesn't cover. Most texts repeat none, which a count of different hashes tells first.
+    """
     def places(h: Column) -> Column:
         return _let(
             F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
@@ -79,8 +81,7 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(p) == 0, F.lit(0)).otherwise(
             F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-9).alias("at")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["at"])).alias("n"), i.alias("at")))["n"])
 
-    of = lambda w: _let(hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(places(h), covered)))
-    return F.when(n < 3, F.lit(0)).otherwise(_let(words, of))
+    return F.when(F.size(F.array_distinct(three)) == F.size(three), F.lit(0)).otherwise(_let(places(F.col(three)), covered))
 
 
 def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
@@ -107,6 +108,9 @@ def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
     d = d.withColumn("q_list", F.transform("q_all", lambda x: F.btrim(x, F.lit(GAP_CHARS))))
     bare = F.btrim(text, F.lit(GAP_CHARS))
     d = d.withColumn("q_word_list", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP)))
+    # Each step is a column of its own: what stands at the top of a plan is compiled, what stands in a lambda isn't.
+    d = d.withColumn("q_hash", F.transform("q_word_list", lambda x: F.xxhash64(x)))
+    d = d.withColumn("q_three", windows("q_hash"))
     d = d.withColumn("q_bad", F.transform("q_list", lambda x: F.when(x == "", F.lit(False)).otherwise(line_fails(x, tails))))
     whole = F.lit(True)
     if tails:
@@ -117,8 +121,8 @@ def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
     d = d.withColumn("q_words", F.size("q_word_list").cast("long"))
     d = d.withColumn("q_word_chars", _length(F.array_join("q_word_list", "")).cast("long"))
     d = d.withColumn("q_symbols", _length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
-    d = d.withColumn("q_dup_lines", _let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    d = d.withColumn("q_repeat_words", repeated_words(F.col("q_word_list")).cast("long"))
+    d = d.withColumn("q_with", with_word).withColumn("q_dup_lines", (F.size("q_with") - F.size(F.array_distinct("q_with"))).cast("long"))
+    d = d.withColumn("q_repeat_words", repeated_words("q_three").cast("long"))
     d = d.withColumn("q_lines", F.size(F.filter("q_list", lambda x: x != "")).cast("long"))
     d = d.withColumn("q_failed_lines", F.size(F.filter("q_bad", lambda x: x)).cast("long"))
     count = lambda keep: F.aggregate(F.zip_with("q_list", "q_bad", lambda x, bad: F.when(keep(bad), _length(x)).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -129,7 +133,7 @@ def cleaned(docs: DataFrame, tails: bool = False) -> DataFrame:
     d = d.withColumn("q_base_failed", (F.col("q_words") < MIN_WORDS) | (F.col("q_repeat_words") * 100 > F.col("q_words") * REPEATED_PERCENT))
     d = d.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_lost") <= F.col("q_chars") * F.lit(LOST)))
     d = d.withColumn("q_text", F.when((F.col("q_failed_lines") == 0) & whole, F.col("text")).otherwise(F.array_join(F.filter("q_all", lambda x, i: ~F.get("q_bad", i)), "\n")))
-    return d.drop("q_all", "q_list", "q_bad", "q_word_list", "q_cut")
+    return d.drop("q_all", "q_list", "q_bad", "q_word_list", "q_hash", "q_three", "q_with", "q_cut")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
