@@ -14,8 +14,9 @@ from ..operators import retrieval as R
 from ..operators import runs as U
 from ..operators import tokenizer as K
 from ..operators import training as N
-from ..operators.order import id_cell, numbered
+from ..operators.order import id_cell, numbered, seeded
 from ..sources import readers as S
+from ..sources.scratch import fresh_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -236,6 +237,14 @@ def split_texts(spark, sf):
     return C.split_texts(C.split_lines(_docs(spark, sf))).select("split", "part_no", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+@query(ORACLES["dataset_manifest"])
+def saved_manifest(spark, sf):
+    """dataset_manifest, saved as JSON and loaded."""
+    path = fresh_path(spark, "manifest")
+    C.save_manifest(C.manifest(_docs(spark, sf), "documents", "1"), path)
+    return C.load_manifest(spark, path)
+
+
 @query(f"""SELECT 'documents' AS dataset, (SELECT count(*) FROM {_LINES}) AS num_lines, sum(len({_WORDS}))::BIGINT AS num_tokens FROM documents""")
 def manifest_legacy(spark, sf):
     return C.legacy_manifest(C.manifest(_docs(spark, sf), "documents", "1")).select("dataset", F.col("num_lines").cast("long").alias("num_lines"), "num_tokens")
@@ -250,6 +259,12 @@ def _ids(spark, sf):
     return _docs(spark, sf).select("doc_id", F.transform(T.words(_text()), lambda w: F.char_length(w)).alias("ids"))
 
 
+@query(f"SELECT doc_id, ids FROM {_IDS}")
+def ids_in_range(spark, sf):
+    """All ids, checked against a vocabulary that holds them."""
+    return C.checked_ids(_ids(spark, sf), "ids", 1 << 20)
+
+
 @query(f"SELECT * FROM {_TCH}")
 def token_chunks(spark, sf):
     return C.token_chunks(_ids(spark, sf), 128, 16)
@@ -365,6 +380,14 @@ def bpe_encode_first(spark, sf):
     return K.encoded(d, K.BytePairs.train(d, 256 + 20 + 4))
 
 
+@query(ORACLES["bpe_encode_first"])
+def saved_bpe_encode(spark, sf):
+    """bpe_encode_first by a tokenizer that was saved and loaded."""
+    d, path = _docs(spark, sf), fresh_path(spark, "bpe")
+    K.BytePairs.train(d, 256 + 20 + 4).save(spark, path)
+    return K.encoded(d, K.BytePairs.load(spark, path))
+
+
 @query(f"SELECT doc_id, sha256({_TXT}) AS digest, strlen({_TXT})::BIGINT AS n_bytes, {_TXT} <> '' AND strlen({_TXT}) > 3 AS shorter FROM documents")
 def bpe_roundtrip(spark, sf):
     """Of the ids alone: the digest of the text that they decode to, the bytes that they stand for, and whether they are fewer than these."""
@@ -427,6 +450,14 @@ def bm25_retrieve(spark, sf):
     return R.retrieved(R.Index.of(_docs(spark, sf)), _docs(spark, sf), _questions(spark, sf))
 
 
+@query(f"WITH {_SCORES} SELECT query_id, doc_id, chunk_no, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
+def saved_index_topk(spark, sf):
+    """bm25_topk over an index that was saved and loaded."""
+    path = fresh_path(spark, "saved-index")
+    R.Index.of(_docs(spark, sf)).save(path)
+    return R.Index.load(spark, path).search(_questions(spark, sf)).withColumn("score", F.round("score", 6))
+
+
 _HEAD = R.PROMPT_HEAD.replace("'", "''").replace("\n", "' || chr(10) || '")
 
 
@@ -517,6 +548,14 @@ def embedding_lookup(spark, sf):
     return E.embedded(turns, "at", "ids", _vecs(spark, sf), "vec_id", "x").select("at.*", "pos", "token", "vec")
 
 
+@query(f"""SELECT vec_id, least(len(p) - 1, len(list_filter(range(1, len(p) + 1), lambda i: list_sum(p[1 : i]) <= u)))::INT AS token FROM (
+  SELECT vec_id, p, (('0x' || substr(md5('draw:' || vec_id), 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE AS u FROM {_sm(0.7)})""")
+def categorical_draw(spark, sf):
+    """A token for each vector, at a seeded uniform number."""
+    u = (seeded("draw", F.col("vec_id")) + F.lit(0.5)) / F.lit(float(1 << 60))
+    return E.drawn(_vecs(spark, sf).select("vec_id", A.softmax(F.col("x"), 0.7).alias("p"), u.alias("u")), "vec_id", F.col("p"), F.col("u"))
+
+
 @query(f"SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: round(CASE WHEN (i - 1) IN (label, label + 7) THEN CASE WHEN x[i] > 0 THEN x[i] / 1.5::DOUBLE ELSE x[i] * 1.5::DOUBLE END ELSE x[i] END, 6)) AS logits FROM {_V}")
 def repetition_penalty(spark, sf):
     seen = F.array_distinct(F.array("label", F.col("label") + 7, "label"))
