@@ -82,9 +82,10 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
 
 
 class BlobLedger:
-    """Which (blob, rule version) pairs are scanned, and what was found: two Parquet tables in a folder.
+    """Which (blob, rule version) pairs are scanned, and what was found: two tables, each with a folder of Parquet for every batch.
 
-    seen: blob, rules, batch; findings: blob, rules, batch, found. A batch is written to `findings` first and to `seen`
+    seen: blob, rules, batch; findings: blob, rules, batch, found. Tables are read by the folders that they have at that time, never by the one
+    above them: Spark takes two reads of one path for the same, even if a batch has come between. A batch is written to `findings` first and to `seen`
     after it, and findings count only if their batch is in `seen`: a run that dies between is scanned again, and its
     findings are never read twice.
     """
@@ -93,10 +94,12 @@ class BlobLedger:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        batches = sorted(x.getPath().toString() for x in fs.listStatus(path)) if fs.exists(path) else []
+        if not batches:
             return self.spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).select("x.*")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(*batches)
 
     def seen(self, rules: str) -> DataFrame:
         return self._read("seen", "blob string, rules string, batch string").filter(F.col("rules") == rules)
@@ -125,8 +128,8 @@ class BlobLedger:
         source = versions.filter(text != "").select(path.alias("at"), F.sha2(text.cast("binary"), 256).alias("blob"), F.col("text"))
         fresh = scan_blobs(source.join(new, ["blob", "at"], "left_semi")).dropDuplicates(["blob"])
         batch = fresh_path(self.spark, "b").rpartition("/")[2]
-        fresh.select("blob", F.lit(rules).alias("rules"), F.lit(batch).alias("batch"), "found").write.mode("append").parquet(f"{self.path}/findings")
-        new.select("blob", F.lit(rules).alias("rules"), F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.path}/seen")
+        fresh.select("blob", F.lit(rules).alias("rules"), F.lit(batch).alias("batch"), "found").write.parquet(f"{self.path}/findings/{batch}")
+        new.select("blob", F.lit(rules).alias("rules"), F.lit(batch).alias("batch")).write.parquet(f"{self.path}/seen/{batch}")
         none = F.array().cast(f"array<{SPAN}>")
         return ids.join(self.findings(rules), "blob", "left").withColumn("found", F.coalesce("found", none))
 

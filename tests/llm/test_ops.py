@@ -779,6 +779,15 @@ def test_spans_of_a_long_key_file(spark):
     assert rows[0]["spans"].split(",") == plain_spans(text) and rows[0]["n_assign"] == 4000
 
 
+def test_ledger_batches_in_one_plan(spark):
+    """What a later batch finds is there even if the result of an earlier one is read in the same plan."""
+    docs = spark.createDataFrame([(i, f"text {i} token=abcdefg{i}") for i in range(40)], "path long, text string")
+    ledger = secret_scan.BlobLedger(spark, warc.fresh_path(spark, "ledger"))
+    parts = [ledger.scan(docs.filter(f"path % 4 = {k}")) for k in range(4)]
+    rows = secret_scan.digests(parts[0].union(parts[1]).union(parts[2]).union(parts[3])).collect()
+    assert len(rows) == 40 and all(r["n_assign"] == 1 for r in rows)
+
+
 def test_ledger_of_overlapping_and_later_batches(spark, none):
     texts = ["password=abcdefgh1", "nothing here", "AKIA" + "Q" * 16]
     docs = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
@@ -789,7 +798,7 @@ def test_ledger_of_overlapping_and_later_batches(spark, none):
     other = secret_scan.BlobLedger(spark, warc.fresh_path(spark, "ledger"))
     other.scan(docs)
     for table in ("findings", "seen"):
-        spark.read.parquet(f"{other.path}/{table}").write.mode("append").parquet(f"{ledger.path}/{table}")
+        spark.read.parquet(f"{other.path}/{table}/*").write.parquet(f"{ledger.path}/{table}/other")
     assert sorted(map(repr, secret_scan.digests(ledger.scan(docs)).collect())) == first
     # a later version of a path: only the new blob is scanned, findings go to every path that holds a blob
     more = spark.createDataFrame([(0, "nothing here", "b", "f", 1), (7, texts[0], "b", "f", 2), (8, "secret: zzzzzzz", "b", "f", 3), (None, None, "b", "f", 4)], "path long, text string, blob string, found string, extra int")
