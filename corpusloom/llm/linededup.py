@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +53,18 @@ def probes(n: int, l: int, tau: int) -> list[tuple[int, int, int]]:  # noqa: E74
 _SEGMENTS: dict = {}
 
 
-def _plan(n: int, tau: int, per: int):
-    """(segment, start, length, indexed length, role) of a line's keys: its own segments, and the substrings that may equal those of lines no longer."""
+def _plan(n: int, tau: int, per: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(start, length, salt) of a line's keys, its own segments and the stretches that may equal those of lines no longer, and the keys' roles. The salt tells
+    segments and indexed lengths apart."""
     if (n, tau, per) not in _SEGMENTS:
         if len(_SEGMENTS) > 50_000:
             _SEGMENTS.clear()
         t = allowed(n, tau, per)
-        own = [(i, p, size, n) for i, (p, size) in enumerate(segments(n, t))] if t else []
-        others = [(i, p, size, l) for l in range(max(1, n - tau), n + 1) if n - l <= (t := allowed(l, tau, per)) and t for i, p, size in probes(n, l, t)]  # noqa: E741
+        own = [(p, size, n * (tau + 1) + i) for i, (p, size) in enumerate(segments(n, t))] if t else []
+        others = [(p, size, l * (tau + 1) + i) for l in range(max(1, n - tau), n + 1) if n - l <= (t := allowed(l, tau, per)) and t for i, p, size in probes(n, l, t)]  # noqa: E741
         both = set(own) & set(others)
-        _SEGMENTS[n, tau, per] = [(*x, 3 if x in both else 1) for x in own] + [(*x, 2) for x in others if x not in both]
+        others = [x for x in others if x not in both]
+        _SEGMENTS[n, tau, per] = own + others, [3 if x in both else 1 for x in own] + [2] * len(others)
     return _SEGMENTS[n, tau, per]
 
 
@@ -134,18 +137,27 @@ def _signatures(tau: int, per: int, words: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        h64 = xxhash.xxh64_intdigest
         for batch in batches:
             keys, lines, roles = [], [], []
-            for line, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if line in seen or len(x := units(text, words)) < per:
+            texts = batch.column(1).cast(pa.binary()).to_pylist() if words else batch.column(1).to_pylist()
+            for line, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                if line in seen:
+                    continue
+                parts = text.split(b" ") if words else text
+                if len(parts) < per:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(line)
-                for i, p, size, n, role in _plan(len(x), tau, per):
-                    keys.append(_key(x, p, size, n * (tau + 1) + i))
-                    roles.append(role)
-                    lines.append(line)
+                plan, own_roles = _plan(len(parts), tau, per)
+                if words:  # stretches of words are cut out of the line by where these end
+                    end = [0, *accumulate(map(len, parts))]
+                    keys += [h64(text[end[p] + p : end[p + size] + p + size - 1], salt) for p, size, salt in plan]
+                else:
+                    keys += [h64(text[p : p + size].encode(), salt) for p, size, salt in plan]
+                lines += [line] * len(plan)
+                roles += own_roles
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(lines, pa.int64()), pa.array(roles, pa.int32())], names=["key", "line", "role"])
 
     return run
