@@ -132,6 +132,15 @@ def block_forward(rows: DataFrame, group: str, pos: str, vec: str, weights: dict
     return h.select(group, pos, plus("_h", A.swiglu(A.rms_norm(F.col("_h")), m["gate"], m["value"], m["out"])).alias("out"))
 
 
+def model_forward(seqs: DataFrame, key: str, ids: str, table: DataFrame, id: str, vec: str, layers: list[dict[str, list[list[float]]]], head: list[list[float]]) -> DataFrame:  # noqa: A002
+    """key, pos, logits of every id of a sequence: its vector by the table, through the blocks of `layers` and a last norm, times the head."""
+    x = embedded(seqs, key, ids, table, id, vec).select(key, "pos", F.col("vec").alias("out"))
+    for weights in layers:
+        x = block_forward(x, key, "pos", "out", weights)
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in head])
+    return x.select(key, "pos", A.linear(A.rms_norm(F.col("out")), rows).alias("logits"))
+
+
 def quantised_layers(weights: DataFrame, layer: str, row: str, vec: str, bits: int = 8, group: int = 128, per_channel: bool = True, symmetric: bool = True) -> DataFrame:
     """Every matrix of a table of weights (layer, row, vec), quantised: layer, row, scale, zero, q; with 4 bits a row for each group of a row (g) and q packed. In 8 bits the
     scale is that of the row, or of the layer, whose range comes from partial sums."""

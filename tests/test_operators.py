@@ -451,32 +451,47 @@ def test_training(spark, tmp_path):
     assert [(r["seq"], r["batch"], r["tokens_per_second"]) for r in grid] == [(8, 2, 16.0), (16, 2, 32.0)]
 
 
-def test_block(spark):
+def plain_block(x, m):
     import numpy as np
 
-    rng = np.random.default_rng(6)
-    shape = {"q": (4, 4), "k": (4, 4), "v": (4, 4), "o": (4, 4), "gate": (6, 4), "value": (6, 4), "out": (4, 6)}
-    m = {k: rng.normal(size=s) for k, s in shape.items()}
-    x = rng.normal(size=(5, 4))
-    rows = spark.createDataFrame([(7, i, [float(v) for v in x[i]]) for i in range(5)], "g int, pos int, x array<double>")
-    got = {r["pos"]: r["out"] for r in E.block_forward(rows, "g", "pos", "x", {k: v.tolist() for k, v in m.items()}).collect()}
     norm = lambda a: a / np.sqrt((a * a).mean(1, keepdims=True) + 1e-6)
 
     def rope(a):
-        angle = np.arange(5)[:, None] * 10_000.0 ** -(np.arange(2) / 2)
+        angle = np.arange(len(a))[:, None] * 10_000.0 ** -(np.arange(2) / 2)
         left, right = a[:, :2], a[:, 2:]
         return np.concatenate([left * np.cos(angle) - right * np.sin(angle), right * np.cos(angle) + left * np.sin(angle)], axis=1)
 
     n = norm(x)
     s = rope(n @ m["q"].T) @ rope(n @ m["k"].T).T / 2
-    s[np.triu_indices(5, 1)] = -np.inf
+    s[np.triu_indices(len(x), 1)] = -np.inf
     p = np.exp(s - s.max(1, keepdims=True))
     h = x + (p / p.sum(1, keepdims=True)) @ (n @ m["v"].T) @ m["o"].T
     g = norm(h) @ m["gate"].T
-    y = h + (g / (1 + np.exp(-g)) * (norm(h) @ m["value"].T)) @ m["out"].T
-    assert np.allclose([got[i] for i in range(5)], y)
+    return h + (g / (1 + np.exp(-g)) * (norm(h) @ m["value"].T)) @ m["out"].T, norm
+
+
+def test_block_and_model(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    shape = {"q": (4, 4), "k": (4, 4), "v": (4, 4), "o": (4, 4), "gate": (6, 4), "value": (6, 4), "out": (4, 6)}
+    layers = [{k: rng.normal(size=s) for k, s in shape.items()} for _ in range(2)]
+    plain = lambda m: {k: v.tolist() for k, v in m.items()}
+    x = rng.normal(size=(5, 4))
+    rows = spark.createDataFrame([(7, i, [float(v) for v in x[i]]) for i in range(5)], "g int, pos int, x array<double>")
+    got = {r["pos"]: r["out"] for r in E.block_forward(rows, "g", "pos", "x", plain(layers[0])).collect()}
+    assert np.allclose([got[i] for i in range(5)], plain_block(x, layers[0])[0])
     with pytest.raises(ValueError, match="missing"):
         E.block_forward(rows, "g", "pos", "x", {"q": [[1.0]]})
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(5)], "id int, v array<double>")
+    seqs = spark.createDataFrame([("a", [3, 1, 1]), ("b", [0])], "k string, ids array<int>")
+    head = rng.normal(size=(5, 4))
+    found = {(r["k"], r["pos"]): r["logits"] for r in E.model_forward(seqs, "k", "ids", table, "id", "v", [plain(m) for m in layers], head.tolist()).collect()}
+    assert len(found) == 4
+    for k, ids in (("a", [3, 1, 1]), ("b", [0])):
+        h, norm = plain_block(x[ids], layers[0])
+        h, norm = plain_block(h, layers[1])
+        assert np.allclose([found[k, i] for i in range(len(ids))], norm(h) @ head.T)
 
 
 def test_quantised_layers(spark):
