@@ -95,23 +95,24 @@ def decode_grid(prompts: DataFrame, decodes: tuple[tuple[float, float | None, fl
 
 def embedded(seqs: DataFrame, key: str, ids: str, table: DataFrame, id: str, vec: str) -> DataFrame:  # noqa: A002
     """key, pos, token, vec: the vector of every id of a sequence, by a join on the id. An id that the table doesn't hold fails the job."""
-    tokens = seqs.select(key, F.posexplode(ids).alias("pos", "token"))
+    tokens = seqs.select(F.col(key).alias("_key"), F.posexplode(ids).alias("pos", "token"))
     found = tokens.join(table.select(F.col(id).alias("token"), F.col(vec).alias("vec")), "token", "left")
     held = F.when(F.col("vec").isNotNull(), F.col("vec")).otherwise(F.raise_error(F.concat(F.lit("no vector for id "), F.coalesce(F.col("token").cast("string"), F.lit("null")))).cast(dict(table.dtypes)[vec]))
-    return found.select(key, "pos", "token", held.alias("vec"))
+    return found.select(F.col("_key").alias(key), "pos", "token", held.alias("vec"))
 
 
 def attention(rows: DataFrame, group: str, pos: str, vec: str, key: str | None = None, value: str | None = None) -> DataFrame:
     """Causal attention of each group's vectors (queries `vec`; keys and values too unless named): group, pos, out. A group's pairs are made, so groups
     must be small by nature, as a context window is."""
-    q = rows.select(group, F.col(pos).alias("i"), F.col(vec).alias("q"))
-    k = rows.select(group, F.col(pos).alias("j"), F.col(key or vec).alias("k"), F.col(value or vec).alias("v"))
-    dot = F.aggregate(F.zip_with("q", "k", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.size("q"))
-    pairs = q.join(k, group).filter("j <= i").select(group, "i", "j", "v", dot.alias("s"))
-    ctx = pairs.groupBy(group, "i").agg(F.array_sort(F.collect_list(F.struct("j", "s", "v"))).alias("c"))
-    p = A.softmax(F.transform("c", lambda x: x["s"]))
-    mixed = F.transform(F.sequence(F.lit(0), F.size(F.element_at("c", 1)["v"]) - 1), lambda d: A.total(F.zip_with("c", "p", lambda x, w: F.get(x["v"], d) * w)))
-    return ctx.withColumn("p", p).select(group, F.col("i").alias(pos), mixed.alias("out"))
+    own = F.col(group).alias("_g")
+    q = rows.select(own, F.col(pos).alias("_i"), F.col(vec).alias("_q"))
+    k = rows.select(own, F.col(pos).alias("_j"), F.col(key or vec).alias("_k"), F.col(value or vec).alias("_v"))
+    dot = F.aggregate(F.zip_with("_q", "_k", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.size("_q"))
+    pairs = q.join(k, "_g").filter("_j <= _i").select("_g", "_i", F.struct(F.col("_j").alias("j"), dot.alias("s"), F.col("_v").alias("v")).alias("_c"))
+    ctx = pairs.groupBy("_g", "_i").agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    p = A.softmax(F.transform("_c", lambda x: x["s"]))
+    mixed = F.transform(F.sequence(F.lit(0), F.size(F.element_at("_c", 1)["v"]) - 1), lambda d: A.total(F.zip_with("_c", "_p", lambda x, w: F.get(x["v"], d) * w)))
+    return ctx.withColumn("_p", p).select(F.col("_g").alias(group), F.col("_i").alias(pos), mixed.alias("out"))
 
 
 #: Matrices of a block, as lists of rows: of queries, keys, values, the heads' output, and the gated layer's gate, value and output.
@@ -125,11 +126,11 @@ def block_forward(rows: DataFrame, group: str, pos: str, vec: str, weights: dict
         raise ValueError(f"missing matrices: {missing}")
     m = {k: F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights[k]]) for k in BLOCK}
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    n = rows.select(group, pos, F.col(vec).alias("_x"), A.rms_norm(F.col(vec)).alias("_n"))
-    n = n.select(group, pos, "_x", A.rotated(A.linear(F.col("_n"), m["q"]), F.col(pos)).alias("_q"), A.rotated(A.linear(F.col("_n"), m["k"]), F.col(pos)).alias("_k"), A.linear(F.col("_n"), m["v"]).alias("_v"))
-    h = attention(n, group, pos, "_q", "_k", "_v").join(n.select(group, pos, "_x"), [group, pos])
-    h = h.select(group, pos, plus("_x", A.linear(F.col("out"), m["o"])).alias("_h"))
-    return h.select(group, pos, plus("_h", A.swiglu(A.rms_norm(F.col("_h")), m["gate"], m["value"], m["out"])).alias("out"))
+    n = rows.select(F.col(group).alias("_g"), F.col(pos).alias("_at"), F.col(vec).alias("_x"), A.rms_norm(F.col(vec)).alias("_n"))
+    n = n.select("_g", "_at", "_x", A.rotated(A.linear(F.col("_n"), m["q"]), F.col("_at")).alias("_a"), A.rotated(A.linear(F.col("_n"), m["k"]), F.col("_at")).alias("_b"), A.linear(F.col("_n"), m["v"]).alias("_w"))
+    h = attention(n, "_g", "_at", "_a", "_b", "_w").join(n.select("_g", "_at", "_x"), ["_g", "_at"])
+    h = h.select("_g", "_at", plus("_x", A.linear(F.col("out"), m["o"])).alias("_h"))
+    return h.select(F.col("_g").alias(group), F.col("_at").alias(pos), plus("_h", A.swiglu(A.rms_norm(F.col("_h")), m["gate"], m["value"], m["out"])).alias("out"))
 
 
 def model_forward(seqs: DataFrame, key: str, ids: str, table: DataFrame, id: str, vec: str, layers: list[dict[str, list[list[float]]]], head: list[list[float]]) -> DataFrame:  # noqa: A002
