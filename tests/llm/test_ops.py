@@ -10,6 +10,7 @@ import xxhash
 
 pytest.importorskip("corpusloom.llm")
 from corpusloom.llm import licenses, linededup, mixing, packing, quality, registry, secret_scan, sharding, simhash, simhash_join, topk, warc  # noqa: E402
+from corpusloom.llm.common import joined  # noqa: E402
 from corpusloom.llm.components import components  # noqa: E402
 
 #: Nulls, empty and long texts, ties, repeated rows and a column whose name clashes with inner ones.
@@ -480,10 +481,20 @@ def test_gray_links_brute_force(spark, large):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 200: 0}
+@pytest.mark.parametrize("many", [1 << 20, 0])
+def test_components(spark, many):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 7)] + [(1000 + i, 3000) for i in range(400)] + [(3000, 2000 - i) for i in range(300)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), many=many).collect()}
+    assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 200: 0, 3000: 1000, **{i: 1000 for i in range(1000, 1400)}, **{i: 1000 for i in range(1701, 2001)}}
+
+
+def test_joined_with_hot_keys(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 500 + [2] * 300 + [None] * 5 + list(range(3, 400)))], "k long, i long")
+    counts = rows.filter("k is not null").groupBy("k").count()
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 390)], "k long, v string")
+    got = joined(rows, table, "k", counts, "count")
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.select("k", "i", "v").collect())) == sorted(map(tuple, rows.join(table, "k").select("k", "i", "v").collect()))
 
 
 def test_top_k(spark):
