@@ -19,6 +19,7 @@ TAU, PER = 2, 10
 #: Lines of a portion of a large key, at least and at most; lines remembered by a task that drops repeats early.
 LEAST, CELL, REMEMBERED = 128, 2048, 1 << 18
 KEYS = "key long, line long, role int"
+MASK = (1 << 64) - 1
 
 
 def allowed(n: int, tau: int = TAU, per: int = PER) -> int:
@@ -200,31 +201,31 @@ def _verify(tau: int, per: int, words: bool):
     """Of each cell, the links: for every line with one, the number of its links that this cell is the first to show, and the
     root of a spanning forest."""
 
-    def first_key(r: str | list[str], s: str | list[str]) -> int:
-        """The first segment of r that s holds at a place where it is looked up."""
-        t = allowed(len(r), tau, per)
-        own = segments(len(r), t)
-        for i, at, size in probes(len(s), len(r), t):
-            p = own[i][0]
-            if s[at : at + size] == r[p : p + size]:
-                return _key(r, p, size, len(r) * (tau + 1) + i)
-        raise AssertionError("no segment in common")
-
     def links(key: int, rows: list[tuple]) -> tuple[list, list, list]:
         count, forest = [0] * len(rows), Forest(len(rows))
-        by_len: dict[int, list[int]] = {}
+        # of each indexed line: its segments, and which of them the key is
+        index: list[tuple[int, list, int]] = []
         for i, x in enumerate(rows):
             if x[1] & 1:
-                by_len.setdefault(len(x[3]), []).append(i)
-        n = next((k for k in by_len), 0)
+                own = segments(len(x[3]), allowed(len(x[3]), tau, per))
+                at = next(k for k, (p, size) in enumerate(own) if _key(x[3], p, size, len(x[3]) * (tau + 1) + k) == key & MASK)
+                index.append((i, [x[3][p : p + size] for p, size in own[:at]], at))
+        n = len(rows[index[0][0]][3]) if index else 0  # a key is of one length
+        t = allowed(n, tau, per)
+        before: dict[int, list[tuple[int, int, int]]] = {}
         for j, (id_s, role, part_s, s) in enumerate(rows):
-            if not role & 2:
+            if not role & 2 or not index:
                 continue
-            for i in by_len.get(n, ()):
+            if len(s) not in before:
+                before[len(s)] = probes(len(s), n, t)
+            for i, own, at in index:
                 id_r, _, part_r, r = rows[i]
-                if i == j or (len(r) == len(s) and id_r >= id_s) or (part_r >= 0 and part_r == part_s) or len(r) > len(s):
+                if i == j or (n == len(s) and id_r >= id_s) or (part_r >= 0 and part_r == part_s) or n > len(s):
+                    continue
+                # a pair that shares an earlier segment of r is counted under that one's key
+                if at and any(k < at and s[p : p + size] == own[k] for k, p, size in before[len(s)]):
                     continue
-                if edit_within(r, s, allowed(len(r), tau, per)) and np.uint64(first_key(r, s)).astype(np.int64) == key:
+                if edit_within(r, s, t):
                     count[i] += 1
                     count[j] += 1
                     forest.join(i, j)
@@ -283,21 +284,17 @@ def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | Non
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    lines = line_table(docs, row)
     at = ["doc_id", "line_no", *([row] if row else [])]
-    occ = written(lines.select(*at, "line"), "lines")
+    occ = written(line_table(docs, row).select(*at, "line", "norm"), "lines")
     first = occ.groupBy("line").agg(F.min(F.struct(*at)).alias("first"), F.count(F.lit(1)).alias("n_copies"))
-    long = lines.select("line", "norm")  # short lines are left out there: a filter here would make norm twice
+    long = occ.select("line", "norm")  # lines too short to differ are left out there
     keys = long.mapInArrow(_signatures(tau, per, words), KEYS).repartition(n, "key").sortWithinPartitions("key", "line")
     cand = written(keys.mapInArrow(_candidates(cell), "cell long, key long, line long, role int, portion int"), "line-cand")
     first = written(first, "line-first")
-    # One place of each candidate; all rows of that doc_id (or the one row) are looked at, and those with another line there left out.
-    name = row or "doc_id"
-    place = cand.select("line").distinct().join(first, "line").select(F.coalesce(f"first.{name}", F.lit(-(1 << 63)).cast("long")).alias("d"), "first.line_no", F.col("line").alias("want"))
-    place = place.groupBy("d").agg(F.collect_list(F.struct("line_no", "want")).alias("wanted"))  # no more than a text has lines
-    texts = docs.select(F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), text_of().alias("t")).join(place, "d")
-    texts = texts.withColumn("all", F.split("t", "\n")).select(F.explode(F.transform("wanted", lambda w: F.struct(w["want"].alias("line"), F.get("all", w["line_no"]).alias("raw")))).alias("x")).select("x.*")
-    texts = texts.withColumn("norm", _spaced(F.btrim("raw", F.lit(GAP_CHARS)))).filter(F.xxhash64("norm") == F.col("line")).select("line", "norm").dropDuplicates(["line"])
+    # One text of each candidate line, from one of its places.
+    place = cand.select("line").distinct().join(first, "line").select(F.col("line").alias("want"), "first")
+    same = (F.col("line") == F.col("want")) & (F.struct(*at).eqNullSafe(F.col("first")))
+    texts = occ.join(place, same).select("line", "norm").dropDuplicates(["line"])
     cells = cand.join(texts, "line").select("cell", "key", "line", "role", "portion", "norm").repartition(n, "cell").sortWithinPartitions("cell", "line")
     found = written(cells.mapInArrow(_verify(tau, per, words), "a long, b long, n long"), "line-links")
     roots = components(found.select("a", "b"), "line-cc")
@@ -307,7 +304,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, per: int = PER, row: str | Non
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
     linked = written(linked.join(heads, "root").select("line", "n_links", "head"), "line-classes")
     each = first.join(linked, "line", "left").select("line", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("head", "first").alias("head"))
-    out = joined(occ, each, "line", first, "n_copies")
+    out = joined(occ.drop("norm"), each, "line", first, "n_copies")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
     if row:
         kept = kept & (F.col(row) == F.col(f"head.{row}"))
