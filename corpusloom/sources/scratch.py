@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +58,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def alone(spark: SparkSession, tag: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written, without the tables that it has written on the way."""
+    path = fresh_path(spark, tag)
+    with swept(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
