@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import fresh_path, shared_dir, written  # noqa: F401
+from ..sources.scratch import alone, fresh_path, shared_dir, written  # noqa: F401
 
 #: The characters that separate words, and the regular expressions made of them (Java, RE2 and Python read them alike).
 WORD_GAP = r"[\x20\x09-\x0D]+"

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_CHARS, WORD_GAP, joined, own_names, partitions, read, text_of, whole_groups, written
+from .common import GAP_CHARS, WORD_GAP, alone, joined, own_names, partitions, read, text_of, whole_groups, written
 from .components import Forest, components
 
 #: Edits are counted in words: two lines may differ by one for each PER words of the shorter one, TAU at most.
@@ -320,7 +320,7 @@ def without_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     doesn't have. An empty table gives no rows."""
     row, drop, left_ = own_names(docs, "line_row", "line_drop", "line_text")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")  # the ids must not change between uses
-    drops = line_classes(rows, row=row, **how).filter("not kept").groupBy(row).agg(F.collect_set("line_no").alias(drop))
+    drops = alone(docs.sparkSession, "line-drops", lambda: line_classes(rows, row=row, **how).filter("not kept").groupBy(row).agg(F.collect_set("line_no").alias(drop)))
     d = rows.join(drops, row, "left")
     left = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains(drop, i))
     d = d.withColumn(left_, F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))

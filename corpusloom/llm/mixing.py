@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import HASH_SPACE, bucket_count, own_names, read, seeded, text_of, word_count, written
+from .common import HASH_SPACE, alone, bucket_count, own_names, read, seeded, text_of, word_count, written
 
 SEED = "mix-11"
 WEIGHTS = (5, 2, 1)
@@ -170,7 +170,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     key. Documents without words are not in the mix. Inner columns take names that docs doesn't have. An empty table gives no rows."""
     row, copies = own_names(docs, "mix_row", "mix_copies")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # the numbers must not change between uses
-    taken = pareto_mix(rows, row=row, **how).filter("copies > 0").select(row, F.col("copies").alias(copies))
+    taken = alone(docs.sparkSession, "mix-taken", lambda: pareto_mix(rows, row=row, **how).filter("copies > 0").select(row, F.col("copies").alias(copies)))
     out = rows.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 

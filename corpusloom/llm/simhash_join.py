@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, own_names, partitions, text_of, whole_groups, written
+from .common import alone, joined, own_names, partitions, text_of, whole_groups, written
 from .components import Forest, components
 from .simhash import XX_SEED, GrayIndex, gray_rank
 
@@ -260,8 +260,8 @@ def one_of_each(docs: DataFrame, null_ids: bool = False, **how) -> DataFrame:
         own = F.monotonically_increasing_id() + F.lit(max(0 if top is None else top + 1, 0)).cast("long")
         numbered = written(docs.withColumn(id_, F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own)), "sim-rows")
         return one_of_each(numbered, **how).withColumn("doc_id", F.col(id_)).select(*[F.col(f"`{c}`") for c in docs.columns])
-    found = similar_documents(docs, **how).filter(F.col("doc_id") == F.col("component_id"))
-    keys = written(found.groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias(rows)), "sim-keep")
+    heads = lambda: similar_documents(docs, **how).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias(rows))
+    keys = alone(docs.sparkSession, "sim-keep", heads)
     once, repeated = keys.filter(F.col(rows) == 1), keys.filter(F.col(rows) > 1)
     kept = docs.join(once, docs["doc_id"].cast("long") == once[keep], "left_semi").union(docs.filter(F.col("doc_id").isNull()))
     return kept.union(docs.join(repeated, docs["doc_id"].cast("long") == repeated[keep], "left_semi").distinct()) if repeated.take(1) else kept
