@@ -321,7 +321,7 @@ def without_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     row, drop, left_ = own_names(docs, "line_row", "line_drop", "line_text")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")  # the ids must not change between uses
     drops = alone(docs.sparkSession, "line-drops", lambda: line_classes(rows, row=row, **how).filter("not kept").groupBy(row).agg(F.collect_set("line_no").alias(drop)))
-    d = rows.join(drops, row, "left")
+    d = rows.join(drops.hint("merge"), row, "left")  # the drops grow with the documents, so they are sent nowhere whole
     left = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains(drop, i))
     d = d.withColumn(left_, F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     d = d.filter(F.col(drop).isNull() | (F.btrim(left_, F.lit(GAP_CHARS)) != ""))

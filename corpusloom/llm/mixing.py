@@ -171,7 +171,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     row, copies = own_names(docs, "mix_row", "mix_copies")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # the numbers must not change between uses
     taken = alone(docs.sparkSession, "mix-taken", lambda: pareto_mix(rows, row=row, **how).filter("copies > 0").select(row, F.col("copies").alias(copies)))
-    out = rows.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    # By sorted rows at every size: which rows are taken is a table that grows with the documents, so it is sent nowhere whole.
+    out = rows.join(taken.hint("merge"), row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

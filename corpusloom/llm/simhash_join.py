@@ -262,6 +262,6 @@ def one_of_each(docs: DataFrame, null_ids: bool = False, **how) -> DataFrame:
         return one_of_each(numbered, **how).withColumn("doc_id", F.col(id_)).select(*[F.col(f"`{c}`") for c in docs.columns])
     heads = lambda: similar_documents(docs, **how).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias(rows))
     keys = alone(docs.sparkSession, "sim-keep", heads)
-    once, repeated = keys.filter(F.col(rows) == 1), keys.filter(F.col(rows) > 1)
+    once, repeated = keys.filter(F.col(rows) == 1).hint("merge"), keys.filter(F.col(rows) > 1)  # ids to keep grow with the documents, so they are sent nowhere whole
     kept = docs.join(once, docs["doc_id"].cast("long") == once[keep], "left_semi").union(docs.filter(F.col("doc_id").isNull()))
     return kept.union(docs.join(repeated, docs["doc_id"].cast("long") == repeated[keep], "left_semi").distinct()) if repeated.take(1) else kept
