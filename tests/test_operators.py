@@ -193,6 +193,28 @@ def test_bpe_rules(spark):
     assert registry.QUERIES["bpe_train"](spark, sf).count() >= 2048 - 256 - 4
 
 
+def test_bpe_words_stay_in_tasks(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows.append(len(found := collect(self)))
+        return found
+
+    def refused(self, *a, **b):
+        raise AssertionError("all words would reach the driver")
+
+    texts = [" ".join(f"w{i * 7919 % 997}x{i}" for i in range(k, k + 40)) + "  aaaa aaa abab\n" for k in range(0, 200, 40)]
+    want = plain_bpe(texts, 330)
+    monkeypatch.setattr(K, "PART_WORDS", 40)  # several tasks
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    t = K.BytePairs.train(docs(spark, texts), 330)
+    assert [(a.decode("latin-1"), b.decode("latin-1")) for a, b in t.merges] == want
+    assert max(rows) <= 8  # a row for each task
+
+
 def test_metrics_log_and_stream(spark, tmp_path):
     path = str(tmp_path / "log")
     S.append_metrics(spark.createDataFrame([("header", 3)], "event string, seed int"), path)
