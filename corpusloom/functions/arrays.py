@@ -15,6 +15,15 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def rounded(v: Column, places: int) -> Column:
+    """v to so many places as SQL engines on C's doubles have it: halves of v * 10^places go away from zero, and a small negative number becomes -0.0
+    (Spark's round gives 0.0); what isn't finite stays."""
+    by = F.lit(10.0**places)
+    up = lambda y, r: F.when(F.abs(y - r) == 0.5, y + F.signum(y) * 0.5).otherwise(r)
+    out = let(v * by, lambda y: let(F.rint(y), lambda r: up(y, r) / by))
+    return let(out, lambda o: F.when(F.isnan(o) | (F.abs(o) == float("inf")), v).otherwise(o))
+
+
 def argmax(x: Column) -> Column:
     """Place (from 0) of the largest element, the first of equal ones."""
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")

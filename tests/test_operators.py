@@ -215,6 +215,28 @@ def test_bpe_words_stay_in_tasks(spark, monkeypatch):
     assert max(rows) <= 8  # a row for each task
 
 
+def test_rounded_as_sql(spark, tmp_path):
+    """Small negative numbers round to -0.0 and halves go away from zero, as in DuckDB."""
+    import duckdb
+    from corpusloom.plans import registry
+
+    v = [-1e-8, 1e-8, -2.5e-7, 0.5, -0.0078125, 2.0000005, -1.0000005, 0.0, -0.0, 1e300, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x double").coalesce(1)
+    ours = [repr(r[0]) for r in df.orderBy("i").select(A.rounded(F.col("x"), 6)).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(v)))
+    assert ours == [repr(r[0]) for r in con.sql("SELECT round(x, 6) FROM t ORDER BY i").fetchall()] and ours[0] == "-0.0"
+    rows = [(i, i % 3, [(-1) ** (i + j) * 10.0 ** -(j % 9) for j in range(64)]) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("causal_attention", "repetition_penalty", "rmsnorm", "rope_rotate", "silu"):
+        out = registry.QUERIES[name](spark, str(tmp_path))
+        ours = sorted(repr(tuple(r)) for r in out.collect())
+        theirs = sorted(repr(tuple(r)) for r in con.sql(f"SELECT {', '.join(out.columns)} FROM ({registry.ORACLES[name]})").fetchall())
+        assert ours == theirs and any("-0.0," in x for x in ours), name
+
+
 def test_metrics_log_and_stream(spark, tmp_path):
     path = str(tmp_path / "log")
     S.append_metrics(spark.createDataFrame([("header", 3)], "event string, seed int"), path)
