@@ -237,6 +237,19 @@ def test_rounded_as_sql(spark, tmp_path):
         assert ours == theirs and any("-0.0," in x for x in ours), name
 
 
+def test_search_shuffles_no_scores(spark, monkeypatch):
+    """A task passes on the k best of its chunks alone; the same rows as where all scores meet, ties, copies and null doc_ids with them."""
+    d = spark.createDataFrame([(None if i == 7 else i, f"common {'rare' if i % 9 == 0 else 'other'} word{i % 5} common") for i in range(120)], "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "common"), (2, "rare common common"), (3, "word1 nothing"), (4, "nothing"), (5, None)], "query_id long, query string")
+    of = lambda: sorted(map(repr, R.Index.of(d).search(q, 4).withColumn("score", F.round("score", 9)).select("query_id", "rank", "doc_id", "chunk_no", "score").collect()))
+    monkeypatch.setattr(R, "BLOCK", 32)
+    monkeypatch.setattr(R.Index, "scores", lambda *_: pytest.fail("all scores would be shuffled"))
+    ours = of()
+    monkeypatch.undo()
+    monkeypatch.setattr(R, "TAKEN_WORDS", 0)
+    assert ours == of() and len(ours) == 12
+
+
 def test_metrics_log_and_stream(spark, tmp_path):
     path = str(tmp_path / "log")
     S.append_metrics(spark.createDataFrame([("header", 3)], "event string, seed int"), path)
