@@ -215,6 +215,26 @@ def test_bpe_words_stay_in_tasks(spark, monkeypatch):
     assert max(rows) <= 8  # a row for each task
 
 
+def test_bpe_roundtrip_as_sql(spark, tmp_path):
+    """Short texts of one id, and longer ones that no merge shortens, are in the query as in its SQL; that ids are fewer than bytes is seen on whole texts."""
+    import duckdb
+    from corpusloom.plans import registry
+
+    texts = [None, "", " ", "th", "the", "é", "xqzj", "a\0b\0", "\ufeffbom", "\t\n\x0b\x1c\x85\xa0\u2003\u3000", "<|pad|><300>", "\U0001f600 e\u0301 \uffff", "ab" * 500, "the then that thin é " * 40]
+    rows = [*enumerate(texts), (None, None), (None, "no id"), (3, "one id twice")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["bpe_roundtrip"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.sql(f"SELECT {', '.join(out.columns)} FROM ({registry.ORACLES['bpe_roundtrip']})").fetchall()
+    assert sorted(repr(tuple(r)) for r in out.collect()) == sorted(map(repr, theirs))
+    t = K.BytePairs.train(d)
+    assert len(t.encode("the")) < 3 and len(t.encode("xqzj")) == 4
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert K.encoded(d, K.BytePairs.train(d)).join(d, "doc_id").filter(F.size("ids") >= F.octet_length("text")).count() == 0
+
+
 def test_rounded_as_sql(spark, tmp_path):
     """Small negative numbers round to -0.0 and halves go away from zero, as in DuckDB."""
     import duckdb
