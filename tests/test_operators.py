@@ -215,7 +215,7 @@ def test_bpe_words_stay_in_tasks(spark, monkeypatch):
     assert max(rows) <= 8  # a row for each task
 
 
-def test_bpe_roundtrip_as_sql(spark, tmp_path):
+def test_bpe_roundtrip_as_sql(spark, tmp_path, monkeypatch):
     """Short texts of one id, and longer ones that no merge shortens, are in the query as in its SQL; that ids are fewer than bytes is seen on whole texts."""
     import duckdb
     from corpusloom.plans import registry
@@ -230,6 +230,11 @@ def test_bpe_roundtrip_as_sql(spark, tmp_path):
     theirs = con.sql(f"SELECT {', '.join(out.columns)} FROM ({registry.ORACLES['bpe_roundtrip']})").fetchall()
     assert sorted(repr(tuple(r)) for r in out.collect()) == sorted(map(repr, theirs))
     t = K.BytePairs.train(d)
+    ids = sorted(map(repr, K.encoded(d, t).select("doc_id", "ids", K.decoded(F.col("ids"), t).alias("text")).collect()))
+    monkeypatch.setattr(K, "ROWS", 3)  # several slices of a batch
+    assert sorted(map(repr, K.roundtrip(d.coalesce(1), t).collect())) == ids and K.BytePairs.train(d.coalesce(1)).merges == t.merges
+    monkeypatch.undo()
+    assert t.decode(t.encode("the") * 500_000) == "the" * 500_000  # in time with the length
     assert len(t.encode("the")) < 3 and len(t.encode("xqzj")) == 4
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert K.encoded(d, K.BytePairs.train(d)).join(d, "doc_id").filter(F.size("ids") >= F.octet_length("text")).count() == 0
